@@ -117,7 +117,7 @@ def run_steps(df: DataFrame, steps: Steps, keep: list[str] | None = None) -> Dat
 def side_by_side(*functions: Steps) -> Steps:
     """Merge functions with different prefixes step by step."""
     merged: Steps = []
-    for i in range(max(map(len, functions))):
+    for i in range(max(map(len, functions), default=0)):
         merged.append({n: c for f in functions if i < len(f) for n, c in f[i].items()})
     return merged
 

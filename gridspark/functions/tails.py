@@ -11,6 +11,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def normal_upper(z: float) -> float:
@@ -68,16 +69,16 @@ def _each(fn, *series: pd.Series) -> pd.Series:
     return pd.Series(values, dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_sf(z: pd.Series) -> pd.Series:
     return _each(normal_upper, z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return _each(t_two_sided, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_quantile_975(df: pd.Series) -> pd.Series:
     return _each(lambda d: t_critical(0.95, d) if d > 0 else None, df)

@@ -218,7 +218,7 @@ def scan_rows(edges: DataFrame, grid: Grid) -> DataFrame:
     first = F.greatest(F.lit(0), F.floor(F.least(a, b)))
     last = F.least(F.lit(grid.n_rows - 1), F.ceil(F.greatest(a, b)))
     rows = edges.where(first <= last).select(
-        "x1", "y1", "x2", "y2", F.explode(F.sequence(first, last)).cast("int").alias("row"))
+        "x1", "y1", "x2", "y2", F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("row"))
     cy = grid.y(F.col("row"))
     crosses = (y1 > cy) != (y2 > cy)
     at = F.col("x1") + (cy - y1) * (F.col("x2") - F.col("x1")) / F.when(y2 != y1, y2 - y1)
