@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("plans", "soil", "climate", "grids", "statistics")
+MODULES = ("plans", "soil", "climate", "grids", "statistics", "models")
 
 
 def load():

@@ -1,7 +1,8 @@
 """Quality of predicted probabilities, per key (fold, run, scenario).
 
-Scores are rows (keys..., p, y).  Curves and areas come from running counts of
-distinct scores; bin tables have at most ``n_bins`` rows per key.
+Scores are rows (keys..., p, y), optionally with a count column ``weight`` for
+rows that stand for several cells.  Curves and areas come from running counts
+of distinct scores; bin tables have at most ``n_bins`` rows per key.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from gridspark.operators.order_statistics import class_measures, quantile_agg, r
 SCORE_BIN = 1.0 / 4096
 
 
-def score_counts(scored: DataFrame, keys: Sequence[str], p: str = "p", y: str = "y") -> DataFrame:
-    return running_counts(scored, keys, p, class_measures(y), SCORE_BIN)
+def score_counts(scored: DataFrame, keys: Sequence[str], p: str = "p", y: str = "y",
+                 weight: str | None = None) -> DataFrame:
+    return running_counts(scored, keys, p, class_measures(y, weight), SCORE_BIN)
 
 
 def _at_or_above(m: str) -> Column:
@@ -37,9 +39,10 @@ def roc_curve(scored: DataFrame, keys: Sequence[str], p: str = "p", y: str = "y"
                        (_at_or_above("n1") / F.col("n1_total")).alias("tpr"))
 
 
-def pr_curve(scored: DataFrame, keys: Sequence[str], p: str = "p", y: str = "y") -> DataFrame:
+def pr_curve(scored: DataFrame, keys: Sequence[str], p: str = "p", y: str = "y",
+             weight: str | None = None) -> DataFrame:
     """Precision, recall and F1 at every distinct score taken as threshold."""
-    rows = score_counts(scored, keys, p, y)
+    rows = score_counts(scored, keys, p, y, weight)
     tp, fp, positives = _at_or_above("n1"), _at_or_above("n0"), F.col("n1_total")
     f1 = F.coalesce(F.try_divide(2.0 * tp, tp + fp + positives), F.lit(0.0))
     return rows.select(*keys, F.col("value").alias("threshold"),
@@ -54,7 +57,8 @@ def best_f1_threshold(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
                                                  F.col("b.f1").alias("f1"))
 
 
-def _auc() -> Column:
+def auc_agg() -> Column:
+    """ROC AUC over running counts; NULL for a single class."""
     pairs = F.max("n0_total").cast("double") * F.max("n1_total")
     wins = F.sum(F.col("n1") * (F.col("n0_before") + F.col("n0") / 2.0))
     return F.when(pairs > 0, wins / F.when(pairs > 0, pairs))
@@ -69,7 +73,7 @@ def _average_precision() -> Column:
 
 def roc_auc(scored: DataFrame, keys: Sequence[str], p: str = "p", y: str = "y") -> DataFrame:
     """Area under the ROC curve; NULL when only one class is present."""
-    return score_counts(scored, keys, p, y).groupBy(*keys).agg(_auc().alias("roc_auc"))
+    return score_counts(scored, keys, p, y).groupBy(*keys).agg(auc_agg().alias("roc_auc"))
 
 
 def average_precision(scored: DataFrame, keys: Sequence[str], p: str = "p", y: str = "y") -> DataFrame:
@@ -77,28 +81,33 @@ def average_precision(scored: DataFrame, keys: Sequence[str], p: str = "p", y: s
     return score_counts(scored, keys, p, y).groupBy(*keys).agg(_average_precision().alias("average_precision"))
 
 
-def ranking_scores(scored: DataFrame, keys: Sequence[str], p: str = "p", y: str = "y") -> DataFrame:
+def ranking_scores(scored: DataFrame, keys: Sequence[str], p: str = "p", y: str = "y",
+                   weight: str | None = None) -> DataFrame:
     """ROC AUC and average precision from one pass."""
-    return score_counts(scored, keys, p, y).groupBy(*keys).agg(
-        _auc().alias("roc_auc"), _average_precision().alias("average_precision"))
+    return score_counts(scored, keys, p, y, weight).groupBy(*keys).agg(
+        auc_agg().alias("roc_auc"), _average_precision().alias("average_precision"))
 
 
-def brier(scored: DataFrame, keys: Sequence[str], p: str = "p", y: str = "y") -> DataFrame:
+def brier(scored: DataFrame, keys: Sequence[str], p: str = "p", y: str = "y",
+          weight: str | None = None) -> DataFrame:
     """Mean squared error of the probability, prevalence and skill score."""
     error = F.col(p) - F.col(y)
-    g = scored.groupBy(*keys).agg(F.avg(error * error).alias("brier"),
-                                  F.avg(F.col(y).cast("double")).alias("prevalence"),
-                                  F.count(F.lit(1)).alias("n"))
+    w = F.lit(1).cast("bigint") if weight is None else F.col(weight)
+    n = F.sum(w)
+    g = scored.groupBy(*keys).agg((F.sum(w * error * error) / n).alias("brier"),
+                                  (F.sum(w * F.col(y)) / n).alias("prevalence"), n.alias("n"))
     return g.withColumn("brier_skill_score", brier_skill_score(F.col("brier"), F.col("prevalence")))
 
 
 def f1_precision_recall(scored: DataFrame, keys: Sequence[str], threshold: float | Column = 0.5,
-                        p: str = "p", y: str = "y") -> DataFrame:
+                        p: str = "p", y: str = "y", weight: str | None = None) -> DataFrame:
     """Scores of the hard decision p >= threshold; undefined ratios are 0."""
     threshold = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     said, is_one = F.col(p) >= threshold, F.col(y) == 1
-    g = scored.groupBy(*keys).agg(F.count_if(said & is_one).alias("tp"), F.count_if(said & ~is_one).alias("fp"),
-                                  F.count_if(~said & is_one).alias("fn"))
+    w = F.lit(1).cast("bigint") if weight is None else F.col(weight)
+    total = lambda hit: F.sum(F.when(hit, w).otherwise(0))
+    g = scored.groupBy(*keys).agg(total(said & is_one).alias("tp"), total(said & ~is_one).alias("fp"),
+                                  total(~said & is_one).alias("fn"))
     tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     return g.select(*keys, "tp", "fp", "fn", ratio(tp, tp + fp).alias("precision"),

@@ -118,10 +118,14 @@ def mid_ranks(df: DataFrame, keys: Sequence[str], value: str,
     return rows.select(*keys, "value", "n", rank.alias("mid_rank"))
 
 
-def class_measures(label: str | Column) -> dict[str, Column]:
-    """Counts of class 0 and class 1 as measures n0 and n1."""
+def class_measures(label: str | Column, weight: str | None = None) -> dict[str, Column]:
+    """Counts of class 0 and class 1 as measures n0 and n1.
+
+    ``weight`` names a count column of rows that stand for several cells.
+    """
     label = F.col(label) if isinstance(label, str) else label
-    return {"n0": (label == 0).cast("bigint"), "n1": (label == 1).cast("bigint")}
+    one = F.lit(1) if weight is None else F.col(weight)
+    return {f"n{c}": F.when(label == c, one).otherwise(0).cast("bigint") for c in (0, 1)}
 
 
 def sample_cap(df: DataFrame, group: Sequence[str], n: int, cell: Sequence[str],
