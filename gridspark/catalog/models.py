@@ -264,21 +264,31 @@ def _(t: Tables):
     return rounded(out, 6, "mean_p")
 
 
+# Equal probabilities must be equal in both engines, hence the rounding.
+_YEARS9 = _YEARS.replace("AS key, p,", "AS key, round(p, 9) AS p,")
 _YRUN = _RUN.replace("FROM scored", "FROM yearly")
 
 
-@query("M10_apply_to_years", sql("soil disco", f"""
+@query("M10_separability_of_years", sql("soil disco", f"""
 SELECT key AS label, n1 AS n_disco, n0 AS n_nondisco, {r('m1')} AS mean_disco, {r('m0')} AS mean_nondisco, {r('d1')} AS median_disco, {r('d0')} AS median_nondisco,
        {r('u/(n0*n1)')} AS auc, u AS mw_u, {r('(m1 - m0)/sqrt((v1 + v0)/2)')} AS cohens_d
 FROM sep JOIN (SELECT key, sum(c1*(n0 - fp + c0/2)) AS u FROM run GROUP BY key) USING (key)""",
-    **SCALED, probs=_PROBS, yearly=_YEARS, run=_YRUN, sep=_SEP.replace("FROM scored", "FROM yearly")))
+    **SCALED, probs=_PROBS, yearly=_YEARS9, run=_YRUN, sep=_SEP.replace("FROM scored", "FROM yearly")))
 def _(t: Tables):
     cells, scaler, coefficients = _stated(t)
     joined = cells.join(t.disco.select("row", "col", F.col("year").alias("label"), F.col("value").alias("disco")), ["row", "col"])
-    out = scoring.apply_to_years(joined, scaler, coefficients, FEATURES).drop("mw_p", "mw_z")
+    scored = rounded(scoring.score_scenarios(joined, scaler, coefficients, FEATURES), 9, "p")
+    out = class_stats.separability(scored).drop("mw_p", "mw_z")
     return rounded(out, 6, "mean_disco", "mean_nondisco", "median_disco", "median_nondisco", "auc", "cohens_d")
 
 
+@query("M10_apply_to_years")
+def _(t: Tables):
+    cells, scaler, coefficients = _stated(t)
+    joined = cells.join(t.disco.select("row", "col", F.col("year").alias("label"), F.col("value").alias("disco")), ["row", "col"])
+    return scoring.apply_to_years(joined, scaler, coefficients, FEATURES)
+
+
 def _inputs(t: Tables):
     """Map of whole millimetres, discoloration, and mean sand as a covariate."""
     water = awc_of(t, "toth").where(F.col("depth") == "2m")

@@ -8,11 +8,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.functions.scores import binarize, probability, standardize
+from gridspark.functions.scores import binarize, probability
 from gridspark.models.logistic import Model, Scale
 from gridspark.operators.class_stats import separability
 from gridspark.operators.run_keys import stack
-from gridspark.operators.scaling import scaler_row
+from gridspark.operators.scaling import scaled_columns, scaler_struct
 
 
 def scaler_table(spark: SparkSession, features: Sequence[str], scales: Sequence[Scale]) -> DataFrame:
@@ -32,19 +32,17 @@ def predict_proba(cells: DataFrame, scaler: DataFrame, coefficients: DataFrame,
                   name: str = "p") -> DataFrame:
     """Probability per cell from stored tables; NULL when a feature is missing.
 
-    Both tables enter as scalar subqueries, so scoring stays a narrow
+    Each table enters as one scalar subquery, so scoring stays a narrow
     projection whatever the number of cells.
     """
-    params = scaler_row(scaler, features)
-    terms = coefficients.agg(*[
-        F.first(F.when(F.col("term") == t, F.col("coefficient")), ignorenulls=True).alias(t)
-        for t in ("intercept", *features)])
-    zs, weights = [], []
-    for f in features:
-        s = params.select(F.col(f)).scalar()
-        zs.append(standardize(F.col(f).cast("double"), s["clip_lower"], s["clip_upper"], s["center"], s["scale"]))
-        weights.append(terms.select(F.col(f)).scalar())
-    return cells.withColumn(name, probability(zs, weights, terms.select("intercept").scalar()))
+    terms = ("intercept", *features)
+    picked = coefficients.agg(*[
+        F.first(F.when(F.col("term") == t, F.col("coefficient")), ignorenulls=True).alias(t) for t in terms])
+    held = cells.withColumns({"__scaler": scaler_struct(scaler, features),
+                              "__model": picked.select(F.struct(*terms)).scalar()})
+    p = probability(list(scaled_columns(features).values()), [F.col(f"__model.{f}") for f in features],
+                    F.col("__model.intercept"))
+    return held.withColumn(name, p).drop("__scaler", "__model")
 
 
 def score_scenarios(scenarios: Mapping[str, DataFrame] | DataFrame, scaler: DataFrame, coefficients: DataFrame,

@@ -96,17 +96,12 @@ def _fields(daily: DataFrame, outputs, years) -> DataFrame:
         aggregates.append(reduce_days(F.col(variable), how, wanted).alias(f"{name}@{season}@{how}"))
     present = [F.count_if(F.col("season") == s).alias(f"n@{s}") for s in SEASONS]
     wide = days.groupBy(*CELL, "season_year").agg(*aggregates, *present)
-    long = wide.unpivot([*CELL, "season_year", *[f"n@{s}" for s in SEASONS]],
-                        [f"{n}@{s}@{h}" for n, _, s, h in outputs], "field", "value")
-    part = F.split("field", "@")
-    season = part.getItem(1)
-    n_days = None
-    for s in SEASONS:
-        n_days = F.when(season == s, F.col(f"n@{s}")) if n_days is None else n_days.when(season == s, F.col(f"n@{s}"))
-    return (long.select(part.getItem(0).alias("var"), part.getItem(2).alias("stat"),
-                        F.col("season_year").alias("year"), season.alias("season"),
-                        *CELL, "value", n_days.alias("n_days"))
-            .where(F.col("n_days") > 0))
+    rows = F.inline(F.array(*[
+        F.struct(F.lit(name).alias("var"), F.lit(how).alias("stat"), F.lit(season).alias("season"),
+                 F.col(f"{name}@{season}@{how}").alias("value"), F.col(f"n@{season}").alias("n_days"))
+        for name, _, season, how in outputs]))
+    return (wide.select(F.col("season_year").alias("year"), *CELL, rows).where(F.col("n_days") > 0)
+            .select("var", "stat", "year", "season", *CELL, "value", "n_days"))
 
 
 def seasonal_meteo(daily: DataFrame, years: Sequence[int] | None = None) -> DataFrame:
@@ -148,15 +143,16 @@ def seasonal_anomaly(daily: DataFrame, years: Sequence[int], start: int = 1991,
     wanted = sorted(set(range(start, end + 1)) | {int(y) for y in years})
     fields = _climatology_fields(daily, wanted)
     in_base = F.col("year").between(start, end)
-    base_value = F.when(in_base, F.col("value"))
     cell = Window.partitionBy("var", "season", *CELL)
-    base = F.when(F.count(base_value).over(cell) == F.count_if(in_base).over(cell),
-                  F.avg(base_value).over(cell))
-    fields = fields.withColumn("base_mean", base).where(F.col("year").isin([int(y) for y in years]))
-    result = None
-    for var, method in {v: m for v, _, _, m in CLIMATOLOGY}.items():
-        value = anomaly(F.col("value"), F.col("base_mean"), method)
-        result = F.when(F.col("var") == var, value) if result is None else result.when(F.col("var") == var, value)
+    fields = fields.withColumn("base_value", F.when(in_base, F.col("value"))).withColumn("in_base", in_base)
+    fields = fields.withColumns({
+        "base_avg": F.avg("base_value").over(cell), "n_known": F.count("base_value").over(cell),
+        "n_base": F.sum(F.col("in_base").cast("int")).over(cell)})
+    fields = fields.where(F.col("year").isin([int(y) for y in years])).withColumn(
+        "base_mean", F.when(F.col("n_known") == F.col("n_base"), F.col("base_avg")))
+    methods = {v: m for v, _, _, m in CLIMATOLOGY}
+    result = F.coalesce(*[anomaly(F.when(F.col("var") == v, F.col("value")), F.col("base_mean"), m)
+                          for v, m in methods.items()])
     return fields.select("var", "season", "year", *CELL, "value", "base_mean", result.alias("anomaly"))
 
 

@@ -95,15 +95,12 @@ def awc_to_rooting_depth(df: DataFrame, mrd: DataFrame, strict_nulls: bool = Fal
     return total.select(*keys, "mrd_cm", F.when(depth.isNotNull(), value).alias("awc_mrd"))
 
 
-def stack_depths(wide: DataFrame, ptf: str | Column,
-                 columns: Sequence[str] = ("awc_1m", "awc_2m"),
+def stack_depths(wide: DataFrame, ptf: str, columns: Sequence[str] = ("awc_1m", "awc_2m"),
                  keys: Sequence[str] = CELL) -> DataFrame:
     """awc_1m, awc_2m, ... -> (ptf, depth, row, col, awc_mm)."""
-    ptf = F.lit(ptf) if isinstance(ptf, str) else ptf
-    long = wide.select(ptf.alias("ptf"), *keys, *columns).unpivot(
-        ["ptf", *keys], list(columns), "depth", "awc_mm")
-    return long.select("ptf", F.replace("depth", F.lit("awc_"), F.lit("")).alias("depth"),
-                       *keys, "awc_mm")
+    rows = F.inline(F.array(*[
+        F.struct(F.lit(c.removeprefix("awc_")).alias("depth"), F.col(c).alias("awc_mm")) for c in columns]))
+    return wide.select(F.lit(ptf).alias("ptf"), *keys, rows).select("ptf", "depth", *keys, "awc_mm")
 
 
 def awc_maps(profile: DataFrame, names: Sequence[str], null_gravel_is_zero: bool = False,
@@ -121,7 +118,7 @@ def awc_maps(profile: DataFrame, names: Sequence[str], null_gravel_is_zero: bool
         sums.append(F.sum(F.when(F.col("upper_cm") < 100, F.col(name))).alias(f"{name}@1m"))
         sums.append(F.sum(name).alias(f"{name}@2m"))
     wide = layers.groupBy(*keys).agg(*sums)
-    long = wide.unpivot(list(keys), [f"{n}@{d}" for n in names for d in ("1m", "2m")],
-                        "name", "awc_mm")
-    part = F.split("name", "@")
-    return long.select(part.getItem(0).alias("ptf"), part.getItem(1).alias("depth"), *keys, "awc_mm")
+    rows = F.inline(F.array(*[
+        F.struct(F.lit(n).alias("ptf"), F.lit(d).alias("depth"), F.col(f"{n}@{d}").alias("awc_mm"))
+        for n in names for d in ("1m", "2m")]))
+    return wide.select(*keys, rows).select("ptf", "depth", *keys, "awc_mm")

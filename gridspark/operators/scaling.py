@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from gridspark.functions.scores import standardize
 from gridspark.operators.order_statistics import quantile_agg, running_counts, value_counts
 
+SCALER_PARTS = ("clip_lower", "clip_upper", "center", "scale")
+
 
 def long_features(cells: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """One row per cell and feature: (keep..., feature, value)."""
@@ -55,7 +57,7 @@ def fit_scaler(cells: DataFrame, columns: Sequence[str],
 
 def scaler_row(scaler: DataFrame, columns: Sequence[str]) -> DataFrame:
     """All scaler parameters as one row of structs, one per feature."""
-    struct = F.struct("clip_lower", "clip_upper", "center", "scale")
+    struct = F.struct(*SCALER_PARTS)
     return scaler.agg(*[F.first(F.when(F.col("feature") == c, struct), ignorenulls=True).alias(c)
                         for c in columns])
 
@@ -64,30 +66,35 @@ def apply_scaler(cells: DataFrame, scaler: DataFrame, columns: Sequence[str],
                  suffix: str = "_z") -> DataFrame:
     """Standardise ``columns`` with stored parameters.
 
-    The parameters come in as scalar subqueries: they are evaluated once and
-    the cells stay in a narrow projection.
+    The parameters come in as one scalar subquery, evaluated once, and the
+    cells stay in a narrow projection.
     """
-    row = scaler_row(scaler, columns)
-    added: dict[str, Column] = {}
-    for c in columns:
-        p = row.select(F.col(c)).scalar()
-        added[f"{c}{suffix}"] = standardize(F.col(c).cast("double"), p["clip_lower"], p["clip_upper"],
-                                            p["center"], p["scale"])
-    return cells.withColumns(added)
+    out = cells.withColumn("__scaler", scaler_struct(scaler, columns))
+    return out.withColumns({f"{c}{suffix}": z for c, z in scaled_columns(columns).items()}).drop("__scaler")
+
+
+def scaler_struct(scaler: DataFrame, columns: Sequence[str]) -> Column:
+    """All scaler parameters as one scalar subquery."""
+    return scaler_row(scaler, columns).select(F.struct(*columns)).scalar()
+
+
+def scaled_columns(columns: Sequence[str], params: str = "__scaler") -> dict[str, Column]:
+    """Standardised features, with the parameters in the struct column ``params``."""
+    return {c: standardize(F.col(c).cast("double"), *[F.col(f"{params}.{c}.{part}") for part in SCALER_PARTS])
+            for c in columns}
 
 
-def _correlations(cells: DataFrame, columns: Sequence[str]) -> list[Column]:
+def _correlations(columns: Sequence[str]) -> list[Column]:
     return [F.corr(a, b).alias(f"{a}|{b}") for a, b in combinations(columns, 2)]
 
 
 def pairwise_corr(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson r and r squared of every feature pair from one aggregation."""
-    one = cells.agg(*_correlations(cells, columns))
-    names = [f"{a}|{b}" for a, b in combinations(columns, 2)]
-    long = one.unpivot([], names, "pair", "pearson_r")
-    part = F.split("pair", r"\|")
-    return long.select(part.getItem(0).alias("feature_1"), part.getItem(1).alias("feature_2"), "pearson_r",
-                       (F.col("pearson_r") * F.col("pearson_r")).alias("pearson_r2"))
+    one = cells.agg(*_correlations(columns))
+    rows = F.inline(F.array(*[
+        F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.col(f"{a}|{b}").alias("pearson_r"))
+        for a, b in combinations(columns, 2)]))
+    return one.select(rows).withColumn("pearson_r2", F.col("pearson_r") * F.col("pearson_r"))
 
 
 def vif(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -116,4 +123,4 @@ def vif(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
                     diagonal = np.diag(np.linalg.inv(m))
                 yield pd.DataFrame({"feature": columns, "r2_vs_others": 1.0 - 1.0 / diagonal, "vif": diagonal})
 
-    return cells.agg(*_correlations(cells, columns)).mapInPandas(invert, schema)
+    return cells.agg(*_correlations(columns)).mapInPandas(invert, schema)
