@@ -15,6 +15,7 @@ from gridspark.models.folds import FoldPlan, block_sizes, group_kfold
 from gridspark.models.logistic import ALL_CELLS, Model, fit_logistic, fit_logistic_many
 from gridspark.operators import binned, calibration, class_stats, scaling
 from gridspark.plans import dsi
+from gridspark.session import cut_lineage
 from gridspark.sources.writers import encode_int16
 
 CONFIG = dsi.DsiConfig(cv_block_size_m=500.0, outer_n_splits=5, inner_n_splits=3, n_iter=5, min_pixels=20)
@@ -245,7 +246,8 @@ _YEARS = """SELECT d.year AS key, p, CASE WHEN d.value >= 4000 THEN 1 ELSE 0 END
 def _stated(t: Tables):
     cells = _features(t)
     coefficients = t.spark.createDataFrame([(k, v, None) for k, v in _COEF.items()], "term string, coefficient double, odds_ratio double")
-    return cells, scaling.fit_scaler(cells, FEATURES), coefficients
+    # A stored model: its few parameter rows are materialised before scoring.
+    return cells, cut_lineage(scaling.fit_scaler(cells, FEATURES)), coefficients
 
 
 @query("M7_predict_proba", sql("soil", f"SELECT row, col, {r('p')} AS p FROM probs", **SCALED, probs=_PROBS))
@@ -320,7 +322,7 @@ def _(t: Tables):
 def _prepared(t: Tables, features):
     cells = _cells(t, covariate=len(features) > 1)
     plan = FoldPlan.build(block_sizes(cells), CONFIG.outer_n_splits, CONFIG.inner_n_splits)
-    rows = validation.cut_lineage(validation.prepare_rows(cells, features, plan))
+    rows = cut_lineage(validation.prepare_rows(cells, features, plan))
     return plan, rows, validation.training_scales(rows, features, plan.n_outer)
 
 

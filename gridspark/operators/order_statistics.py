@@ -63,7 +63,9 @@ def running_counts(df: DataFrame, keys: Sequence[str], value: str | Column,
     if bin_width is None:
         binned = _auto_bins(counts, keys)
     else:
-        binned = counts.withColumn(_BIN, F.floor(F.col("value") / F.lit(float(bin_width))))
+        # With a bin that is visibly never NULL the join below adds no filter to
+        # one side only, so both sides read the same shuffle.
+        binned = counts.withColumn(_BIN, F.coalesce(F.floor(F.col("value") / F.lit(float(bin_width))), F.lit(0)))
 
     totals = binned.groupBy(*keys, _BIN).agg(
         *[F.sum(m).alias(m) for m in measures],
