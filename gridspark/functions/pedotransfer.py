@@ -6,7 +6,7 @@ A function is a list of projection steps (name -> expression).  A step refers to
 the columns of the steps before it instead of repeating their expressions, which
 keeps the plan small: nested Column objects are trees and would be copied into
 every place that uses them.  ``p`` prefixes all names, so several functions can
-be evaluated side by side in the same projections.  Steps start from ``BASE``.
+be evaluated on the same row.  Steps start from ``BASE``.
 """
 
 from __future__ import annotations
@@ -114,18 +114,6 @@ def run_steps(df: DataFrame, steps: Steps, keep: list[str] | None = None) -> Dat
     return out.select(*kept, *dict.fromkeys(outputs))
 
 
-def side_by_side(*functions: Steps) -> Steps:
-    """Merge functions with different prefixes step by step."""
-    merged: Steps = []
-    for i in range(max(map(len, functions), default=0)):
-        merged.append({n: c for f in functions if i < len(f) for n, c in f[i].items()})
-    return merged
-
-
-def _cols(p: str, *names: str) -> dict[str, Column]:
-    return {n: F.col(f"{p}{n}") for n in names}
-
-
 def silt_from(sand: Column, clay: Column, clipped: bool = True) -> Column:
     raw = F.lit(100.0) - sand - clay
     return clip(raw, 0, 100) if clipped else raw
@@ -282,10 +270,11 @@ CLOSED_FORM = {"schoch": (schoch, True), "wosten": (wosten, True), "weynants": (
 
 
 def awc_volume_steps(names, fc: float, pwp: float) -> Steps:
-    """Side-by-side steps ending in one ``<name>_awc_vol`` column per function."""
-    parts = []
+    """Steps ending in one ``<name>_awc_vol`` column per function."""
+    steps: Steps = []
     for name in names:
         make, retention = CLOSED_FORM[name]
-        steps = make(f"{name}_")
-        parts.append(steps + water_between(fc, pwp, f"{name}_") if retention else steps)
-    return side_by_side(*parts)
+        steps += make(f"{name}_")
+        if retention:
+            steps += water_between(fc, pwp, f"{name}_")
+    return steps

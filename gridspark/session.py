@@ -7,6 +7,18 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# HotSpot never compiles a method above 8,000 bytes of bytecode.  Evaluating many
+# pedotransfer functions on one row exceeds that in a single fused method and is
+# then interpreted, 2-3 times slower; below this limit Spark splits the code.
+HUGE_METHOD, JIT_LIMIT, SPARK_DEFAULT = "spark.sql.codegen.hugeMethodLimit", "8000", "65535"
+
+
+def tune(spark: SparkSession) -> None:
+    """Apply the method limit to a session made elsewhere, unless it chose its own."""
+    if spark.conf.get(HUGE_METHOD, SPARK_DEFAULT) == SPARK_DEFAULT:
+        spark.conf.set(HUGE_METHOD, JIT_LIMIT)
+
+
 def build_session(app: str = "gridspark", master: str | None = None, **conf) -> SparkSession:
     """Session with the settings the operators are written for.
 
@@ -24,6 +36,7 @@ def build_session(app: str = "gridspark", master: str | None = None, **conf) ->
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
         "spark.ui.enabled": "false",
+        HUGE_METHOD: JIT_LIMIT,
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
