@@ -9,6 +9,7 @@ from gridspark.catalog.fixtures import CELL_UNITS, Tables, sql
 from gridspark.catalog.registry import log6, query, rounded
 from gridspark.functions.names import parse_depth_range, parse_run_key
 from gridspark.operators import depth, ensemble, order_statistics, run_keys, soil
+from gridspark.plans import soil_to_awc
 from gridspark.sources import readers, writers
 
 ID = ["row", "col", "layer"]
@@ -330,6 +331,15 @@ def _(t: Tables):
     return rounded(ensemble.ptf_ensemble(awc_of(t)), 5, "awc_mean", "awc_sd")
 
 
+@query("A6_ensemble_from_profiles", _sql(
+    f"""SELECT depth, row, col, {q.r('avg(awc_mm)', 5)} AS awc_mean, {q.r('stddev_pop(awc_mm)', 5)} AS awc_sd
+        FROM maps GROUP BY depth, row, col
+        HAVING count(awc_mm) = (SELECT count(DISTINCT ptf) FROM maps)""",
+    **_SEVEN, maps=_maps_cte({n: f"m_{n}" for n in MAP_SQL})))
+def _(t: Tables):
+    return rounded(soil_to_awc.ensemble_maps(t.profile, tuple(MAP_SQL)), 5, "awc_mean", "awc_sd")
+
+
 @query("U4_exclude_names", _sql(
     "SELECT ptf, depth, count(*) AS n_cells FROM maps WHERE ptf NOT IN ('toth') GROUP BY ptf, depth",
     m_toth=MAP_SQL["toth"], m_saxton=MAP_SQL["saxton"], m_weynants=MAP_SQL["weynants"],

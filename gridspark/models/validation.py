@@ -148,8 +148,12 @@ def nested_spatial_cv(cells: DataFrame, features: Sequence[str], n_outer: int =
     if threshold_mode not in ("per_fold_f1", "fixed"):
         raise ValueError(f"unknown threshold mode {threshold_mode!r}")
     features = list(features)
-    plan = plan or FoldPlan.build(block_sizes(cells), n_outer, n_inner)
-    rows = cut_lineage(prepare_rows(cells, features, plan)) if rows is None else rows
+    if plan is None:
+        cells = cut_lineage(cells.select(*features, "y", "block_id"))  # read for the folds and for the rows
+        plan = FoldPlan.build(block_sizes(cells), n_outer, n_inner)
+    own_rows = rows is None
+    if own_rows:
+        rows = cut_lineage(prepare_rows(cells, features, plan)).persist()
     scales = training_scales(rows, features, plan.n_outer)
     best_c = random_search_c(rows, plan, features, scales, n_iter, seed, auc_bins)
     models = [Model(o, -1, best_c[o]) for o in range(plan.n_outer)]
@@ -191,6 +195,8 @@ def nested_spatial_cv(cells: DataFrame, features: Sequence[str], n_outer: int =
     counts = {"fold": "int", "n_train": "bigint", "n_val": "bigint", "n_val_blocks": "int"}
     schema = ", ".join(f"`{k}` {counts.get(k, 'double')}" for k in table[0])
     folds = cells.sparkSession.createDataFrame([tuple(r.values()) for r in table], schema)
+    if own_rows:
+        rows.unpersist()
     return NestedResult(folds, table, models, scales, plan, features)
 
 

@@ -103,13 +103,12 @@ def stack_depths(wide: DataFrame, ptf: str, columns: Sequence[str] = ("awc_1m",
     return wide.select(F.lit(ptf).alias("ptf"), *keys, rows).select("ptf", "depth", *keys, "awc_mm")
 
 
-def awc_maps(profile: DataFrame, names: Sequence[str], null_gravel_is_zero: bool = False,
+def awc_wide(profile: DataFrame, names: Sequence[str], null_gravel_is_zero: bool = False,
              keys: Sequence[str] = CELL) -> DataFrame:
-    """1 m and 2 m maps of many functions from one scan and one shuffle.
+    """One row per cell with ``<name>@1m`` and ``<name>@2m`` of every function.
 
     ``profile`` carries a ``<name>_awc_vol`` column per function and the layer
-    limits.  All functions are summed side by side in a single aggregation and
-    only the per-cell result is turned into (ptf, depth, row, col, awc_mm).
+    limits.  All functions are summed side by side in a single aggregation.
     """
     factor = (1.0 - gravel_share(null_gravel_is_zero)) * F.col("thick_mm")
     layers = profile.select(*keys, "upper_cm", *[(F.col(f"{n}_awc_vol") * factor).alias(n) for n in names])
@@ -117,8 +116,17 @@ def awc_maps(profile: DataFrame, names: Sequence[str], null_gravel_is_zero: bool
     for name in names:
         sums.append(F.sum(F.when(F.col("upper_cm") < 100, F.col(name))).alias(f"{name}@1m"))
         sums.append(F.sum(name).alias(f"{name}@2m"))
-    wide = layers.groupBy(*keys).agg(*sums)
+    return layers.groupBy(*keys).agg(*sums)
+
+
+def awc_maps(profile: DataFrame, names: Sequence[str], null_gravel_is_zero: bool = False,
+             keys: Sequence[str] = CELL) -> DataFrame:
+    """(ptf, depth, row, col, awc_mm) of many functions from one scan and one shuffle.
+
+    Only the per-cell result of :func:`awc_wide` is turned into long form.
+    """
     rows = F.inline(F.array(*[
         F.struct(F.lit(n).alias("ptf"), F.lit(d).alias("depth"), F.col(f"{n}@{d}").alias("awc_mm"))
         for n in names for d in ("1m", "2m")]))
-    return wide.select(*keys, rows).select("ptf", "depth", *keys, "awc_mm")
+    return awc_wide(profile, names, null_gravel_is_zero, keys).select(*keys, rows).select(
+        "ptf", "depth", *keys, "awc_mm")

@@ -34,6 +34,23 @@ def ptf_ensemble(awc: DataFrame, ptfs: Sequence[str] | None = None,
             .select("depth", "row", "col", "awc_mean", "awc_sd"))
 
 
+def ensemble_of_columns(wide: DataFrame, names: Sequence[str], depths: Sequence[str] = ("1m", "2m")) -> DataFrame:
+    """:func:`ptf_ensemble` when all maps already share a row per cell.
+
+    Columns are ``<name>@<depth>``; mean and deviation are row arithmetic, so
+    nothing is shuffled again.
+    """
+    def struct(d: str):
+        columns = [F.col(f"{n}@{d}") for n in names]
+        mean = sum(columns[1:], columns[0]) / float(len(columns))  # NULL if any is NULL
+        squares = [(c - mean) * (c - mean) for c in columns]
+        sd = F.sqrt(sum(squares[1:], squares[0]) / float(len(columns)))
+        return F.struct(F.lit(d).alias("depth"), mean.alias("awc_mean"), sd.alias("awc_sd"))
+
+    rows = wide.select("row", "col", F.inline(F.array(*[struct(d) for d in depths])))
+    return rows.where(F.col("awc_mean").isNotNull()).select("depth", "row", "col", "awc_mean", "awc_sd")
+
+
 def score_ensemble(df: DataFrame, members: DataFrame, features: Sequence[str],
                    outputs: Sequence[str], log10_outputs: Sequence[str] = ()) -> DataFrame:
     """Mean prediction of a bootstrap ensemble, row by row.

@@ -78,9 +78,10 @@ def run_dsi(awc: DataFrame, disco: DataFrame, extras: Mapping[str, DataFrame] |
     features = ["awc", *extras]
     cells = cut_lineage(model_cells(awc, disco, extras, grid, config))
     plan = FoldPlan.build(block_sizes(cells), config.outer_n_splits, config.inner_n_splits)
-    rows = cut_lineage(prepare_rows(cells, features, plan))
+    rows = cut_lineage(prepare_rows(cells, features, plan)).persist()  # read once per fitting pass
     nested = nested_spatial_cv(cells, features, n_iter=config.n_iter, seed=config.seed, plan=plan, rows=rows)
     model = fit_final(rows, features, nested.scales[ALL_CELLS], [r["tuned_C"] for r in nested.rows])
+    rows.unpersist()
     spark = cells.sparkSession
     scaler = scoring.scaler_table(spark, features, nested.scales[ALL_CELLS])
     scaled = scaling.apply_scaler(cells, scaler, features).select(*[F.col(f"{f}_z").alias(f) for f in features])

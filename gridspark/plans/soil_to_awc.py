@@ -27,15 +27,19 @@ def class_volume(profile: DataFrame, lookup: DataFrame | None = None) -> DataFra
     return volumes.withColumnRenamed("awc_vol", "wessolek_awc_vol").select(*profile.columns, "wessolek_awc_vol")
 
 
+def _volumes(profile: DataFrame, names: Sequence[str], lookup: DataFrame | None) -> DataFrame:
+    volumes = soil.awc_volumes(profile, [n for n in names if n != "wessolek"])
+    return class_volume(volumes, lookup) if "wessolek" in names else volumes
+
+
 def all_maps(profile: DataFrame, names: Sequence[str], lookup: DataFrame | None = None) -> DataFrame:
     """(ptf, depth, row, col, awc_mm) of the named functions, texture class included."""
-    closed = [n for n in names if n != "wessolek"]
-    volumes = soil.awc_volumes(profile, closed)
-    if "wessolek" in names:
-        volumes = class_volume(volumes, lookup)
-    return depth.awc_maps(volumes, names)
+    return depth.awc_maps(_volumes(profile, names, lookup), names)
 
 
-def ensemble_maps(profile: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Cell-wise mean and deviation over functions."""
-    return ensemble.ptf_ensemble(all_maps(profile, names))
+def ensemble_maps(profile: DataFrame, names: Sequence[str], lookup: DataFrame | None = None) -> DataFrame:
+    """Cell-wise mean and deviation over functions, straight from the profiles.
+
+    The only shuffle is the one that sums the layers of a cell.
+    """
+    return ensemble.ensemble_of_columns(depth.awc_wide(_volumes(profile, names, lookup), names), names)

@@ -36,6 +36,11 @@ def test_rows_only_queries_run(spark, name):
     assert QUERIES[name](spark, SMOKE_DIR).count() > 0
 
 
+def formatted(df):
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return df._jdf.queryExecution().explainString(mode)
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -53,7 +58,8 @@ def test_flagship_plan(spark):
     # one shuffle builds the derived soil table, one integrates its layers
     assert plan.count("Exchange hashpartitioning") == 2
     assert plan.count("BroadcastExchange") == 1
-    scan = plan.split("ReadSchema: struct<")[1].split(">")[0]
+    details = formatted(entry(spark))
+    scan = details.split("ReadSchema: struct<")[1].split(">")[0]
     assert {c.split(":")[0] for c in scan.split(",")} <= {
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"}
-    assert "PushedFilters: [IsNotNull(l_linenumber), LessThanOrEqual(l_linenumber,6)" in plan
+    assert "PushedFilters: [IsNotNull(l_linenumber), LessThanOrEqual(l_linenumber,6)" in details
