@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.bins import equal_bin
 from gridspark.functions.scores import brier_skill_score, pr_auc_skill_ratio
+from gridspark.operators.lookup import join_lookup
 from gridspark.operators.order_statistics import class_measures, quantile_agg, running_counts
 
 SCORE_BIN = 1.0 / 4096
@@ -164,7 +165,7 @@ def calibration_bins(scored: DataFrame, keys: Sequence[str], n_bins: int = 12, m
     edges = quantile_edges(scored, edge_keys, n_bins, p)
     inner = lambda e: F.slice(e, 2, F.size(e) - 2)
     if edge_keys:
-        placed = scored.join(edges, edge_keys)
+        placed = join_lookup(scored, edges, edge_keys)
         limits = F.col("edges")
     else:
         placed, limits = scored, edges.scalar()

@@ -18,19 +18,21 @@ def ptf_ensemble(awc: DataFrame, ptfs: Sequence[str] | None = None,
     """Mean and population deviation over functions, per depth and cell.
 
     A cell is kept only where every function present for that depth has a
-    value.  Input: (ptf, depth, row, col, awc_mm).
+    value.  Input: (ptf, depth, row, col, awc_mm).  The number of functions per
+    depth is a map of a few labels, read by a scalar subquery.
     """
     if ptfs is not None:
         awc = awc.where(F.col("ptf").isin(list(ptfs)))
     if depths is not None:
         awc = awc.where(F.col("depth").isin(list(depths)))
     present = awc.groupBy("depth").agg(F.count_distinct("ptf").alias("n_ptf"))
+    present = present.agg(F.map_from_entries(F.collect_list(F.struct("depth", "n_ptf")))).scalar()
     cells = awc.groupBy("depth", "row", "col").agg(
         F.avg("awc_mm").alias("awc_mean"),
         F.stddev_pop("awc_mm").alias("awc_sd"),
         F.count("awc_mm").alias("n_valid"),
     )
-    return (cells.join(present, "depth").where(F.col("n_valid") == F.col("n_ptf"))
+    return (cells.where(F.col("n_valid") == F.element_at(present, F.col("depth")))
             .select("depth", "row", "col", "awc_mean", "awc_sd"))
 
 

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.operators.lookup import join_lookup
+
 CELL = ("row", "col")
 
 
@@ -235,7 +237,7 @@ def clip_to_polygon(cells: DataFrame, edges: DataFrame, grid: Grid) -> DataFrame
     lines = scan_rows(edges, grid)
     cx = grid.x(F.col("col"))
     right = F.size(F.filter("crossings", lambda x: x > cx))
-    return cells.join(lines, "row").where(right % 2 == 1).select(*cells.columns)
+    return join_lookup(cells, lines, ["row"]).where(right % 2 == 1).select(*cells.columns)
 
 
 def block_columns(grid: Grid, block_size_m: float) -> tuple[int, int, int]:

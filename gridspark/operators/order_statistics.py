@@ -19,7 +19,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-AUTO_BINS = 4096
+from gridspark.operators.lookup import join_lookup
+
+BINS_PER_E = 16384.0
 _BIN, _ALL = "__bin", "__all"
 
 
@@ -34,13 +36,18 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str | Column,
             .agg(*[F.sum(name).alias(name) for name in measures]))
 
 
-def _auto_bins(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Bin column from each group's own value range."""
-    spans = counts.groupBy(*keys).agg(F.min("value").alias("__lo"), F.max("value").alias("__hi"))
-    share = F.try_divide(F.col("value") - F.col("__lo"), F.col("__hi") - F.col("__lo"))
-    index = F.coalesce(F.floor(share * AUTO_BINS), F.lit(0))
-    return (counts.join(spans, list(keys)).withColumn(_BIN, F.least(index, F.lit(AUTO_BINS - 1)))
-            .drop("__lo", "__hi"))
+def _bin_of(value: Column, bin_width: float | None) -> Column:
+    """Bin number, growing with the value; never NULL.
+
+    Equal bins of ``bin_width``, or else bins of equal relative width (about
+    0.006 percent), which need no knowledge of the value range.  Being visibly
+    never NULL keeps the join on the bin from adding a filter to one side only,
+    so both sides read the same shuffle.
+    """
+    if bin_width is not None:
+        return F.coalesce(F.floor(value / F.lit(float(bin_width))), F.lit(0))
+    magnitude = F.floor(F.log1p(F.abs(value)) * BINS_PER_E)
+    return F.coalesce(F.when(value < 0, -1 - magnitude).otherwise(magnitude), F.lit(0))
 
 
 def running_counts(df: DataFrame, keys: Sequence[str], value: str | Column,
@@ -51,7 +58,7 @@ def running_counts(df: DataFrame, keys: Sequence[str], value: str | Column,
     ``m_before`` sums over strictly smaller values of the group and ``m_total``
     over the whole group; ``v_min`` and ``v_max`` are the group's extremes.
     Give ``bin_width`` when the value range is known (probabilities,
-    millimetres); otherwise the range of each group is read first.  Keys must
+    millimetres); otherwise bins of equal relative width are used.  Keys must
     not be NULL.
     """
     measures = dict(measures or {"n": F.lit(1).cast("bigint")})
@@ -60,12 +67,7 @@ def running_counts(df: DataFrame, keys: Sequence[str], value: str | Column,
     if constant:
         df, keys = df.withColumn(_ALL, F.lit(1)), [_ALL]
     counts = value_counts(df, keys, value, measures)
-    if bin_width is None:
-        binned = _auto_bins(counts, keys)
-    else:
-        # With a bin that is visibly never NULL the join below adds no filter to
-        # one side only, so both sides read the same shuffle.
-        binned = counts.withColumn(_BIN, F.coalesce(F.floor(F.col("value") / F.lit(float(bin_width))), F.lit(0)))
+    binned = counts.withColumn(_BIN, _bin_of(F.col("value"), bin_width))
 
     totals = binned.groupBy(*keys, _BIN).agg(
         *[F.sum(m).alias(m) for m in measures],
@@ -136,8 +138,8 @@ def sample_cap(df: DataFrame, group: Sequence[str], n: int, cell: Sequence[str],
 
     Rows are ordered by a hash of their identity.  The hash range is cut into
     65,536 slices; slices that cannot hold one of the first ``n`` rows are
-    dropped by an equi-join on their counts before anything is ranked, and a
-    slice, not a group, is what one task ranks.
+    dropped by a lookup of their counts before anything is shuffled, and a
+    slice, not a group, is what one task ranks.  Counting the slices runs a job.
     """
     group = list(group)
     draws = df.withColumn("__draw", F.xxhash64(F.lit(seed), *cell))
@@ -146,7 +148,7 @@ def sample_cap(df: DataFrame, group: Sequence[str], n: int, cell: Sequence[str],
     slices = (draws.groupBy(*group, "__slice").agg(F.count(F.lit(1)).alias("__n"))
               .withColumn("__before", F.coalesce(F.sum("__n").over(ordering), F.lit(0)))
               .where(F.col("__before") < n).select(*group, "__slice", "__before"))
-    kept = draws.join(slices, [*group, "__slice"])
+    kept = join_lookup(draws, slices, [*group, "__slice"])
     rank = F.row_number().over(Window.partitionBy(*group, "__slice").orderBy("__draw", *cell))
     return (kept.withColumn("__rank", rank + F.col("__before")).where(F.col("__rank") <= n)
             .select(*df.columns))

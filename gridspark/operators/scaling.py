@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gridspark.functions.scores import standardize
 from gridspark.operators.order_statistics import quantile_agg, running_counts, value_counts
 
+BOUNDS = ("clip_lower", "clip_upper", "v_min", "v_max")
 SCALER_PARTS = ("clip_lower", "clip_upper", "center", "scale")
 
 
@@ -28,7 +29,8 @@ def fit_scaler(cells: DataFrame, columns: Sequence[str],
 
     Clip limits are exact linear quantiles; centre and scale are the mean and
     population deviation of the clipped values, a zero scale becoming 1.  Both
-    steps work on distinct values, so a feature is shuffled once.
+    steps work on distinct values; the limits reach the second one as a scalar
+    subquery, so no row is shuffled on the feature name.
     """
     features = long_features(cells, columns)
     if q is None:
@@ -41,7 +43,14 @@ def fit_scaler(cells: DataFrame, columns: Sequence[str],
         bounds = rows.groupBy("feature").agg(
             quantile_agg(q[0]).alias("clip_lower"), quantile_agg(q[1]).alias("clip_upper"),
             F.max("v_min").alias("v_min"), F.max("v_max").alias("v_max"))
-    counts = value_counts(features, ["feature"], "value").join(bounds, "feature")
+    row = bounds.agg(*[F.first(F.when(F.col("feature") == c, F.struct(*BOUNDS)), ignorenulls=True).alias(c)
+                       for c in columns])
+    counts = value_counts(features, ["feature"], "value").withColumn("__b", row.select(F.struct(*columns)).scalar())
+    own = None
+    for c in columns:
+        hit = F.col("feature") == c
+        own = F.when(hit, F.col(f"__b.{c}")) if own is None else own.when(hit, F.col(f"__b.{c}"))
+    counts = counts.select("feature", "value", "n", own.alias("__own")).select("feature", "value", "n", "__own.*")
     clipped = F.greatest(F.col("clip_lower"), F.least(F.col("clip_upper"), F.col("value")))
     shift = (F.greatest("clip_lower", "v_min") + F.least("clip_upper", "v_max")) / 2.0
     d, n = clipped - shift, F.col("n")
