@@ -270,11 +270,16 @@ CLOSED_FORM = {"schoch": (schoch, True), "wosten": (wosten, True), "weynants": (
 
 
 def awc_volume_steps(names, fc: float, pwp: float) -> Steps:
-    """Steps ending in one ``<name>_awc_vol`` column per function."""
-    steps: Steps = []
+    """Steps ending in one ``<name>_awc_vol`` column per function.
+
+    Step i of every function shares one projection, which keeps the plan short.
+    """
+    parts = []
     for name in names:
         make, retention = CLOSED_FORM[name]
-        steps += make(f"{name}_")
-        if retention:
-            steps += water_between(fc, pwp, f"{name}_")
-    return steps
+        steps = make(f"{name}_")
+        parts.append(steps + water_between(fc, pwp, f"{name}_") if retention else steps)
+    merged: Steps = []
+    for i in range(max(map(len, parts), default=0)):
+        merged.append({n: c for steps in parts if i < len(steps) for n, c in steps[i].items()})
+    return merged
