@@ -6,7 +6,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 # HotSpot never compiles a method above 8,000 bytes of bytecode.  Evaluating many
 # pedotransfer functions on one row exceeds that in a single fused method and is
 # then interpreted, 2-3 times slower; below this limit Spark splits the code.
@@ -51,7 +50,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             folder = tempfile.mkdtemp(prefix="gridspark-checkpoint-")
         context.setCheckpointDir(folder)
