@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # HotSpot never compiles a method above 8,000 bytes of bytecode.  Evaluating many
@@ -45,13 +44,14 @@ def build_session(app: str = "gridspark", master: str | None = None, **conf) ->
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the session's checkpoint folder and drop its lineage.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    session without one (tests, a laptop) gets a temporary folder.
+    The folder is the one that the context has or the cluster names in
+    ``spark.checkpoint.dir``.  A session without one keeps the rows in memory and
+    on its disks instead: no folder is invented that executors might not share.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            folder = tempfile.mkdtemp(prefix="gridspark-checkpoint-")
+            return df.persist(StorageLevel.MEMORY_AND_DISK)
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
