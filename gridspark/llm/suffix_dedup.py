@@ -13,22 +13,20 @@ Exact repeats collapse in every chunk before they are sent, so a passage in a th
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
+import zstandard
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.llm.suffix_sort import sort_suffixes
-from gridspark.session import cut_lineage
-
 WINDOW = 50
 GRAM = 24
 CHUNK_BYTES = 12 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 _SPAN = 1 << 16
+SHORT = 6  # bytes of a hash that travel
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -105,7 +103,8 @@ class Chunk:
         self.window, self.k = window, k
         found = [anchors(self.data[s:e], window, k) for s, e in zip(self.starts, self.ends, strict=True)]
         self.at = np.concatenate([p + s for (p, _), s in zip(found, self.starts, strict=True)] or [np.zeros(0, np.int64)]).astype(np.int64)
-        self.hash = np.concatenate([h for _, h in found] or [np.zeros(0, np.uint64)]).astype(np.uint64)
+        # One bit less than travels: the lowest one is a mark.
+        self.hash = np.concatenate([h for _, h in found] or [np.zeros(0, np.uint64)]).astype(np.uint64) >> np.uint64(65 - 8 * SHORT)
         self.row = np.repeat(np.arange(len(found)), [len(p) for p, _ in found])
 
     def keep(self, hashes: np.ndarray) -> None:
@@ -142,7 +141,7 @@ class Chunk:
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return (hashes >> np.uint64(40)).astype(np.int64) % buckets
+    return (hashes * _M >> np.uint64(33)).astype(np.int64) % buckets
 
 
 def by_bucket(which: np.ndarray, buckets: int):
@@ -153,9 +152,28 @@ def by_bucket(which: np.ndarray, buckets: int):
         yield int(which[part[0]]), part
 
 
+def short(hashes: np.ndarray) -> bytes:
+    """The low SHORT bytes of each hash: enough to find repeats, as a chance match costs work but changes nothing."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SHORT].tobytes()
+
+
+def longs(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // SHORT, 8), np.uint8)
+    out[:, :SHORT] = np.frombuffer(blob, np.uint8).reshape(-1, SHORT)
+    return out.view("<u8").ravel()
+
+
+def packed(x: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 1)
+
+
+def unpacked(blob: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(blob), kind)
+
+
 def repeated(blobs: list[bytes]) -> np.ndarray:
     """Hashes that stand in several chunks, or that one chunk marked (lowest bit) as held more than once."""
-    each = np.frombuffer(b"".join(blobs), "<u8")
+    each = longs(b"".join(blobs))
     bare = each >> np.uint64(1)
     order = np.sort(bare)
     return np.unique(np.concatenate([order[1:][order[1:] == order[:-1]], bare[(each & np.uint64(1)) == 1]]))
@@ -223,32 +241,31 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     chunks = max(1, total // chunk_bytes)
     # Buckets receive about a chunk's worth of anchors each.
     buckets = max(1, total // (2 * chunk_bytes))
-    short = F.octet_length("body") < window
-    alone = rows.where(F.col("id").isNull() | short)
-    dealt = (rows.where(F.col("id").isNotNull() & ~short).withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
-             .repartition("chunk"))
+    tiny = F.octet_length("body") < window
+    alone = rows.where(F.col("id").isNull() | tiny)
+    dealt = (rows.where(F.col("id").isNotNull() & ~tiny).withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
+             .repartition(F.col("chunk")))
 
     def send(table: pa.Table) -> pa.Table:
         chunk = Chunk(table, window, k)
         hashes, counts = np.unique(chunk.hash, return_counts=True)
-        marked = (hashes >> np.uint64(1) << np.uint64(1)) | (counts > 1).astype(np.uint64)
-        cells = [(table.column("chunk")[0].as_py(), b, marked[i].astype("<u8").tobytes()) for b, i in by_bucket(bucket_of(hashes, buckets), buckets)]
+        marked = (hashes << np.uint64(1)) | (counts > 1).astype(np.uint64)
+        cells = [(table.column("chunk")[0].as_py(), b, short(marked[i])) for b, i in by_bucket(bucket_of(hashes, buckets), buckets)]
         return pa.table(list(zip(*cells, strict=True)) or [[], [], []], schema=sent)
 
     def reply(table: pa.Table) -> pa.Table:
         again = repeated(table.column("blob").to_pylist())
         out = []
         for chunk, blob in zip(table.column("chunk").to_pylist(), table.column("blob").to_pylist(), strict=True):
-            own = np.frombuffer(blob, "<u8") >> np.uint64(1)
+            own = longs(blob) >> np.uint64(1)
             own = own[np.isin(own, again)]
             if len(own):
-                out.append((chunk, own.astype("<u8").tobytes()))
+                out.append((chunk, short(own)))
         return pa.table(list(zip(*out, strict=True)) or [[], []], schema=pa.schema([("chunk", pa.int64()), ("blob", pa.binary())]))
 
     def narrowed(texts: pa.Table, wanted: pa.Table) -> Chunk:
         chunk = Chunk(texts, window, k)
-        chunk.hash = chunk.hash >> np.uint64(1)
-        chunk.keep(np.frombuffer(b"".join(wanted.column("blob").to_pylist()), "<u8"))
+        chunk.keep(longs(b"".join(wanted.column("blob").to_pylist())))
         return chunk
 
     def surround(texts: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -258,19 +275,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         contexts, which, least = chunk.surroundings()
         hashes = np.zeros(len(contexts), np.uint64)
         hashes[which] = chunk.hash
-        cells = [(texts.column("chunk")[0].as_py(), b, contexts[i].tobytes(), least[i].astype("<i8").tobytes())
+        cells = [(texts.column("chunk")[0].as_py(), b, packed(contexts[i]), packed(least[i]))
                  for b, i in by_bucket(bucket_of(hashes, buckets), buckets)]
         return pa.table(list(zip(*cells, strict=True)) or [[], [], [], []], schema=around)
 
     def resolve(table: pa.Table) -> pa.Table:
-        blobs = table.column("contexts").to_pylist()
-        width = 2 + 2 * window - k
-        rows = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, width)
-        ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), "<i8").astype(np.int64)
-        least, mask = smallest_by_window(rows, ids, window, k)
-        ends = np.cumsum([len(b) // width for b in blobs])
-        out = [(c, b, least[e - len(x) // width:e].astype("<i8").tobytes(), mask[e - len(x) // width:e].astype("<i8").tobytes())
-               for c, b, x, e in zip(table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), blobs, ends, strict=True)]
+        rows = np.concatenate([unpacked(x.as_py(), "u1") for x in table.column("contexts")]).reshape(-1, 2 + 2 * window - k)
+        ids = [unpacked(x.as_py(), "<i8") for x in table.column("ids")]
+        least, mask = smallest_by_window(rows, np.concatenate(ids), window, k)
+        ends = np.cumsum([len(x) for x in ids])
+        out = [(c, b, packed(least[e - len(x):e]), packed(mask[e - len(x):e]))
+               for c, b, x, e in zip(table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), ids, ends, strict=True)]
         return pa.table(list(zip(*out, strict=True)), schema=solved)
 
     def apply(texts: pa.Table, known: pa.Table) -> pa.Table:
@@ -285,7 +300,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
             least, mask = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
             told = {b: (x, y) for b, x, y in zip(*(results.column(c).to_pylist() for c in ("bucket", "least", "mask")), strict=True)}
             for b, i in by_bucket(bucket_of(hashes, buckets), buckets):
-                least[i], mask[i] = np.frombuffer(told[b][0], "<i8"), np.frombuffer(told[b][1], "<i8")
+                least[i], mask[i] = unpacked(told[b][0], "<i8"), unpacked(told[b][1], "<i8")
             gone = removal(chunk, which, least, mask)
         else:
             chunk = Chunk.__new__(Chunk)
@@ -306,10 +321,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     solved = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("least", pa.binary()), ("mask", pa.binary())])
     final = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
     hashes = dealt.groupBy("chunk").applyInArrow(send, "chunk long, bucket long, blob binary")
-    wanted = cut_lineage(hashes.groupBy("bucket").applyInArrow(reply, "chunk long, blob binary"))
+    # One plan without stored steps in between: the texts are dealt once and all three passes read the same exchange.
+    wanted = hashes.groupBy("bucket").applyInArrow(reply, "chunk long, blob binary")
     contexts = dealt.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(
         surround, "chunk long, bucket long, contexts binary, ids binary")
-    results = cut_lineage(contexts.groupBy("bucket").applyInArrow(resolve, "chunk long, bucket long, least binary, mask binary"))
+    results = contexts.groupBy("bucket").applyInArrow(resolve, "chunk long, bucket long, least binary, mask binary")
     known = results.union(wanted.select("chunk", F.lit(None).cast("long"), "blob", F.lit(None).cast("binary")))
     removed = dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(
         apply, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
