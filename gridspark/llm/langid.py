@@ -21,7 +21,7 @@ UNKNOWN = "und"
 class Settings:
     bits: int = 14  # n-grams are hashed to 2 ** bits features
     orders: tuple[int, ...] = (1, 2, 3)
-    rows_per_language: int = 1200  # bound of the fitting sample: labelled rows per language with the smallest hashes
+    rows_per_language: int = 1000  # bound of the fitting sample: labelled rows per language with the smallest hashes
     chars_per_row: int = 2000  # rows longer than this enter the fit by windows of this size, one window a row
     held_back: int = 6  # one row in so many calibrates the temperature
     epochs: int = 3
