@@ -19,11 +19,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridspark.llm.suffix_sort import sort_suffixes
 WINDOW = 50
 GRAM = 24
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 _SPAN = 1 << 16
 SHORT = 6  # bytes of a hash that travel
@@ -90,13 +91,18 @@ def anchors(data: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(places), np.concatenate(hashes)
 
 
+def in_order(table: pa.Table) -> tuple[list[int], np.ndarray, list[bytes]]:
+    """Order of the rows by (id, body), with both columns in this order."""
+    ids, bodies = table.column("id").to_pylist(), table.column("body").to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], bodies[i]))
+    return order, np.array([ids[i] for i in order], np.int64), [bodies[i] for i in order]
+
+
 class Chunk:
     """Texts of one chunk, in order of (id, text), as one byte array."""
 
     def __init__(self, table: pa.Table, window: int, k: int):
-        rows = sorted(zip(table.column("id").to_pylist(), table.column("body").to_pylist(), strict=True))
-        self.ids = np.array([r[0] for r in rows], np.int64)
-        self.bodies = [r[1] for r in rows]
+        self.order, self.ids, self.bodies = in_order(table)
         self.ends = np.cumsum([len(b) for b in self.bodies])
         self.starts = self.ends - [len(b) for b in self.bodies]
         self.data = np.frombuffer(b"".join(self.bodies), np.uint8)
@@ -217,26 +223,29 @@ def removal(chunk: Chunk, which: np.ndarray, least: np.ndarray, mask: np.ndarray
     window, reach = chunk.window, chunk.window - chunk.k
     left = np.minimum(chunk.at - chunk.starts[chunk.row], reach)
     right = np.minimum(chunk.ends[chunk.row] - chunk.at, window)
-    edges = np.zeros(len(chunk.data) + 1, np.int64)
+    edges = np.zeros(len(chunk.data) + 1, np.int32)
     later = chunk.ids[chunk.row] > least[which]
     for a in range(reach + 1):
         go = (left >= a) & (right >= window - a) & (later | ((mask[which] >> np.int64(a)) & 1 == 1))
         at = chunk.at[go] - a
         np.add.at(edges, at, 1)
         np.add.at(edges, at + window, -1)
-    return np.cumsum(edges[:-1]) > 0
+    return np.cumsum(edges[:-1], out=edges[:-1]) > 0
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, k: int = GRAM,
-                   chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept): ``kept`` holds the remaining bytes (binary).
+                   chunk_bytes: int = CHUNK_BYTES, keep: tuple[str, ...] = (),
+                   whole_characters: bool = False) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept, and the columns ``keep``): ``kept`` holds the remaining bytes (binary).
 
     One row per row of ``docs``.  Null and empty texts have no bytes; texts shorter than ``window`` lose nothing.
     Strings are judged on the input; copies of the smallest id itself stay, also those in other rows with the same id.
-    Rows without an id are compared with nothing and returned whole.
+    Rows without an id are compared with nothing and returned whole.  ``whole_characters`` also drops those remaining
+    bytes from ``kept`` that form no whole character any more; counts stay those of the rule.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), body.alias("body"))
+    inner = [f"__{i}" for i in range(len(keep))]
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), body.alias("body"), *(F.col(f"`{c}`").alias(x) for c, x in zip(keep, inner)))
     total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     chunks = max(1, total // chunk_bytes)
     # Buckets receive about a chunk's worth of anchors each.
@@ -290,7 +299,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
     def apply(texts: pa.Table, known: pa.Table) -> pa.Table:
         if not texts.num_rows:
-            return pa.table([[]] * 5, schema=final)
+            return pa.table([pa.array([], t) for t in final.types] + [texts.column(c) for c in inner], names=final.names + inner)
         wanted, results = known.filter(pc.is_null(known.column("bucket"))), known.filter(pc.is_valid(known.column("bucket")))
         if results.num_rows:
             chunk = narrowed(texts, wanted.select(["least"]).rename_columns(["blob"]))
@@ -301,20 +310,19 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
             told = {b: (x, y) for b, x, y in zip(*(results.column(c).to_pylist() for c in ("bucket", "least", "mask")), strict=True)}
             for b, i in by_bucket(bucket_of(hashes, buckets), buckets):
                 least[i], mask[i] = unpacked(told[b][0], "<i8"), unpacked(told[b][1], "<i8")
-            gone = removal(chunk, which, least, mask)
+            gone, order, ids, bodies = removal(chunk, which, least, mask), chunk.order, chunk.ids, chunk.bodies
         else:
-            chunk = Chunk.__new__(Chunk)
-            ordered = sorted(zip(texts.column("id").to_pylist(), texts.column("body").to_pylist(), strict=True))
-            chunk.ids, chunk.bodies = [r[0] for r in ordered], [r[1] for r in ordered]
-            gone = None
+            gone, (order, ids, bodies) = None, in_order(texts)
         out, at = [], 0
-        for i, b in zip(chunk.ids, chunk.bodies, strict=True):
+        for i, b in zip(ids, bodies, strict=True):
             part = gone[at:at + len(b)] if gone is not None else np.zeros(0, bool)
             at += len(b)
             n = int(part.sum())
             spans = int(part[:1].sum() + (part[1:] & ~part[:-1]).sum())
-            out.append((int(i), len(b), n, spans, np.frombuffer(b, np.uint8)[~part].tobytes() if n else b))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), final.types, strict=True)], schema=final)
+            kept = np.frombuffer(b, np.uint8)[~part].tobytes() if n else b
+            out.append((int(i), len(b), n, spans, kept.decode("utf-8", "ignore").encode() if n and whole_characters else kept))
+        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), final.types, strict=True)]
+        return pa.table(columns + [texts.column(c).take(pa.array(order)) for c in inner], names=final.names + inner)
 
     sent = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("blob", pa.binary())])
     around = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("contexts", pa.binary()), ("ids", pa.binary())])
@@ -328,7 +336,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     results = contexts.groupBy("bucket").applyInArrow(resolve, "chunk long, bucket long, least binary, mask binary")
     known = results.union(wanted.select("chunk", F.lit(None).cast("long"), "blob", F.lit(None).cast("binary")))
     removed = dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(
-        apply, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+        apply, T.StructType([*T._parse_datatype_string("id long, n_bytes long, n_removed long, n_spans long, kept binary").fields,
+                             *(rows.schema[c] for c in inner)]))
     zero = F.lit(0).cast("long")
-    whole = alone.select("id", F.octet_length("body").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("body").alias("kept"))
-    return removed.union(whole).withColumnRenamed("id", key)
+    whole = alone.select("id", F.octet_length("body").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("body").alias("kept"), *inner)
+    return removed.union(whole).withColumnsRenamed({"id": key, **dict(zip(inner, keep))})
