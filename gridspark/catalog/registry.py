@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.catalog.fixtures import Tables
-from gridspark.session import tune
 
 
 @dataclass(frozen=True)
@@ -19,7 +18,6 @@ class Query:
     sql: str | None
 
     def __call__(self, spark: SparkSession, folder: str) -> DataFrame:
-        tune(spark)
         return self.run(Tables(spark, folder))
 
 

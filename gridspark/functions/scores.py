@@ -7,20 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridspark.functions.numeric import clip
+from gridspark.functions.numeric import clip, nn
 
 
 def binarize(value: Column, threshold: float = 4000.0, strict: bool = False) -> Column:
-    """1 above the threshold, else 0; NULL stays NULL.
+    """1 above the threshold, else 0; NULL and NaN give NULL.
 
     ``strict`` compares with ``>`` (hexagon shares), otherwise ``>=`` (classes).
     """
+    value = nn(value)
     hit = value > threshold if strict else value >= threshold
     return hit.cast("int")
 
 
 def standardize(x: Column, lo: Column, hi: Column, center: Column, scale: Column) -> Column:
-    return (clip(x, lo, hi) - center) / scale
+    return (clip(nn(x), lo, hi) - center) / scale
 
 
 def sigmoid(z: Column) -> Column:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 # A block covers many cells, so this bounds the map area, not the data volume.
 MAX_BLOCKS = 2_000_000
-BROADCAST_BLOCKS = 200_000
 
 
 def block_sizes(cells: DataFrame, block: str = "block_id") -> dict[int, int]:
@@ -71,8 +70,6 @@ class FoldPlan:
         rows = [(b, f, *[inner.get(b, -1) for inner in self.inner]) for b, f in self.outer.items()]
         schema = f"{block} bigint, fold int, " + ", ".join(f"{n} int" for n in names)
         table = cells.sparkSession.createDataFrame(rows, schema)
-        if len(rows) <= BROADCAST_BLOCKS:
-            table = F.broadcast(table)
         return cells.join(table, block)
 
 
@@ -81,6 +78,4 @@ def group_kfold(cells: DataFrame, k: int, block: str = "block_id") -> DataFrame:
     sizes = block_sizes(cells, block)
     folds = assign_blocks(sizes, k)
     table = cells.sparkSession.createDataFrame(list(folds.items()), f"{block} bigint, fold int")
-    if len(folds) <= BROADCAST_BLOCKS:
-        table = F.broadcast(table)
     return cells.join(table, block)

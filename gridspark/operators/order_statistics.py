@@ -19,6 +19,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.functions.numeric import dbl
 from gridspark.operators.lookup import join_lookup
 
 BINS_PER_E = 16384.0
@@ -30,7 +31,7 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str | Column,
     """One row per (keys, value) with summed measures; missing values dropped."""
     value = F.col(value) if isinstance(value, str) else value
     measures = measures or {"n": F.lit(1).cast("bigint")}
-    slim = df.select(*keys, value.cast("double").alias("value"),
+    slim = df.select(*keys, dbl(value).alias("value"),
                      *[m.alias(name) for name, m in measures.items()])
     return (slim.where(F.col("value").isNotNull()).groupBy(*keys, "value")
             .agg(*[F.sum(name).alias(name) for name in measures]))

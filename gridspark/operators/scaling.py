@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.functions.numeric import dbl
 from gridspark.functions.scores import standardize
 from gridspark.operators.order_statistics import quantile_agg, running_counts, value_counts
 
@@ -94,7 +95,12 @@ def scaled_columns(columns: Sequence[str], params: str = "__scaler") -> dict[str
 
 
 def _correlations(columns: Sequence[str]) -> list[Column]:
-    return [F.corr(a, b).alias(f"{a}|{b}") for a, b in combinations(columns, 2)]
+    """Pearson r of every pair over rows that have both; NULL, not an error, where one of them is constant."""
+    out = []
+    for a, b in combinations(columns, 2):
+        x, y = F.when(dbl(b).isNotNull(), dbl(a)), F.when(dbl(a).isNotNull(), dbl(b))
+        out.append(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(f"{a}|{b}"))
+    return out
 
 
 def pairwise_corr(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -107,10 +113,12 @@ def pairwise_corr(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def vif(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Variance inflation per feature: diagonal of the inverse correlation matrix.
+    """Variance inflation per feature: 1 / (1 - R2) against the other features.
 
-    One aggregation gives a single row of correlations; only that row is
-    inverted.  Fewer than two features give no rows.
+    One aggregation gives a single row of correlations; only that row is solved,
+    by pseudo-inverse, so a feature that others determine gets infinity and the
+    rest keep their own values.  A constant feature gets NULL and is left out of
+    the others' regressions.  Fewer than two features give no rows.
     """
     columns = list(columns)
     schema = "feature string, r2_vs_others double, vif double"
@@ -124,12 +132,15 @@ def vif(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
                 m = np.eye(len(columns))
                 for (i, j), r in zip(pairs, values):
                     m[i, j] = m[j, i] = r
-                if np.isnan(m).any():
-                    diagonal = np.full(len(columns), np.nan)
-                elif abs(np.linalg.det(m)) < 1e-14:
-                    diagonal = np.full(len(columns), np.inf)
-                else:
-                    diagonal = np.diag(np.linalg.inv(m))
-                yield pd.DataFrame({"feature": columns, "r2_vs_others": 1.0 - 1.0 / diagonal, "vif": diagonal})
+                r2 = np.full(len(columns), np.nan)
+                varies = np.flatnonzero(np.isnan(m).sum(axis=1) < max(1, len(columns) - 1))
+                for i in varies:
+                    rest = varies[varies != i]
+                    r = m[i, rest]
+                    if not np.isnan(m[np.ix_(rest, rest)]).any() and not np.isnan(r).any():
+                        r2[i] = r @ np.linalg.pinv(m[np.ix_(rest, rest)], rcond=1e-10, hermitian=True) @ r
+                unexplained = np.where(1.0 - r2 < 1e-12, 0.0, 1.0 - r2)
+                with np.errstate(divide="ignore"):
+                    yield pd.DataFrame({"feature": columns, "r2_vs_others": 1.0 - unexplained, "vif": 1.0 / unexplained})
 
     return cells.agg(*_correlations(columns)).mapInPandas(invert, schema)

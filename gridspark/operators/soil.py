@@ -113,11 +113,11 @@ def awc_vol_mvg(df: DataFrame, fc: float = FIELD_CAPACITY_CM,
 def awc_from_point_ptf(df: DataFrame, fc: str = "fc", wp: str = "wp") -> DataFrame:
     """awc_vol and layer_awc_mm from externally predicted fc and wp columns.
 
-    NULL only where sand, clay or density is missing; the difference is held to
+    NULL where sand, clay, density or a prediction is missing; the difference is held to
     [0, 0.8] and missing gravel counts as none.  Needs ``thick_mm``.
     """
     known = dbl("sand").isNotNull() & dbl("clay").isNotNull() & dbl("trd").isNotNull()
-    awc = F.when(known, clip(F.col(fc) - F.col(wp), 0.0, 0.8))
+    awc = F.when(known, clip(dbl(fc) - dbl(wp), 0.0, 0.8))
     gravel = F.coalesce(dbl("gravel") / 100.0, F.lit(0.0))
     return df.withColumns({"awc_vol": awc, "layer_awc_mm": awc * (1.0 - gravel) * F.col("thick_mm")})
 
