@@ -21,7 +21,7 @@ UNKNOWN = "und"
 class Settings:
     bits: int = 14  # n-grams are hashed to 2 ** bits features
     orders: tuple[int, ...] = (1, 2, 3)
-    rows_per_language: int = 1000  # bound of the fitting sample: labelled rows per language with the smallest hashes
+    rows_per_language: int = 1000  # bound of the fitting sample: distinct labelled texts per language, smallest hashes first
     chars_per_row: int = 2000  # rows longer than this enter the fit by windows of this size, one window a row
     held_back: int = 6  # one row in so many calibrates the temperature
     epochs: int = 3
@@ -135,26 +135,39 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def fitting_sample(rows: DataFrame, settings: Settings) -> list:
+    """(lang, k, text): per language the distinct texts with the smallest hashes, each as one window placed by hash.
+
+    A language's distinct texts are estimated first, so that only texts whose hash lies below the share wanted, and a
+    quarter more, leave their task, once each: what is shuffled and fetched depends on the bound, not on the input.
+    """
+    rows = rows.where(F.length(F.trim("text")) > 0).withColumn("h", F.xxhash64("text", "lang"))
+    share = F.col("h").cast("double") / 2.0 ** 64 + 0.5
+    estimates = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.01).alias("n")).collect()
+    if not estimates:
+        return []
+    shares = F.create_map(*[F.lit(x) for r in estimates for x in (r["lang"], 1.25 * settings.rows_per_language / r["n"])])
+    start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - settings.chars_per_row + 1, F.lit(1))) + 1
+    window = F.substring(F.col("text"), start.cast("int"), F.lit(settings.chars_per_row))
+    found = rows.where(share <= shares[F.col("lang")]).groupBy("lang", "h").agg(F.min(window).alias("text")).collect()
+    by_language: dict[str, list] = {}
+    for r in sorted(found, key=lambda r: (r["lang"], r["h"])):
+        by_language.setdefault(r["lang"], []).append(r["text"])
+    return [(lang, k, t) for lang, texts in by_language.items() for k, t in enumerate(texts[:settings.rows_per_language], 1)]
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", settings: Settings = Settings()) -> Model | None:
     """Model from rows with a text and a language; None if there are none."""
-    from pyspark.sql import Window
-
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     df, n = document_frequencies(rows, "text", settings)
-    h = F.xxhash64("text", "lang")
-    start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - settings.chars_per_row + 1, F.lit(1))) + 1
-    sample = (rows.where(F.length(F.trim("text")) > 0)
-              .select("lang", h.alias("h"), F.substring(F.col("text"), start.cast("int"), F.lit(settings.chars_per_row)).alias("text"))
-              .withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-              .where(F.col("k") <= settings.rows_per_language).select("lang", "k", "text").collect())
+    sample = fitting_sample(rows, settings)
     if not sample:
         return None
-    sample.sort(key=lambda r: (r["lang"], r["k"]))
-    languages = sorted({r["lang"] for r in sample})
+    languages = sorted({lang for lang, _, _ in sample})
     idf = np.log((1 + n) / (1 + df)) + 1
-    vectors = [vector(counts_of(r["text"], settings), idf) for r in sample]
-    labels = np.array([languages.index(r["lang"]) for r in sample])
-    back = np.array([r["k"] % settings.held_back == 0 for r in sample])
+    vectors = [vector(counts_of(t, settings), idf) for _, _, t in sample]
+    labels = np.array([languages.index(lang) for lang, _, _ in sample])
+    back = np.array([k % settings.held_back == 0 for _, k, _ in sample])
     w = fit_ftrl([v for v, b in zip(vectors, back, strict=True) if not b], labels[~back], len(languages), settings)
     held = [i for i in np.nonzero(back)[0]] or list(range(len(sample)))
     logits = np.array([vectors[i][1] @ w[vectors[i][0]] + w[-1] for i in held])
