@@ -93,11 +93,10 @@ class Tables:
         return with_layers(self.soil)
 
 
-# Grids stated for the derived tables: 100 columns of 25 m cells.  The row
-# count is a generous upper bound, as for a map frame that outlives its data.
-SOIL_GRID = Grid(0.0, 0.0, 25.0, 25.0, 100, 10_000_000)
-CELL_UNITS = Grid(0.0, 0.0, 1.0, 1.0, 100, 10_000_000)
-CLIMATE_GRID = Grid(0.0, 0.0, 250.0, 250.0, 10, 1_000_000)
+# Grids of the derived tables: 100 columns of 25 m cells and as many rows as the data have.
+SOIL_GRID = Grid(0.0, 0.0, 25.0, 25.0, 100)
+CELL_UNITS = Grid(0.0, 0.0, 1.0, 1.0, 100)
+CLIMATE_GRID = Grid(0.0, 0.0, 250.0, 250.0, 10)
 
 
 def plain(name: str) -> str:

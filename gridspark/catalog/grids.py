@@ -10,9 +10,15 @@ from gridspark.catalog.soil_sql import r
 from gridspark.functions.scores import binarize
 from gridspark.operators import grid as g
 
-HEX = g.HexLattice.over((0.0, 0.0, 2500.0, SOIL_GRID.n_rows * 25.0), 0.05)
 # Target cells of 2.5 x 2.5 source cells, which do not nest.
-COARSE = g.Grid(0.0, 0.0, 62.5, 62.5, 40, 4_000_000)
+COARSE = g.Grid(0.0, 0.0, 62.5, 62.5, 40)
+HEX_KM2 = 0.05
+# Origin and size of the hexagons, which do not depend on how far the rows go; their number of rows does.
+HEX = g.HexLattice.over((0.0, 0.0, 2500.0, 25.0), HEX_KM2)
+
+
+def _lattice(t: Tables) -> g.HexLattice:
+    return g.HexLattice.over(g.framed(SOIL_GRID, t.disco).bounds, HEX_KM2)
 
 
 def _climate_cells(t: Tables):
@@ -74,6 +80,7 @@ def _(t: Tables):
 
 
 _STEP, _ROW = 1.5 * HEX.radius, HEX.row_step
+_HEX_ROWS = f"(SELECT ceil(((max(row) + 1) * 25E0 + {_ROW!r}::DOUBLE - ({HEX.min_y!r}::DOUBLE)) / {_ROW!r}::DOUBLE)::BIGINT + 1 FROM disco)"
 _HEX_SQL = f"""
 SELECT row, col, value, arg_min(q, (d, q, rr)) AS q, arg_min(rr, (d, q, rr)) AS r FROM (
   SELECT row, col, value, q, rr, pow(x - ({HEX.min_x!r}::DOUBLE + q*{_STEP!r}::DOUBLE), 2) + pow(y - ({HEX.min_y!r}::DOUBLE + rr*{_ROW!r}::DOUBLE + odd), 2) AS d
@@ -84,17 +91,17 @@ SELECT row, col, value, arg_min(q, (d, q, rr)) AS q, arg_min(rr, (d, q, rr)) AS
 GROUP BY row, col, value"""
 
 
-@query("G5_hex_bin", sql("disco", f"SELECT row, col, q::INT AS q, r::INT AS r, q*{HEX.n_rows} + r + 1 AS hex_id FROM hexed", hexed=_HEX_SQL))
+@query("G5_hex_bin", sql("disco", f"SELECT row, col, q::INT AS q, r::INT AS r, q*{_HEX_ROWS} + r + 1 AS hex_id FROM hexed", hexed=_HEX_SQL))
 def _(t: Tables):
     cells = g.with_centers(t.disco.select("row", "col"), SOIL_GRID)
-    return g.hex_bin(cells, HEX).select("row", "col", "q", "r", "hex_id")
+    return g.hex_bin(cells, _lattice(t)).select("row", "col", "q", "r", "hex_id")
 
 
 @query("G6_hex_proportion", sql("disco", f"""
-SELECT q*{HEX.n_rows} + r + 1 AS hex_id, count(*) AS cell_count, {r('avg(CASE WHEN value > 4000 THEN 1E0 ELSE 0E0 END)')} AS prop_disco
+SELECT q*{_HEX_ROWS} + r + 1 AS hex_id, count(*) AS cell_count, {r('avg(CASE WHEN value > 4000 THEN 1E0 ELSE 0E0 END)')} AS prop_disco
 FROM hexed WHERE value IS NOT NULL GROUP BY q, r""", hexed=_HEX_SQL))
 def _(t: Tables):
-    hexes = g.hex_proportion(g.with_centers(t.disco, SOIL_GRID), HEX)
+    hexes = g.hex_proportion(g.with_centers(t.disco, SOIL_GRID), _lattice(t))
     return rounded(hexes.select("hex_id", "cell_count", "prop_disco"), 6, "prop_disco")
 
 

@@ -55,20 +55,20 @@ _Z = ("(greatest(u, n0*n1 - u) - n0*n1/2E0 - .5E0) / sqrt(n0*n1/12E0*((n0 + n1 +
 
 @query("W3_mid_ranks", _sql("SELECT dataset, depth, date, awc_mm AS value, n, mid AS mid_rank FROM ranked", ranked=_RANKED))
 def _(t: Tables):
-    return order_statistics.mid_ranks(cells_of(t), KEYS, "awc_mm", bin_width=1.0)
+    return order_statistics.mid_ranks(cells_of(t), KEYS, "awc_mm")
 
 
 @query("A14_mann_whitney", _sql(
     f"SELECT dataset, depth, date, n0::BIGINT AS n_first, n1::BIGINT AS n_second, u, {r(_Z)} AS z FROM ranksum",
     ranked=_RANKED, ranksum=_RANKSUM))
 def _(t: Tables):
-    out = class_stats.mann_whitney(cells_of(t), KEYS, "awc_mm", "cls", bin_width=1.0).drop("p_value")
+    out = class_stats.mann_whitney(cells_of(t), KEYS, "awc_mm", "cls").drop("p_value")
     return rounded(out, 6, "z")
 
 
 @query("A14_mann_whitney_p")
 def _(t: Tables):
-    return class_stats.mann_whitney(cells_of(t), KEYS, "awc_mm", "cls", bin_width=1.0)
+    return class_stats.mann_whitney(cells_of(t), KEYS, "awc_mm", "cls")
 
 
 _EDGES = """
@@ -127,7 +127,7 @@ SELECT dataset, depth, count(*) AS n, quantile_cont(awc_mm, .25) AS q1, quantile
         min(awc_mm) FILTER (awc_mm >= q1 - 1.5*(q3 - q1)) AS whisker_lo, max(awc_mm) FILTER (awc_mm <= q3 + 1.5*(q3 - q1)) AS whisker_hi
         FROM cells JOIN box USING (dataset, depth) GROUP BY dataset, depth, n, q1, median, q3""", box=_BOX))
 def _(t: Tables):
-    out = class_stats.box_stats(cells_of(t), ["dataset", "depth"], "awc_mm", bin_width=1.0)
+    out = class_stats.box_stats(cells_of(t), ["dataset", "depth"], "awc_mm")
     return rounded(out, 6, "q1", "median", "q3")
 
 

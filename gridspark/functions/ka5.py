@@ -41,39 +41,46 @@ BOXES = [
     (31, "Tl", 45, 65, 15, 30),
 ]
 
-# Class, thr, ths, alpha, n of the published class table.
+# Class, thr, ths, alpha, n, tort, ksat of the published class table.
 PARAMETERS = [
-    ("Ss", 0.0, 0.3879, 0.26437, 1.35154),
-    ("Sl2", 0.0, 0.3949, 0.11647, 1.25425),
-    ("Sl3", 0.0519, 0.3952, 0.07097, 1.35096),
-    ("Sl4", 0.0, 0.4101, 0.10486, 1.18427),
-    ("Slu", 0.0, 0.4138, 0.08165, 1.17695),
-    ("St2", 0.0, 0.4049, 0.48458, 1.18828),
-    ("St3", 0.0, 0.4214, 0.18023, 1.1323),
-    ("Su2", 0.0, 0.3786, 0.20387, 1.23473),
-    ("Su3", 0.0, 0.3765, 0.08862, 1.21398),
-    ("Su4", 0.0, 0.3839, 0.06005, 1.22228),
-    ("Ls2", 0.1406, 0.4148, 0.04052, 1.32416),
-    ("Ls3", 0.07284, 0.4091, 0.06835, 1.20501),
-    ("Ls4", 0.0463, 0.4129, 0.09955, 1.18213),
-    ("Lt2", 0.1492, 0.438, 0.07013, 1.24572),
-    ("Lt3", 0.1629, 0.453, 0.04947, 1.17003),
-    ("Lts", 0.1154, 0.4325, 0.03401, 1.19442),
-    ("Lu", 0.0534, 0.4284, 0.04321, 1.16518),
-    ("Uu", 0.0, 0.403, 0.0142, 1.21344),
-    ("Uls", 0.0, 0.4003, 0.02513, 1.19338),
-    ("Us", 0.0, 0.3946, 0.02747, 1.22393),
-    ("Ut2", 0.0101, 0.4001, 0.01868, 1.22068),
-    ("Ut3", 0.0053, 0.4031, 0.01679, 1.20668),
-    ("Ut4", 0.0276, 0.4162, 0.01697, 1.20483),
-    ("Tt", 0.0, 0.5238, 0.06612, 1.05215),
-    ("Tl", 0.0, 0.4931, 0.07339, 1.06254),
-    ("Tu2", 0.0, 0.4971, 0.07242, 1.06062),
-    ("Tu3", 0.0, 0.4589, 0.055, 1.08166),
-    ("Tu4", 0.017, 0.4372, 0.04538, 1.12039),
-    ("Ts2", 0.0, 0.4836, 0.08402, 1.07669),
-    ("Ts3", 0.07841, 0.4374, 0.06194, 1.14565),
-    ("Ts4", 0.0, 0.4355, 0.20919, 1.11419),
+    ("Ss", 0.0, 0.3879, 0.26437, 1.35154, -0.594, 512.094),
+    ("Sl2", 0.0, 0.3949, 0.11647, 1.25425, 0.0, 192.852),
+    ("Sl3", 0.0519, 0.3952, 0.07097, 1.35096, 0.0, 89.779),
+    ("Sl4", 0.0, 0.4101, 0.10486, 1.18427, -3.236, 141.295),
+    ("Slu", 0.0, 0.4138, 0.08165, 1.17695, -3.919, 109.516),
+    ("St2", 0.0, 0.4049, 0.48458, 1.18828, -6.189, 420.421),
+    ("St3", 0.0, 0.4214, 0.18023, 1.1323, -3.42, 305.804),
+    ("Su2", 0.0, 0.3786, 0.20387, 1.23473, -3.339, 285.491),
+    ("Su3", 0.0, 0.3765, 0.08862, 1.21398, -3.611, 119.904),
+    ("Su4", 0.0, 0.3839, 0.06005, 1.22228, -3.738, 83.297),
+    ("Ls2", 0.1406, 0.4148, 0.04052, 1.32416, -2.067, 38.43),
+    ("Ls3", 0.07284, 0.4091, 0.06835, 1.20501, -3.226, 98.2),
+    ("Ls4", 0.0463, 0.4129, 0.09955, 1.18213, -3.604, 169.9),
+    ("Lt2", 0.1492, 0.438, 0.07013, 1.24572, -3.18, 62.531),
+    ("Lt3", 0.1629, 0.453, 0.04947, 1.17003, -4.099, 44.34),
+    ("Lts", 0.1154, 0.4325, 0.03401, 1.19442, 0.0, 51.979),
+    ("Lu", 0.0534, 0.4284, 0.04321, 1.16518, -3.227, 82.68),
+    ("Uu", 0.0, 0.403, 0.0142, 1.21344, -0.561, 33.787),
+    ("Uls", 0.0, 0.4003, 0.02513, 1.19338, -4.032, 40.409),
+    ("Us", 0.0, 0.3946, 0.02747, 1.22393, -2.728, 35.526),
+    ("Ut2", 0.0101, 0.4001, 0.01868, 1.22068, -1.382, 29.262),
+    ("Ut3", 0.0053, 0.4031, 0.01679, 1.20668, -1.198, 27.708),
+    ("Ut4", 0.0276, 0.4162, 0.01697, 1.20483, -0.767, 24.633),
+    ("Tt", 0.0, 0.5238, 0.06612, 1.05215, 0.0, 154.737),
+    ("Tl", 0.0, 0.4931, 0.07339, 1.06254, 0.0, 172.507),
+    ("Tu2", 0.0, 0.4971, 0.07242, 1.06062, 0.0, 178.7),
+    ("Tu3", 0.0, 0.4589, 0.055, 1.08166, 0.0, 123.765),
+    ("Tu4", 0.017, 0.4372, 0.04538, 1.12039, 0.0, 88.609),
+    ("Ts2", 0.0, 0.4836, 0.08402, 1.07669, 0.0, 249.862),
+    ("Ts3", 0.07841, 0.4374, 0.06194, 1.14565, 0.0, 118.038),
+    ("Ts4", 0.0, 0.4355, 0.20919, 1.11419, -7.612, 322.257),
+    ("fS", 0.0, 0.4095, 0.15041, 1.33576, -0.328, 285.093),
+    ("fSms", 0.0, 0.4095, 0.15041, 1.33576, -0.328, 285.093),
+    ("fSgs", 0.0, 0.4095, 0.15041, 1.33576, -0.328, 285.093),
+    ("mS", 0.0, 0.3886, 0.26188, 1.3533, -0.579, 507.5),
+    ("mSfs", 0.0, 0.3886, 0.26188, 1.3533, -0.579, 507.5),
+    ("mSgs", 0.0, 0.3886, 0.26188, 1.3533, -0.579, 507.5),
+    ("gS", 0.0, 0.37676, 0.22065, 1.46574, 1.3829, 872.556),
 ]
 
 # Sand subclasses; no texture rule yields them, a lookup may.
@@ -112,10 +119,10 @@ def ka5_code(clay: Column, silt: Column) -> Column:
 
 
 def builtin_lookup(spark: SparkSession) -> DataFrame:
-    """Built-in class parameters: ka5, texture, thr, ths, alpha, n (31 rows)."""
+    """Built-in class parameters: ka5, texture, thr, ths, alpha, n, tort, ksat (38 rows)."""
     rows = [(CODE_OF[name], name, *map(float, values)) for name, *values in PARAMETERS]
     return spark.createDataFrame(
-        rows, "ka5 smallint, texture string, thr double, ths double, alpha double, n double"
+        rows, "ka5 smallint, texture string, thr double, ths double, alpha double, n double, tort double, ksat double"
     )
 
 

@@ -6,6 +6,7 @@ intercept is not penalised.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -40,6 +41,7 @@ class Model:
     inner: int
     c: float
     weights: np.ndarray = field(default=None)  # intercept first
+    converged: bool = False  # the gradient fell below the tolerance within the passes allowed
 
     @property
     def fitted(self) -> bool:
@@ -48,12 +50,17 @@ class Model:
 
 def fit_logistic(cells: DataFrame, features: Sequence[str], c: float, y: str = "y",
                  max_iter: int = 200) -> tuple[float, list[float]]:
-    """Intercept and coefficients of a single model by Spark ML on scaled features."""
+    """Intercept and coefficients of a single model by Spark ML on scaled features.
+
+    Warns when ``max_iter`` steps were not enough.
+    """
     assembled = VectorAssembler(inputCols=list(features), outputCol="__x").transform(
         cells.select(*features, F.col(y).cast("double").alias("__y")))
     n = cells.count()
     fit = LogisticRegression(featuresCol="__x", labelCol="__y", regParam=1.0 / (c * n), elasticNetParam=0.0,
                              standardization=False, maxIter=max_iter, tol=1e-12).fit(assembled)
+    if fit.summary.totalIterations >= max_iter:
+        warnings.warn(f"logistic fit stopped after {max_iter} iterations", RuntimeWarning, stacklevel=2)
     return float(fit.intercept), [float(v) for v in fit.coefficients]
 
 
@@ -133,7 +140,9 @@ def fit_logistic_many(rows: DataFrame, models: Sequence[Model], features: Sequen
     ``rows``: features, y, w (cells a row stands for), fold and the
     ``inner_<o>`` columns of a fold plan; keep it checkpointed or cached.
     ``scales`` holds the standardisation per outer fold and is applied inside
-    the task.  A training set with one class gives NaN weights.
+    the task.  A training set with one class gives NaN weights.  Models that
+    ``max_passes`` jobs do not bring below ``tolerance`` keep their best weights,
+    stay marked as not converged, and are named in a warning.
     """
     d = len(features) + 1
     upper = np.triu_indices(d)
@@ -172,6 +181,10 @@ def fit_logistic_many(rows: DataFrame, models: Sequence[Model], features: Sequen
             trial[i] = at[i] + step[i]
     for i, m in enumerate(models):
         m.weights = np.full(d, np.nan) if degenerate[i] else at[i].copy()
+        m.converged = not (degenerate[i] or active[i])
+    if active.any():
+        warnings.warn(f"{int(active.sum())} of {len(models)} logistic fits did not converge in {max_passes} passes",
+                      RuntimeWarning, stacklevel=2)
     return models
 
 

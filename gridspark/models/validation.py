@@ -77,7 +77,7 @@ def inner_auc(rows: DataFrame, models: Sequence[Model], features: Sequence[str],
     """ROC AUC of each model on its inner validation cells; NaN for one class."""
     scored = score_inner_folds(rows, models, features, scales, bins)
     measures = {"n0": F.col("n0"), "n1": F.col("n1")}
-    counts = running_counts(scored, ["model"], "p", measures, calibration.SCORE_BIN)
+    counts = running_counts(scored, ["model"], "p", measures)
     areas = counts.groupBy("model").agg(calibration.auc_agg().alias("auc")).collect()  # one row per model
     out = [float("nan")] * len(models)
     for r in areas:

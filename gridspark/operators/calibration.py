@@ -14,15 +14,14 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.bins import equal_bin
 from gridspark.functions.scores import brier_skill_score, pr_auc_skill_ratio
-from gridspark.operators.lookup import join_lookup
+from gridspark.operators.lookup import per_key
 from gridspark.operators.order_statistics import class_measures, quantile_agg, running_counts
 
-SCORE_BIN = 1.0 / 4096
 
 
 def score_counts(scored: DataFrame, keys: Sequence[str], p: str = "p", y: str = "y",
                  weight: str | None = None) -> DataFrame:
-    return running_counts(scored, keys, p, class_measures(y, weight), SCORE_BIN)
+    return running_counts(scored, keys, p, class_measures(y, weight))
 
 
 def _at_or_above(m: str) -> Column:
@@ -130,7 +129,7 @@ def quantile_edges(scored: DataFrame, keys: Sequence[str], n_bins: int, p: str =
 
     Fewer than three distinct limits fall back to uniform ones.
     """
-    rows = running_counts(scored, keys, p, bin_width=SCORE_BIN)
+    rows = running_counts(scored, keys, p)
     raw = rows.groupBy(*keys).agg(F.array(*[quantile_agg(i / n_bins) for i in range(n_bins + 1)]).alias("e"))
     distinct = F.array_sort(F.array_distinct("e"))
     size = F.size(distinct)
@@ -165,7 +164,7 @@ def calibration_bins(scored: DataFrame, keys: Sequence[str], n_bins: int = 12, m
     edges = quantile_edges(scored, edge_keys, n_bins, p)
     inner = lambda e: F.slice(e, 2, F.size(e) - 2)
     if edge_keys:
-        placed = join_lookup(scored, edges, edge_keys)
+        placed = scored.withColumn("edges", per_key(edges, edge_keys, "edges")).where(F.col("edges").isNotNull())
         limits = F.col("edges")
     else:
         placed, limits = scored, edges.scalar()

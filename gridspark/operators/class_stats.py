@@ -50,11 +50,11 @@ def rank_sum_z(u: Column, n_a: Column, n_b: Column, ties: Column) -> Column:
 
 
 def mann_whitney(df: DataFrame, keys: Sequence[str], x: str, cls: str, first: int = 0,
-                 alternative: str = "two-sided", bin_width: float | None = None) -> DataFrame:
+                 alternative: str = "two-sided") -> DataFrame:
     """U of class ``first``, its normal score and p-value, per key."""
     if alternative not in ("two-sided", "greater"):
         raise ValueError(f"unknown alternative {alternative!r}")
-    rows = running_counts(df, keys, x, class_measures(cls), bin_width)
+    rows = running_counts(df, keys, x, class_measures(cls))
     a, b = ("n0", "n1") if first == 0 else ("n1", "n0")
     sums = rows.groupBy(*keys).agg(
         F.sum(a).alias("n_first"), F.sum(b).alias("n_second"),
@@ -86,7 +86,7 @@ def overlap_coefficient(counts: DataFrame, keys: Sequence[str], n_edges: int = 2
 
 
 def two_class_stats(cells: DataFrame, keys: Sequence[str] = RUN_KEYS, x: str = "awc_mm",
-                    cls: str = "cls", bin_width: float | None = 1.0, digits: int = 4,
+                    cls: str = "cls", digits: int = 4,
                     with_p: bool = True) -> DataFrame:
     """Location, spread, rank and overlap statistics of two classes, per key.
 
@@ -94,8 +94,7 @@ def two_class_stats(cells: DataFrame, keys: Sequence[str] = RUN_KEYS, x: str = "
     medians and quartiles are exact.  ``cles`` keeps the published value, which
     is the share of pairs with class 0 above class 1.
     """
-    rows = running_counts(cells, keys, x, {**class_measures(cls), "n": F.lit(1).cast("bigint")},
-                          bin_width)
+    rows = running_counts(cells, keys, x, {**class_measures(cls), "n": F.lit(1).cast("bigint")})
     shift = (F.col("v_min") + F.col("v_max")) / 2.0
     d = F.col("value") - shift
     aggs = [F.max("n0_total").alias("n0"), F.max("n1_total").alias("n1"), F.max(shift).alias("shift"),
@@ -143,7 +142,7 @@ def separability(scored: DataFrame, label: str = "label", p: str = "p", cls: str
     The deviation is the root of the plain mean of both variances.  With fewer
     than two cells in a class: AUC 0, U 0, p 1, d 0.
     """
-    rows = running_counts(scored, [label], p, class_measures(cls), bin_width=1.0 / 4096)
+    rows = running_counts(scored, [label], p, class_measures(cls))
     d = F.col("value") - 0.5
     aggs = [_u_of("n1", "n0").alias("u"), _tie_term().alias("ties")]
     for c in "01":
@@ -168,10 +167,9 @@ def separability(scored: DataFrame, label: str = "label", p: str = "p", cls: str
     return result.withColumn("mw_p", F.when(F.col("mw_z").isNull(), 1.0).otherwise(normal_sf("mw_z")))
 
 
-def box_stats(df: DataFrame, keys: Sequence[str], value: str, whis: float = 1.5,
-              bin_width: float | None = None) -> DataFrame:
+def box_stats(df: DataFrame, keys: Sequence[str], value: str, whis: float = 1.5) -> DataFrame:
     """Quartiles, whiskers (extreme values within ``whis`` IQR) and outlier count."""
-    rows = running_counts(df, keys, value, bin_width=bin_width)
+    rows = running_counts(df, keys, value)
     box = rows.groupBy(*keys).agg(
         quantile_agg(0.25).alias("q1"), quantile_agg(0.5).alias("median"),
         quantile_agg(0.75).alias("q3"), F.max("n_total").alias("n_box"))

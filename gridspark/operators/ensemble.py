@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_MEMBERS = 100_000
-
 
 def ptf_ensemble(awc: DataFrame, ptfs: Sequence[str] | None = None,
                  depths: Sequence[str] | None = None) -> DataFrame:
@@ -54,7 +52,8 @@ def ensemble_of_columns(wide: DataFrame, names: Sequence[str], depths: Sequence[
 
 
 def score_ensemble(df: DataFrame, members: DataFrame, features: Sequence[str],
-                   outputs: Sequence[str], log10_outputs: Sequence[str] = ()) -> DataFrame:
+                   outputs: Sequence[str], log10_outputs: Sequence[str] = (),
+                   block_weights: int = 2_000_000) -> DataFrame:
     """Mean prediction of a bootstrap ensemble, row by row.
 
     ``members`` is a weight table, one row per (member, output): ``weights``
@@ -64,43 +63,67 @@ def score_ensemble(df: DataFrame, members: DataFrame, features: Sequence[str],
     own output space and the outputs named in ``log10_outputs`` are raised to
     10 afterwards.  Rows with a missing feature get NULL.
 
-    The member table is a model, not data: its row count is checked before it
-    is shipped to the tasks.
+    Members travel in blocks of ``block_weights`` numbers, one pass over the rows
+    for each, whatever their number; outputs are summed over blocks.
     """
-    rows = members.where(F.col("output").isin(list(outputs))).orderBy("member").limit(MAX_MEMBERS + 1).collect()
-    if len(rows) > MAX_MEMBERS:
-        raise ValueError(f"more than {MAX_MEMBERS} ensemble members")
-    has_hidden = "hidden_weights" in members.columns
-    heads: dict[str, list] = {name: [] for name in outputs}
-    for r in rows:
+    features, outputs, logs = list(features), list(outputs), set(log10_outputs)
+    kept = df.drop(*outputs)
+    scored, counts, sums = kept, dict.fromkeys(outputs, 0), {name: [] for name in outputs}
+    wanted = members.where(F.col("output").isin(outputs)).orderBy("member")
+    for i, heads in enumerate(_member_blocks(wanted, "hidden_weights" in members.columns, block_weights)):
+        scored = _add_block(scored, heads, features, f"__sum{i}_")
+        for name in heads:
+            counts[name] += len(heads[name])
+            sums[name].append(F.col(f"__sum{i}_{name}"))
+    for name in outputs:
+        if not counts[name]:
+            raise ValueError(f"no ensemble member for output {name!r}")
+    means = {}
+    for name in outputs:
+        mean = sum(sums[name][1:], sums[name][0]) / F.lit(float(counts[name]))
+        means[name] = F.pow(F.lit(10.0), mean) if name in logs else mean
+    return scored.select(*kept.columns, *[m.alias(n) for n, m in means.items()])
+
+
+def _member_blocks(members: DataFrame, has_hidden: bool, limit: int) -> Iterator[dict[str, list]]:
+    """Members per output, in blocks of about ``limit`` numbers, fetched one partition at a time."""
+    heads: dict[str, list] = {}
+    size = 0
+    for r in members.toLocalIterator():
         hidden = None
         if has_hidden and r["hidden_weights"] is not None:
             hidden = (np.array(r["hidden_weights"], float), np.array(r["hidden_bias"], float))
-        heads[r["output"]].append((np.array(r["weights"], float), float(r["bias"]), hidden))
-    for name, members_of in heads.items():
-        if not members_of:
-            raise ValueError(f"no ensemble member for output {name!r}")
-
-    features, outputs, logs = list(features), list(outputs), set(log10_outputs)
-
-    def mean_output(x: np.ndarray, nets: list) -> np.ndarray:
+        weights = np.array(r["weights"], float)
+        n = weights.size + 1 + (hidden[0].size + hidden[1].size if hidden else 0)
+        if heads and size + n > limit:
+            yield heads
+            heads, size = {}, 0
+        heads.setdefault(r["output"], []).append((weights, float(r["bias"]), hidden))
+        size += n
+    if heads:
+        yield heads
+
+
+def _add_block(df: DataFrame, heads: Mapping[str, list], features: Sequence[str], prefix: str) -> DataFrame:
+    """``df`` with the summed outputs of one block of members; NULL where a feature is missing."""
+    def summed(x: np.ndarray, nets: list) -> np.ndarray:
         total = np.zeros(len(x))
         for weights, bias, hidden in nets:
             inner = x if hidden is None else np.tanh(x @ hidden[0].T + hidden[1])
             total += inner @ weights + bias
-        return total / len(nets)
+        return total
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = batch[features].to_numpy(dtype=float)
             known = ~np.isnan(x).any(axis=1)
-            for name in outputs:
+            for name, nets in heads.items():
                 values = np.full(len(batch), np.nan)
-                values[known] = mean_output(x[known], heads[name])
-                batch[name] = 10.0 ** values if name in logs else values
+                values[known] = summed(x[known], nets)
+                batch[prefix + name] = values
             yield batch
 
-    kept = df.drop(*outputs)
-    schema = T.StructType(kept.schema.fields + [T.StructField(n, T.DoubleType()) for n in outputs])
-    scored = kept.mapInPandas(score, schema)
-    return scored.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in outputs})
+    added = [prefix + name for name in heads]
+    schema = T.StructType(df.schema.fields + [T.StructField(n, T.DoubleType()) for n in added])
+    scored = df.mapInPandas(score, schema)
+    return scored.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in added})

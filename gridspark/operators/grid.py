@@ -10,12 +10,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.operators.lookup import join_lookup
 
 CELL = ("row", "col")
 
@@ -27,7 +26,7 @@ class Grid:
     dx: float
     dy: float
     n_cols: int
-    n_rows: int
+    n_rows: int | None = None  # None: as many rows as the cells have
 
     def x(self, col: Column) -> Column:
         return F.lit(float(self.x0)) + (col + 0.5) * F.lit(float(self.dx))
@@ -37,17 +36,26 @@ class Grid:
 
     @property
     def bounds(self) -> tuple[float, float, float, float]:
+        if self.n_rows is None:
+            raise ValueError("a grid without a number of rows has no bounds; take them from its cells (framed)")
         xs = (self.x0, self.x0 + self.n_cols * self.dx)
         ys = (self.y0, self.y0 + self.n_rows * self.dy)
         return min(xs), min(ys), max(xs), max(ys)
 
 
+def framed(grid: Grid, cells: DataFrame) -> Grid:
+    """``grid`` with the rows that ``cells`` reach: a one-row aggregate, run at once."""
+    last = cells.agg(F.max("row")).first()[0]
+    return replace(grid, n_rows=1 if last is None else int(last) + 1)
+
+
 def with_centers(cells: DataFrame, grid: Grid) -> DataFrame:
     return cells.withColumns({"x": grid.x(F.col("col")), "y": grid.y(F.col("row"))})
 
 
 def _in_grid(row: Column, col: Column, grid: Grid) -> Column:
-    return row.between(0, grid.n_rows - 1) & col.between(0, grid.n_cols - 1)
+    below = row >= 0 if grid.n_rows is None else row.between(0, grid.n_rows - 1)
+    return below & col.between(0, grid.n_cols - 1)
 
 
 def _touched(index: Column, src_origin: float, src_step: float, dst_origin: float, dst_step: float):
@@ -175,7 +183,8 @@ def hex_bin(cells: DataFrame, lattice: HexLattice) -> DataFrame:
 
     The hexagon holding a point is the one with the nearest centre, which lies
     in one of the two lattice columns around the point: pure arithmetic, no
-    polygons and no join.
+    polygons and no join.  A centre outside the lattice is an error, as its id
+    would be another hexagon's.
     """
     x, y = F.col("x"), F.col("y")
     left = F.floor((x - lattice.min_x) / F.lit(1.5 * lattice.radius)).cast("int")
@@ -190,8 +199,10 @@ def hex_bin(cells: DataFrame, lattice: HexLattice) -> DataFrame:
     placed = cells.withColumn("__hex", best)
     q, r = F.col("__hex.q"), F.col("__hex.r")
     cx, cy = lattice.center(q, r)
-    return placed.withColumns({"q": q, "r": r, "hex_id": q.cast("bigint") * lattice.n_rows + r + 1, "cx": cx, "cy": cy}
-                              ).drop("__hex")
+    inside = q.between(0, lattice.n_cols - 1) & r.between(0, lattice.n_rows - 1)
+    outside = F.raise_error(F.lit("cell centre outside the hexagon lattice")).cast("bigint")
+    hex_id = F.when(inside | x.isNull() | y.isNull(), q.cast("bigint") * lattice.n_rows + r + 1).otherwise(outside)
+    return placed.withColumns({"q": q, "r": r, "hex_id": hex_id, "cx": cx, "cy": cy}).drop("__hex")
 
 
 def hex_proportion(cells: DataFrame, lattice: HexLattice, threshold: float = 4000.0,
@@ -218,7 +229,9 @@ def scan_rows(edges: DataFrame, grid: Grid) -> DataFrame:
     a = (y1 - grid.y0) / grid.dy - 0.5
     b = (y2 - grid.y0) / grid.dy - 0.5
     first = F.greatest(F.lit(0), F.floor(F.least(a, b)))
-    last = F.least(F.lit(grid.n_rows - 1), F.ceil(F.greatest(a, b)))
+    last = F.ceil(F.greatest(a, b))
+    if grid.n_rows is not None:
+        last = F.least(F.lit(grid.n_rows - 1), last)
     rows = edges.where(first <= last).select(
         "x1", "y1", "x2", "y2", F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("row"))
     cy = grid.y(F.col("row"))
@@ -237,7 +250,7 @@ def clip_to_polygon(cells: DataFrame, edges: DataFrame, grid: Grid) -> DataFrame
     lines = scan_rows(edges, grid)
     cx = grid.x(F.col("col"))
     right = F.size(F.filter("crossings", lambda x: x > cx))
-    return join_lookup(cells, lines, ["row"]).where(right % 2 == 1).select(*cells.columns)
+    return cells.join(lines, "row").where(right % 2 == 1).select(*cells.columns)
 
 
 def block_columns(grid: Grid, block_size_m: float) -> tuple[int, int, int]:

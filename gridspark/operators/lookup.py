@@ -1,25 +1,20 @@
-"""Joins of large tables with tables that normally have a handful of rows."""
+"""Per-key results beside large tables."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-LOOKUP_ROWS = 100_000
 
+def per_key(small: DataFrame, on: Sequence[str], value: str) -> Column:
+    """``value`` of the row of ``small`` with the same ``on``, read from a scalar subquery; NULL without one.
 
-def join_lookup(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
-                limit: int = LOOKUP_ROWS) -> DataFrame:
-    """Join per-key results onto raw rows without shuffling the raw rows.
-
-    An aggregate looks as large as its input to the planner, so the raw side
-    would be shuffled on a key that may have two values.  The small side is
-    therefore computed first (this runs a job).  Up to ``limit`` rows it becomes
-    a local table, whose true size the planner then sees; beyond that the join
-    is an ordinary one.
+    For results that are few by construction (one row per layer, fold or model): an aggregate looks as large as its
+    input to the planner, and a join on so few keys would shuffle the large side onto them.  Results with many keys
+    belong in an ordinary join.
     """
-    rows = small.limit(limit + 1).collect()
-    if len(rows) <= limit:
-        small = small.sparkSession.createDataFrame(rows, small.schema)
-    return big.join(small, list(on), how)
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(on)])
+    table = small.agg(F.map_from_entries(F.collect_list(F.struct(key, F.col(value))))).scalar()
+    return F.element_at(table, key)

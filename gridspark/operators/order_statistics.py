@@ -6,10 +6,13 @@ steps, each of which stays small per task:
 
 1. collapse equal values (partial aggregation, so ties never travel);
 2. cut the value axis of each group into narrow bins and take running sums of
-   the bin totals - a few thousand rows per group;
+   the bin totals - 65,536 rows per octave of values at most, however many rows
+   the group has;
 3. take running sums inside each (group, bin) and add the bin's offset.
 
-The bins only split the work.  Results are exact for any bin width.
+The bins only split the work; results are exact for any bins.  They have equal
+relative width (15 millionths or less), so small scores and scores that lie
+close together spread over as many bins as others do.
 """
 
 from __future__ import annotations
@@ -20,9 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.numeric import dbl
-from gridspark.operators.lookup import join_lookup
 
-BINS_PER_E = 16384.0
+BINS_PER_OCTAVE = 65536.0
 _BIN, _ALL = "__bin", "__all"
 
 
@@ -37,30 +39,27 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str | Column,
             .agg(*[F.sum(name).alias(name) for name in measures]))
 
 
-def _bin_of(value: Column, bin_width: float | None) -> Column:
+def _bin_of(value: Column) -> Column:
     """Bin number, growing with the value; never NULL.
 
-    Equal bins of ``bin_width``, or else bins of equal relative width (about
-    0.006 percent), which need no knowledge of the value range.  Being visibly
-    never NULL keeps the join on the bin from adding a filter to one side only,
-    so both sides read the same shuffle.
+    The binary exponent and the leading bits of the mantissa, as one number.  Being visibly never NULL keeps the
+    join on the bin from adding a filter to one side only, so both sides read the same shuffle.
     """
-    if bin_width is not None:
-        return F.coalesce(F.floor(value / F.lit(float(bin_width))), F.lit(0))
-    magnitude = F.floor(F.log1p(F.abs(value)) * BINS_PER_E)
-    return F.coalesce(F.when(value < 0, -1 - magnitude).otherwise(magnitude), F.lit(0))
+    size = F.abs(value)
+    exponent = F.least(F.greatest(F.floor(F.log2(F.when(size > 0, size))), F.lit(-1000)), F.lit(1023))
+    mantissa = F.least(size / F.pow(F.lit(2.0), exponent.cast("double")), F.lit(2.0))
+    steps = (exponent + 1001) * F.lit(int(BINS_PER_OCTAVE)) + F.floor((mantissa - 1.0) * BINS_PER_OCTAVE)
+    magnitude = F.greatest(F.coalesce(steps, F.lit(0)), F.lit(0))
+    return F.coalesce(F.when(value < 0, -magnitude).otherwise(magnitude), F.lit(0))
 
 
 def running_counts(df: DataFrame, keys: Sequence[str], value: str | Column,
-                   measures: Mapping[str, Column] | None = None,
-                   bin_width: float | None = None) -> DataFrame:
+                   measures: Mapping[str, Column] | None = None) -> DataFrame:
     """Distinct values with, per measure ``m``: m, m_before, m_total.
 
     ``m_before`` sums over strictly smaller values of the group and ``m_total``
     over the whole group; ``v_min`` and ``v_max`` are the group's extremes.
-    Give ``bin_width`` when the value range is known (probabilities,
-    millimetres); otherwise bins of equal relative width are used.  Keys must
-    not be NULL.
+    Keys must not be NULL.
     """
     measures = dict(measures or {"n": F.lit(1).cast("bigint")})
     keys = list(keys)
@@ -68,7 +67,7 @@ def running_counts(df: DataFrame, keys: Sequence[str], value: str | Column,
     if constant:
         df, keys = df.withColumn(_ALL, F.lit(1)), [_ALL]
     counts = value_counts(df, keys, value, measures)
-    binned = counts.withColumn(_BIN, _bin_of(F.col("value"), bin_width))
+    binned = counts.withColumn(_BIN, _bin_of(F.col("value")))
 
     totals = binned.groupBy(*keys, _BIN).agg(
         *[F.sum(m).alias(m) for m in measures],
@@ -109,16 +108,15 @@ def quantile_agg(p: float, measure: str = "n") -> Column:
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
-              probabilities: Mapping[str, float], bin_width: float | None = None) -> DataFrame:
+              probabilities: Mapping[str, float]) -> DataFrame:
     """Exact quantiles per group, one named column per probability."""
-    rows = running_counts(df, keys, value, bin_width=bin_width)
+    rows = running_counts(df, keys, value)
     return rows.groupBy(*keys).agg(*[quantile_agg(p).alias(name) for name, p in probabilities.items()])
 
 
-def mid_ranks(df: DataFrame, keys: Sequence[str], value: str,
-              bin_width: float | None = None) -> DataFrame:
+def mid_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Average rank of every distinct value within its group."""
-    rows = running_counts(df, keys, value, bin_width=bin_width)
+    rows = running_counts(df, keys, value)
     rank = F.col("n_before") + (F.col("n") + 1) / 2.0
     return rows.select(*keys, "value", "n", rank.alias("mid_rank"))
 
@@ -139,8 +137,8 @@ def sample_cap(df: DataFrame, group: Sequence[str], n: int, cell: Sequence[str],
 
     Rows are ordered by a hash of their identity.  The hash range is cut into
     65,536 slices; slices that cannot hold one of the first ``n`` rows are
-    dropped by a lookup of their counts before anything is shuffled, and a
-    slice, not a group, is what one task ranks.  Counting the slices runs a job.
+    dropped by a join with their counts on (group, slice), and a slice, not a
+    group, is what one task ranks.
     """
     group = list(group)
     draws = df.withColumn("__draw", F.xxhash64(F.lit(seed), *cell))
@@ -149,7 +147,7 @@ def sample_cap(df: DataFrame, group: Sequence[str], n: int, cell: Sequence[str],
     slices = (draws.groupBy(*group, "__slice").agg(F.count(F.lit(1)).alias("__n"))
               .withColumn("__before", F.coalesce(F.sum("__n").over(ordering), F.lit(0)))
               .where(F.col("__before") < n).select(*group, "__slice", "__before"))
-    kept = join_lookup(draws, slices, [*group, "__slice"])
+    kept = draws.join(slices, [*group, "__slice"])
     rank = F.row_number().over(Window.partitionBy(*group, "__slice").orderBy("__draw", *cell))
     return (kept.withColumn("__rank", rank + F.col("__before")).where(F.col("__rank") <= n)
             .select(*df.columns))

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.operators.lookup import join_lookup
+from gridspark.operators.lookup import per_key
 from gridspark.operators.order_statistics import by_magnitude
 from gridspark.operators.run_keys import pending
 
@@ -53,11 +53,11 @@ def scale_to_int(layers: DataFrame, keys: Sequence[str], value: str = "value",
                  dtype: str = "int16") -> DataFrame:
     """Every layer as scaled integers: ``stored`` and ``scale`` (true = stored * scale).
 
-    One job finds the factors of all layers; they are looked up again while the
-    layers are encoded, so the cells are not shuffled.
+    The factors of all layers are one aggregate, read as a map while the layers
+    are encoded, so the cells are not shuffled.
     """
     low = INT_RANGE[dtype][0]
-    joined = join_lookup(layers, scale_factors(layers, keys, value, dtype), keys)
+    joined = layers.withColumn("factor", per_key(scale_factors(layers, keys, value, dtype), keys, "factor"))
     stored = F.coalesce(F.bround(F.col(value) * F.col("factor"), 0), F.lit(float(low)))
     return joined.select(*[c for c in layers.columns if c != value],
                          stored.cast(SQL_TYPE[dtype]).alias("stored"), (1.0 / F.col("factor")).alias("scale"))

@@ -99,7 +99,7 @@ def test_unknown_class_gives_null_parameters(spark):
 
 
 def test_every_produced_class_has_parameters():
-    assert {b[1] for b in ka5.BOXES} == {p[0] for p in ka5.PARAMETERS}
+    assert {b[1] for b in ka5.BOXES} | {name for _, name in ka5.SAND_SUBCLASSES} == {p[0] for p in ka5.PARAMETERS}
 
 
 PROFILE = "row int, col int, layer int, layer_awc_mm double"
@@ -164,6 +164,8 @@ def test_ensemble_network_scoring(spark, close):
     by_a = {r.a: r.thr for r in scored}
     close(by_a[1.0], 10 ** ((first + second) / 2))
     assert by_a[None] is None
+    in_blocks = ensemble.score_ensemble(df, members, ["a", "b"], ["thr"], log10_outputs=["thr"], block_weights=1).collect()
+    close({r.a: r.thr for r in in_blocks}[1.0], by_a[1.0])
 
 
 def test_names(spark):

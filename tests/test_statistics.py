@@ -26,11 +26,11 @@ def samples():
     return rng.integers(0, 40, 300).astype(float), rng.integers(5, 50, 200).astype(float)
 
 
-@pytest.mark.parametrize("width", [None, 0.25, 7.0, 1000.0])
-def test_running_counts_do_not_depend_on_bins(spark, samples, width):
-    x0, _ = samples
+@pytest.mark.parametrize("scale", [1.0, 2e-4, 1e300, 1e-300, -3.0])
+def test_running_counts_at_any_scale(spark, samples, scale):
+    x0 = samples[0] * scale
     df = labelled(spark, x0, [])
-    rows = order_statistics.running_counts(df, ["key"], "x", bin_width=width).orderBy("value").collect()
+    rows = order_statistics.running_counts(df, ["key"], "x").orderBy("value").collect()
     values, counts = np.unique(x0, return_counts=True)
     assert [r.value for r in rows] == list(values)
     assert [r.n_before for r in rows] == list(np.cumsum(counts) - counts)
@@ -40,10 +40,27 @@ def test_running_counts_do_not_depend_on_bins(spark, samples, width):
 
 def test_running_counts_without_keys_and_with_negative_values(spark):
     df = spark.createDataFrame([(-5.5,), (-0.1,), (0.0,), (3.0,), (3.0,)], "x double")
-    rows = order_statistics.running_counts(df, [], "x", bin_width=1.0).orderBy("value").collect()
+    rows = order_statistics.running_counts(df, [], "x").orderBy("value").collect()
     assert [(r.value, r.n_before) for r in rows] == [(-5.5, 0), (-0.1, 1), (0.0, 2), (3.0, 3)]
 
 
+@pytest.mark.parametrize("low, high", [(0.0, 2e-4), (0.3, 0.3002), (0.0, 1.0), (-500.0, 1500.0)])
+def test_bins_split_concentrated_values(spark, low, high):
+    values = np.sort(np.random.default_rng(5).uniform(low, high, 50_000))
+    df = spark.createDataFrame([(float(v),) for v in values], "value double")
+    bins = [r.b for r in df.orderBy("value").select(order_statistics._bin_of(F.col("value")).alias("b")).collect()]
+    assert bins == sorted(bins)
+    _, counts = np.unique(bins, return_counts=True)
+    assert counts.max() <= max(20, 4 * counts.mean())
+
+
+def test_bins_of_extreme_values_keep_their_order(spark):
+    values = [float("-inf"), -1e308, -1.0, -1e-320, 0.0, 5e-324, 1e-310, 0.5, 1.0, 8.0, 1e308, float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    bins = [r.b for r in df.orderBy("v").select(order_statistics._bin_of(F.col("v")).alias("b")).collect()]
+    assert bins == sorted(bins) and len(set(bins)) >= 8
+
+
 @pytest.mark.parametrize("p", [0.0, 0.001, 0.25, 0.5, 0.75, 0.999, 1.0])
 def test_quantiles_match_numpy(spark, samples, p, close):
     df = labelled(spark, samples[0], [])
