@@ -55,5 +55,8 @@ def map_texts(df: DataFrame, column: str, added: list[tuple[str, str]], make: Ca
                 columns = [part.column(part.schema.get_field_index(c)) for c in out]
                 columns += [pa.array(v, type=arrow.field(n).type) for n, v in zip(names, values, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*out, *names])
+                del texts, values, columns
+        # The process serves later tasks: what Arrow keeps for reuse goes back first.
+        pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, schema)

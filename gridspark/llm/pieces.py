@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from gridspark.llm.common import map_texts
 
 MARK = "▁"
+# Entries of the table of a task, of about 200 bytes each; beyond that it is emptied and filled anew.
+TABLE_SIZE = 150_000
 
 
 def words_are_independent(processor) -> bool:
@@ -28,7 +30,7 @@ def words_are_independent(processor) -> bool:
             and processor.encode_as_pieces("ab")[0].startswith(MARK))
 
 
-def encoder(model: str, table_size: int = 500_000):
+def encoder(model: str, table_size: int = TABLE_SIZE):
     """Function from texts to (ids as little-endian uint32 bytes, decoded texts), begin and end ids included."""
     import numpy as np
     import sentencepiece
@@ -44,7 +46,9 @@ def encoder(model: str, table_size: int = 500_000):
     chunk = re.compile(f"{MARK}+[^{MARK}]*")
     anchor = processor.encode("a")
     lone = [processor.piece_to_id(MARK)]
-    table: dict[str, tuple] = {}
+    # Ids of each chunk, and its decoded forms inside and at the front of a text where they are not the chunk itself.
+    table: dict[str, bytes] = {}
+    unlike: dict[str, tuple[str, str]] = {}
 
     def learn(new: list[str]) -> None:
         # The library puts one marker in front of what it encodes: that is the first marker of the chunk.
@@ -52,27 +56,36 @@ def encoder(model: str, table_size: int = 500_000):
         ids = [i if c != MARK else lone for c, i in zip(new, ids, strict=True)]
         inner = processor.decode([anchor + i for i in ids])
         for c, i, s, f in zip(new, ids, inner, processor.decode(ids), strict=True):
-            table[c] = (np.array(i, "<u4").tobytes(), s[1:], f)
+            table[c] = np.array(i, "<u4").tobytes()
+            plain = c.replace(MARK, " ")
+            if (s[1:], f) != (plain, plain[1:]):
+                unlike[c] = (s[1:], f)
 
     def encode(texts):
         packed, decoded = [], []
-        split = [chunk.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = {c for chunks in split for c in chunks}
-        if len(table) + len(new) > table_size:
-            table.clear()
-        new = iter([c for c in new if c not in table])
-        while part := list(islice(new, 10_000)):
-            learn(part)
-        for chunks in split:
-            rows = [table[c] for c in chunks]
-            packed.append(b"".join([begin, *[r[0] for r in rows], end]))
-            decoded.append("".join([rows[0][2], *[r[1] for r in rows[1:]]]) if rows else "")
+        for t in texts:
+            chunks = chunk.findall(MARK + t.replace(" ", MARK)) if t else []
+            new = set(chunks).difference(table)
+            if new and len(table) + len(new) > table_size:
+                table.clear()
+                unlike.clear()
+                new = set(chunks)
+            new = iter(new)
+            while part := list(islice(new, 10_000)):
+                learn(part)
+            packed.append(b"".join([begin, *[table[c] for c in chunks], end]))
+            if chunks and not unlike.keys().isdisjoint(chunks):
+                inner = [unlike[c][0] if c in unlike else c.replace(MARK, " ") for c in chunks]
+                inner[0] = unlike[chunks[0]][1] if chunks[0] in unlike else inner[0][1:]
+                decoded.append("".join(inner))
+            else:
+                decoded.append("".join(chunks).replace(MARK, " ")[1:])
         return packed, decoded
 
     return encode
 
 
-def encode_decode(docs: DataFrame, model: str, text: str = "text", table_size: int = 500_000) -> DataFrame:
+def encode_decode(docs: DataFrame, model: str, text: str = "text", table_size: int = TABLE_SIZE) -> DataFrame:
     """``docs`` with ``ids`` (binary: little-endian unsigned 32-bit ids, with begin and end) and ``decoded``.
 
     Null and empty texts give the begin and end ids and an empty ``decoded``.  Rows, their order of
