@@ -18,7 +18,7 @@ from gridspark.llm.common import map_texts
 
 MARK = "▁"
 # Entries of the table of a task, of about 200 bytes each; beyond that it is emptied and filled anew.
-TABLE_SIZE = 150_000
+TABLE_SIZE = 500_000
 
 
 def words_are_independent(processor) -> bool:
@@ -63,16 +63,15 @@ def encoder(model: str, table_size: int = TABLE_SIZE):
 
     def encode(texts):
         packed, decoded = [], []
-        for t in texts:
-            chunks = chunk.findall(MARK + t.replace(" ", MARK)) if t else []
-            new = set(chunks).difference(table)
-            if new and len(table) + len(new) > table_size:
-                table.clear()
-                unlike.clear()
-                new = set(chunks)
-            new = iter(new)
-            while part := list(islice(new, 10_000)):
-                learn(part)
+        split = [chunk.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        new = {c for chunks in split for c in chunks}
+        if len(table) + len(new) > table_size:
+            table.clear()
+            unlike.clear()
+        new = iter([c for c in new if c not in table])
+        while part := list(islice(new, 10_000)):
+            learn(part)
+        for chunks in split:
             packed.append(b"".join([begin, *[table[c] for c in chunks], end]))
             if chunks and not unlike.keys().isdisjoint(chunks):
                 inner = [unlike[c][0] if c in unlike else c.replace(MARK, " ") for c in chunks]
