@@ -31,8 +31,9 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, column: str, added: list[tuple[str, str]], make: Callable[[], Callable]) -> DataFrame:
-    """Append columns computed from the texts of ``column``, a bounded slice of rows at a time.
+def map_texts(df: DataFrame, column: str, added: list[tuple[str, str]], make: Callable[[], Callable],
+              limit: int = SLICE_BYTES) -> DataFrame:
+    """Append columns computed from the texts of ``column``, a slice of rows of about ``limit`` bytes at a time.
 
     ``make()`` runs once per task and returns a function from a list of texts (None for null)
     to one list of values per added column.  A column that already has an added name is replaced.
@@ -49,7 +50,7 @@ def map_texts(df: DataFrame, column: str, added: list[tuple[str, str]], make: Ca
 
         arrow, call = to_arrow_schema(T.StructType(schema.fields[len(out):])), make()
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, limit):
                 texts = part.column(part.schema.get_field_index(column)).to_pylist()
                 values = call(texts)
                 columns = [part.column(part.schema.get_field_index(c)) for c in out]

@@ -4,21 +4,24 @@ No piece of the model holds the white-space marker after another character, so m
 cross from one marked word (a run of markers and what follows it) to the next.  Each distinct
 marked word is therefore segmented once, and the ids of a text are the ids of its words joined
 in order of position.  The table lives in the task (a shuffle of all words would move several
-times the input) and is emptied when it reaches ``table_size`` entries.
+times the input) in two generations of half of ``table_size`` entries each: when the newer one is
+full it becomes the older one, and words met again move back, so frequent words stay.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import islice
+from itertools import accumulate, chain, islice, pairwise
 
 from pyspark.sql import DataFrame
 
 from gridspark.llm.common import map_texts
 
 MARK = "▁"
-# Entries of the table of a task, of about 200 bytes each; beyond that it is emptied and filled anew.
-TABLE_SIZE = 500_000
+# Entries of both generations of a task's table, of about 200 bytes each.
+TABLE_SIZE = 150_000
+# Text bytes encoded at once; their words take up to 20 times as much memory.
+SLICE_BYTES = 1 << 20
 
 
 def words_are_independent(processor) -> bool:
@@ -46,31 +49,38 @@ def encoder(model: str, table_size: int = TABLE_SIZE):
     chunk = re.compile(f"{MARK}+[^{MARK}]*")
     anchor = processor.encode("a")
     lone = [processor.piece_to_id(MARK)]
-    # Ids of each chunk, and its decoded forms inside and at the front of a text where they are not the chunk itself.
+    # Ids of each chunk, newer and older ones, and its decoded forms inside and at the front of a text where they are
+    # not the chunk itself.
     table: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
     unlike: dict[str, tuple[str, str]] = {}
 
     def learn(new: list[str]) -> None:
         # The library puts one marker in front of what it encodes: that is the first marker of the chunk.
         ids = processor.encode([c[1:] for c in new], num_threads=1)
         ids = [i if c != MARK else lone for c, i in zip(new, ids, strict=True)]
-        inner = processor.decode([anchor + i for i in ids])
-        for c, i, s, f in zip(new, ids, inner, processor.decode(ids), strict=True):
-            table[c] = np.array(i, "<u4").tobytes()
-            plain = c.replace(MARK, " ")
-            if (s[1:], f) != (plain, plain[1:]):
-                unlike[c] = (s[1:], f)
+        flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+        ends = pairwise(accumulate((4 * len(i) for i in ids), initial=0))
+        for c, i, front, (start, end) in zip(new, ids, processor.decode(ids), ends, strict=True):
+            table[c] = flat[start:end]
+            if front != (plain := c.replace(MARK, " "))[1:] and (inner := processor.decode(anchor + i)[1:], front) != (plain, plain[1:]):
+                unlike[c] = (inner, front)
+
+    def prepare(words: set[str]) -> None:
+        nonlocal table, older, unlike
+        if len(table) + len(words) > table_size // 2:
+            table, older = {}, table
+            unlike = {c: forms for c, forms in unlike.items() if c in older}
+        for c in words & older.keys():
+            table[c] = older[c]
+        new = iter([c for c in words if c not in table])
+        while part := list(islice(new, 10_000)):
+            learn(part)
 
     def encode(texts):
         packed, decoded = [], []
         split = [chunk.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = {c for chunks in split for c in chunks}
-        if len(table) + len(new) > table_size:
-            table.clear()
-            unlike.clear()
-        new = iter([c for c in new if c not in table])
-        while part := list(islice(new, 10_000)):
-            learn(part)
+        prepare({c for chunks in split for c in chunks})
         for chunks in split:
             packed.append(b"".join([begin, *[table[c] for c in chunks], end]))
             if chunks and not unlike.keys().isdisjoint(chunks):
@@ -89,6 +99,7 @@ def encode_decode(docs: DataFrame, model: str, text: str = "text", table_size: i
 
     Null and empty texts give the begin and end ids and an empty ``decoded``.  Rows, their order of
     columns and repeated rows are kept; columns named ``ids`` or ``decoded`` are replaced.  One pass, no
-    shuffle; memory is bounded by ``table_size`` entries and the longest text.
+    shuffle; memory is bounded by ``table_size`` entries and the words of the longest text.
     """
-    return map_texts(docs, text, [("ids", "binary"), ("decoded", "string")], lambda: encoder(model, table_size))
+    return map_texts(docs, text, [("ids", "binary"), ("decoded", "string")], lambda: encoder(model, table_size),
+                     SLICE_BYTES)
