@@ -1,81 +1,138 @@
-"""Spatial folds: whole blocks of cells stay together."""
+"""Spatial folds: whole blocks of cells stay together.
+
+Blocks are taken by falling size, each into the fold with the fewest cells so far; equal sizes by
+ascending block, equal folds by ascending number.  Among blocks of one size the order of the folds
+soon repeats, so a block's fold follows from its rank inside its size.  The driver sees one row per
+size (no more than a block has cells), never the blocks, and executors rank and assign them.
+"""
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A block covers many cells, so this bounds the map area, not the data volume.
-MAX_BLOCKS = 2_000_000
+from gridspark.operators.order_statistics import running_counts
+from gridspark.session import cut_lineage
 
 
-def block_sizes(cells: DataFrame, block: str = "block_id") -> dict[int, int]:
-    """Cells per block, brought to the driver after a check of their number."""
-    rows = cells.groupBy(block).agg(F.count(F.lit(1)).alias("n")).limit(MAX_BLOCKS + 1).collect()
-    if len(rows) > MAX_BLOCKS:
-        raise ValueError(f"more than {MAX_BLOCKS} spatial blocks; use larger blocks")
-    return {r[block]: r["n"] for r in rows}
+@dataclass(frozen=True)
+class Dealing:
+    """Folds of the blocks of one size by rank: ``head`` once, then ``cycle`` over and over."""
+
+    head: tuple[int, ...]
+    cycle: tuple[int, ...]
+
+    def at(self, rank: np.ndarray) -> np.ndarray:
+        """Fold of each rank."""
+        h = len(self.head)
+        return np.array(self.head + self.cycle)[np.where(rank < h, rank, h + (rank - h) % len(self.cycle))]
+
+    def before(self, rank, fold: int) -> np.ndarray:
+        """How many of the ranks below each ``rank`` are in ``fold``."""
+        h, rank = len(self.head), np.asarray(rank)
+        seen = np.concatenate([[0], np.cumsum(np.array(self.head + self.cycle) == fold)])
+        rounds, rest = np.divmod(np.maximum(rank - h, 0), len(self.cycle))
+        return np.where(rank <= h, seen[np.minimum(rank, h)], seen[h + rest] + rounds * (seen[-1] - seen[h]))
+
+
+def deal(blocks_of_size: Mapping[int, int], k: int) -> dict[int, Dealing]:
+    """Dealing of each size, given the number of blocks of that size."""
+    n_blocks = sum(blocks_of_size.values())
+    if k < 1 or k > n_blocks:
+        raise ValueError(f"{k} folds need at least {max(k, 1)} blocks, got {n_blocks}")
+    filled, out = [0] * k, {}
+    for size in sorted(blocks_of_size, reverse=True):
+        left, head = blocks_of_size[size], []
+        # Until all folds lie within one block of each other, the emptiest is not the one that waited longest.
+        while left and max(filled) - min(filled) >= size:
+            fold = filled.index(min(filled))
+            filled[fold] += size
+            head.append(fold)
+            left -= 1
+        cycle = sorted(range(k), key=lambda fold: (filled[fold], fold))
+        rounds, rest = divmod(left, k)
+        for i, fold in enumerate(cycle):
+            filled[fold] += size * (rounds + (i < rest))
+        out[size] = Dealing(tuple(head), tuple(cycle))
+    return out
 
 
-def assign_blocks(sizes: Mapping[int, int], k: int) -> dict[int, int]:
-    """Blocks by falling size, each into the fold with the fewest cells so far.
+def block_sizes(cells: DataFrame, block: str = "block_id") -> DataFrame:
+    """(block, cells): cells per block; cells without a block have no fold."""
+    return cells.where(F.col(block).isNotNull()).groupBy(F.col(block).cast("bigint").alias(block)).agg(F.count(F.lit(1)).alias("cells"))
 
-    Equal sizes are taken by ascending block, equal folds by ascending number.
-    """
-    if k > len(sizes):
-        raise ValueError(f"{k} folds need at least {k} blocks, got {len(sizes)}")
-    folds = [(0, number) for number in range(k)]
-    out = {}
-    for block, n in sorted(sizes.items(), key=lambda item: (-item[1], item[0])):
-        filled, number = heapq.heappop(folds)
-        out[block] = number
-        heapq.heappush(folds, (filled + n, number))
-    return out
+
+def blocks_by_size(blocks: DataFrame) -> dict[int, int]:
+    return {r["cells"]: r["n"] for r in blocks.groupBy("cells").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def fold_table(blocks: DataFrame, outer: Mapping[int, Dealing], inner: Sequence[Mapping[int, Dealing]] = ()) -> DataFrame:
+    """(block, fold, inner_0, ...) from (block, cells); block numbers lie below 2 ** 53."""
+    block = blocks.columns[0]
+    ranked = running_counts(blocks, ["cells"], block).select(F.col("value").cast("bigint").alias(block), "cells", F.col("n_before").alias("rank"))
+    names = [f"inner_{o}" for o in range(len(inner))]
+
+    def assign(frames):
+        for frame in frames:
+            out = frame[[block]].copy()
+            folds = np.full((len(frame), 1 + len(names)), -1, "int32")
+            for size, at in frame.groupby("cells").indices.items():
+                rank = frame["rank"].to_numpy()[at]
+                folds[at, 0] = own = outer[size].at(rank)
+                for o, dealt in enumerate(inner):
+                    trains = own != o
+                    if trains.any():
+                        folds[at[trains], 1 + o] = dealt[size].at((rank - outer[size].before(rank, o))[trains])
+            out[["fold", *names]] = folds
+            yield out
+
+    return ranked.mapInPandas(assign, f"`{block}` bigint, fold int" + "".join(f", {n} int" for n in names))
 
 
 @dataclass(frozen=True)
 class FoldPlan:
     """Outer fold per block and, per outer fold, the inner fold of its training blocks."""
 
-    sizes: dict[int, int]
-    outer: dict[int, int]
-    inner: list[dict[int, int]]
+    folds: DataFrame  # block, fold, inner_0, ...
+    sizes: dict[int, int]  # number of blocks by their number of cells
+    outer: dict[int, Dealing]
+    inner_folds: list[int]
     n_outer: int
 
     @classmethod
-    def build(cls, sizes: Mapping[int, int], n_outer: int, n_inner: int) -> FoldPlan:
-        outer = assign_blocks(sizes, n_outer)
-        inner = []
+    def build(cls, blocks: DataFrame, n_outer: int, n_inner: int) -> FoldPlan:
+        blocks = cut_lineage(blocks)
+        sizes = blocks_by_size(blocks)
+        outer, inner, inner_folds = deal(sizes, n_outer), [], []
         for fold in range(n_outer):
-            training = {b: n for b, n in sizes.items() if outer[b] != fold}
-            inner.append(assign_blocks(training, min(n_inner, len(training))))
-        return cls(dict(sizes), outer, inner, n_outer)
+            training = {size: n - int(outer[size].before(n, fold)) for size, n in sizes.items()}
+            training = {size: n for size, n in training.items() if n}
+            inner_folds.append(min(n_inner, sum(training.values())))
+            inner.append(deal(training, inner_folds[-1]))
+        return cls(cut_lineage(fold_table(blocks, outer, inner)), sizes, outer, inner_folds, n_outer)
 
     def n_inner(self, fold: int) -> int:
-        return max(self.inner[fold].values()) + 1
+        return self.inner_folds[fold]
 
     def blocks_in(self, fold: int) -> int:
-        return sum(f == fold for f in self.outer.values())
+        return sum(int(self.outer[size].before(n, fold)) for size, n in self.sizes.items())
 
     def cells_in(self, fold: int) -> int:
-        return sum(n for b, n in self.sizes.items() if self.outer[b] == fold)
+        return sum(size * int(self.outer[size].before(n, fold)) for size, n in self.sizes.items())
+
+    def n_cells(self) -> int:
+        return sum(size * n for size, n in self.sizes.items())
 
     def attach(self, cells: DataFrame, block: str = "block_id") -> DataFrame:
         """Add ``fold`` and ``inner_<o>`` (-1 inside outer fold o)."""
-        names = [f"inner_{o}" for o in range(self.n_outer)]
-        rows = [(b, f, *[inner.get(b, -1) for inner in self.inner]) for b, f in self.outer.items()]
-        schema = f"{block} bigint, fold int, " + ", ".join(f"{n} int" for n in names)
-        table = cells.sparkSession.createDataFrame(rows, schema)
-        return cells.join(table, block)
+        return cells.join(self.folds, block)
 
 
 def group_kfold(cells: DataFrame, k: int, block: str = "block_id") -> DataFrame:
     """Cells with ``fold``: whole blocks, near-equal fold sizes."""
-    sizes = block_sizes(cells, block)
-    folds = assign_blocks(sizes, k)
-    table = cells.sparkSession.createDataFrame(list(folds.items()), f"{block} bigint, fold int")
-    return cells.join(table, block)
+    blocks = cut_lineage(block_sizes(cells, block))
+    return cells.join(fold_table(blocks, deal(blocks_by_size(blocks), k)), block)

@@ -176,7 +176,7 @@ def nested_spatial_cv(cells: DataFrame, features: Sequence[str], n_outer: int =
     error = _by_fold(calibration.brier(held, ["outer"], weight="w"))
     hard = _by_fold(calibration.f1_precision_recall(held, ["outer"], threshold, weight="w"))
 
-    total = sum(plan.sizes.values())
+    total = plan.n_cells()
     table = []
     for m in models:
         o, e = m.outer, error[m.outer]

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridspark.models import scoring, validation
-from gridspark.models.folds import FoldPlan, assign_blocks, block_sizes, group_kfold
+from gridspark.models.folds import FoldPlan, block_sizes, deal, group_kfold
 from gridspark.models.logistic import ALL_CELLS, Model, Scale, fit_logistic, fit_logistic_many, score_inner_folds
 from gridspark.operators.grid import Grid
 from gridspark.plans import dsi
@@ -44,26 +44,56 @@ def numpy_fit(x, y, c, w=None):
     return b
 
 
-def test_greedy_folds():
-    folds = assign_blocks({1: 10, 2: 7, 3: 6, 4: 5, 5: 5}, 2)
-    assert folds == {1: 0, 2: 1, 3: 1, 4: 0, 5: 1}
+def greedy(sizes, k):
+    """Blocks one by one, largest first, into the emptiest fold."""
+    filled, out = [0] * k, {}
+    for block, n in sorted(sizes.items(), key=lambda item: (-item[1], item[0])):
+        out[block] = filled.index(min(filled))
+        filled[out[block]] += n
+    return out
+
+
+def test_greedy_folds(spark):
+    rng = np.random.default_rng(3)
+    for sizes, n_outer, n_inner in [([10, 7, 6, 5, 5], 2, 2), (rng.integers(1, 40, 300).tolist(), 10, 5),
+                                    ([900] * 50 + rng.integers(1, 900, 40).tolist() + [1] * 400, 7, 3)]:
+        sizes = {int(b): n for b, n in zip(rng.permutation(5000), sizes)}
+        blocks = spark.createDataFrame(list(sizes.items()), "block_id long, cells long")
+        plan = FoldPlan.build(blocks, n_outer, n_inner)
+        got = {r.block_id: r for r in plan.folds.collect()}
+        outer = greedy(sizes, n_outer)
+        assert {b: r.fold for b, r in got.items()} == outer
+        for o in range(n_outer):
+            inner = greedy({b: n for b, n in sizes.items() if outer[b] != o}, n_inner)
+            assert {b: r[f"inner_{o}"] for b, r in got.items()} == {b: inner.get(b, -1) for b in sizes}
+            assert plan.cells_in(o) == sum(n for b, n in sizes.items() if outer[b] == o)
+            assert plan.blocks_in(o) == sum(f == o for f in outer.values())
     with pytest.raises(ValueError):
-        assign_blocks({1: 1}, 2)
+        deal({1: 1}, 2)
+
+
+def test_many_blocks_stay_off_the_driver(spark):
+    """More blocks than fit a table on the driver; their sizes are few."""
+    blocks = spark.range(3_000_000).select(F.col("id").alias("block_id"), (F.col("id") % 7 + 1).alias("cells"))
+    plan = FoldPlan.build(blocks, 10, 5)
+    assert len(plan.sizes) == 7 and sum(plan.blocks_in(o) for o in range(10)) == 3_000_000
+    filled = [plan.cells_in(o) for o in range(10)]
+    assert max(filled) - min(filled) <= 1
 
 
 def test_no_block_is_split(cells):
     out = group_kfold(cells, 3).groupBy("block_id").agg(F.count_distinct("fold").alias("k"))
     assert out.where("k <> 1").count() == 0
     plan = FoldPlan.build(block_sizes(cells), 3, 2)
-    for o, inner in enumerate(plan.inner):
-        assert not any(plan.outer[b] == o for b in inner)
+    for o in range(3):
+        assert plan.folds.where(f"(fold = {o}) <> (inner_{o} = -1)").count() == 0
     assert sum(plan.cells_in(o) for o in range(3)) == 1200
 
 
 def test_scales_ignore_validation_cells(cells):
     features = ["awc", "rain"]
     plan, rows, scales = prepared(cells, features)
-    changed = cells.withColumn("awc", F.when(F.col("block_id").isin([b for b, f in plan.outer.items() if f == 0]),
+    changed = cells.withColumn("awc", F.when(F.col("block_id").isin([r.block_id for r in plan.folds.where("fold = 0").collect()]),
                                              F.col("awc") * 100).otherwise(F.col("awc")))
     again = validation.training_scales(validation.prepare_rows(changed, features, plan), features, 3)
     assert scales[0] == again[0] and scales[1] != again[1]
