@@ -18,7 +18,8 @@ from gridspark.plans import dsi
 from gridspark.session import cut_lineage
 from gridspark.sources.writers import encode_int16
 
-CONFIG = dsi.DsiConfig(cv_block_size_m=500.0, outer_n_splits=5, inner_n_splits=3, n_iter=5, min_pixels=20)
+# Full search: 10 outer and 5 inner folds, 20 candidates.  Blocks of 4 x 4 cells give ten folds on the smallest tables.
+CONFIG = dsi.DsiConfig(cv_block_size_m=100.0, outer_n_splits=10, inner_n_splits=5, n_iter=20, min_pixels=20)
 FEATURES = ["sand", "clay", "soc"]
 
 _CELLS = "SELECT row, col, avg(sand) AS sand, avg(clay) AS clay, avg(soc) AS soc FROM soil GROUP BY row, col"
@@ -330,7 +331,7 @@ def _prepared(t: Tables, features):
 def _(t: Tables):
     features = ["awc", "sand"]
     plan, rows, scales = _prepared(t, features)
-    models = [Model(o, i, c) for o in range(plan.n_outer) for i in range(plan.n_inner(o)) for c in (0.01, 1.0, 100.0)]
+    models = [Model(o, i, c) for o in range(plan.n_outer) for i in range(plan.n_inner(o)) for c in validation.candidate_penalties(CONFIG.n_iter)]
     fit_logistic_many(rows, models, features, scales)
     out = [(m.outer, m.inner, m.c, *map(float, m.weights)) for m in models]
     return t.spark.createDataFrame(out, "outer int, inner int, c double, intercept double, awc double, sand double")
@@ -340,18 +341,18 @@ def _(t: Tables):
 def _(t: Tables):
     features = ["awc"]
     plan, rows, scales = _prepared(t, features)
-    best = validation.random_search_c(rows, plan, features, scales, n_iter=5)
+    best = validation.random_search_c(rows, plan, features, scales, n_iter=CONFIG.n_iter)
     return t.spark.createDataFrame(list(best.items()), "outer int, c double")
 
 
 @query("M5_nested_spatial_cv")
 def _(t: Tables):
-    return validation.nested_spatial_cv(_cells(t), ["awc", "sand"], CONFIG.outer_n_splits, CONFIG.inner_n_splits, n_iter=3).folds
+    return validation.nested_spatial_cv(_cells(t), ["awc", "sand"], CONFIG.outer_n_splits, CONFIG.inner_n_splits, n_iter=CONFIG.n_iter).folds
 
 
 @query("M11_fold_metrics_table")
 def _(t: Tables):
-    return validation.nested_spatial_cv(_cells(t, covariate=False), ["awc"], CONFIG.outer_n_splits, CONFIG.inner_n_splits, n_iter=5).folds
+    return validation.nested_spatial_cv(_cells(t, covariate=False), ["awc"], CONFIG.outer_n_splits, CONFIG.inner_n_splits, n_iter=CONFIG.n_iter).folds
 
 
 @query("M6_fit_final")
