@@ -87,7 +87,7 @@ GROUP BY e.dataset, e.depth, e.date, e.i"""
         FROM hist JOIN ranksum USING (dataset, depth, date) GROUP BY dataset, depth, date""",
     ranked=_RANKED, ranksum=_RANKSUM, edges=_EDGES, hist=_HIST))
 def _(t: Tables):
-    rows = order_statistics.running_counts(cells_of(t), KEYS, "awc_mm", order_statistics.class_measures("cls"), 1.0)
+    rows = order_statistics.running_counts(cells_of(t), KEYS, "awc_mm", order_statistics.class_measures("cls"))
     return rounded(class_stats.overlap_coefficient(rows, KEYS), 6, "overlap_coeff")
 
 
