@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import decontaminate, html_extract, langid, licenses, pieces, sharding, simhash, suffix_dedup, token_counts, topk
+from gridspark.llm import (decontaminate, fertility, html_extract, langid, licenses, pieces, sharding, simhash, spelling, suffix_dedup,
+                           token_counts, token_links, topk)
 from gridspark.llm.common import read
 
 
@@ -69,8 +70,26 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per frequent word with its more frequent form and the root of its group."""
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+def op12_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: how the tokens of two vocabularies align, and how usual its links are."""
+    return token_links.token_links(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document with its base counts, token measures and verdict."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = fertility.judge(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), keep=["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                         "script", *fertility.MEASURES, F.array_join("outside", ",").alias("outside"))
+
+
 QUERIES = {f.__name__: f for f in (op1_topk, op2_simhash, op3_html, op4_decontaminate, op5_langid, op6_pieces, op7_token_counts,
-                                   op8_histogram_sort, op9_suffix_dedup, op10_licenses)}
+                                   op8_histogram_sort, op9_suffix_dedup, op10_licenses, op11_spelling, op12_token_links, op13_fertility)}
 
 ORACLE_SQL = {
     "op1_topk": """
