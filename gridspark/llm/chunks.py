@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 from gridspark.llm.token_counts import SAFE
 
-# Distinct chunks remembered in a task, both generations together, and new chunks worked out at once.
-MEMORY, AT_ONCE = 300_000, 20_000
+# Distinct chunks remembered in a task, and new chunks worked out at once.
+MEMORY, AT_ONCE = 400_000, 20_000
 # Characters of text whose chunks are held as strings at once.
 SEGMENT = 1 << 20
 
@@ -23,32 +22,81 @@ def segments(text: str, limit: int = SEGMENT) -> Iterator[str]:
         yield text[start:]
 
 
+class Growing:
+    """Rows appended to one array whose room doubles."""
+
+    def __init__(self, shape: tuple[int, ...], kind):
+        import numpy as np
+
+        self.rows, self.held = 0, np.zeros((1024, *shape), kind)
+
+    def append(self, more) -> None:
+        import numpy as np
+
+        end = self.rows + len(more)
+        if end > len(self.held):
+            room = np.zeros((max(end, 2 * len(self.held)), *self.held.shape[1:]), self.held.dtype)
+            room[:self.rows] = self.held[:self.rows]
+            self.held = room
+        self.held[self.rows:end] = more
+        self.rows = end
+
+    @property
+    def all(self):
+        return self.held[:self.rows]
+
+
 class Remembered:
-    """Records of distinct chunks, worked out in batches by ``compute`` and kept in two generations.
+    """Numbers of chunks, and per number what ``compute`` gave for it.
 
-    When the newer generation is full it becomes the older one; chunks met again move back, so frequent ones stay.
+    ``compute`` takes distinct chunks and returns (values: one row of integers a chunk, sizes, members, names): the
+    members of all chunks one after another, so many for each.  All is forgotten when ``limit`` chunks are known.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list], size: int = MEMORY):
-        self.compute, self.size = compute, size
-        self.newer: dict = {}
-        self.older: dict = {}
-
-    def __call__(self, chunks: list[str]) -> list:
-        """Records of ``chunks``, which are distinct."""
-        if len(self.newer) + len(chunks) > self.size // 2:
-            self.newer, self.older = {}, self.newer
-        new = []
-        for c in chunks:
-            if c not in self.newer:
-                if c in self.older:
-                    self.newer[c] = self.older[c]
-                else:
-                    new.append(c)
-        todo = iter(new)
-        while part := list(islice(todo, AT_ONCE)):
-            self.newer.update(zip(part, self.compute(part), strict=True))
-        return [self.newer[c] for c in chunks]
+    def __init__(self, compute: Callable, values: int, limit: int = MEMORY):
+        self.compute, self.width, self.limit = compute, values, limit
+        self.forget()
+
+    def forget(self) -> None:
+        import numpy as np
+
+        self.place: dict[str, int] = {}
+        self.values, self.begin, self.size, self.members = (Growing((self.width,), np.int64), Growing((), np.int64),
+                                                            Growing((), np.int64), Growing((), np.uint32))
+        self.names: list[str] = []
+
+    def numbers(self, chunks: list[str]):
+        import numpy as np
+
+        found = list(map(self.place.get, chunks))
+        new = list(dict.fromkeys(c for c, k in zip(chunks, found, strict=True) if k is None))
+        if new:
+            if len(self.place) + len(new) > self.limit and self.place:
+                self.forget()
+                new = list(dict.fromkeys(chunks))
+            for start in range(0, len(new), AT_ONCE):
+                self.learn(new[start:start + AT_ONCE])
+            found = list(map(self.place.__getitem__, chunks))
+        return np.array(found, np.int64)
+
+    def learn(self, new: list[str]) -> None:
+        import numpy as np
+
+        values, sizes, members, names = self.compute(new)
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        self.begin.append(self.members.rows + np.cumsum(sizes) - sizes)
+        self.size.append(sizes)
+        self.values.append(values)
+        self.members.append(members)
+        self.names += names
+
+    def spread(self, numbers, *along):
+        """Members of the numbered chunks, one after another, and each array of ``along`` repeated beside them."""
+        import numpy as np
+
+        size = self.size.all[numbers]
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - self.begin.all[numbers], size)
+        return (self.members.all[at].astype(np.int64), *(np.repeat(x, size) for x in along))
 
 
 class Vocabularies:
@@ -68,30 +116,51 @@ class Vocabularies:
         from gridspark.llm.pieces import MARK, words_are_independent
         from gridspark.llm.token_counts import splits_safely
 
-        self.byte = Tokenizer.from_file(byte_path)
-        self.byte.no_truncation()
-        self.byte.no_padding()
-        self.byte.encode_special_tokens = True
+        byte = Tokenizer.from_file(byte_path)
         self.piece = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         if not (splits_safely(byte_path) and words_are_independent(self.piece)):
             raise ValueError("these vocabularies have tokens that cross the places where texts are cut")
         back = {c: b for b, c in byte_alphabet().items()}
-        size = self.byte.get_vocab_size(with_added_tokens=True)
-        self.byte_bytes = [bytes(back[c] for c in t) if (t := self.byte.id_to_token(i) or "") and all(c in back for c in t)
+        size = byte.get_vocab_size(with_added_tokens=True)
+        self.byte_bytes = [bytes(back[c] for c in t) if (t := byte.id_to_token(i) or "") and all(c in back for c in t)
                            else t.encode() for i in range(size)]
+        self.byte_ids = byte_encoder(byte, byte_path, back)
         n = self.piece.vocab_size()
         self.fallback = np.array([self.piece.is_byte(i) for i in range(n)])
         self.piece_bytes = [bytes([int(self.piece.id_to_piece(i)[3:-1], 16)]) if self.fallback[i]
                             else self.piece.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)]
 
-    def byte_ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.byte.encode_batch_fast(texts, add_special_tokens=False)]
-
     def piece_ids(self, texts: list[str]) -> list[list[int]]:
         """Ids of texts that begin with a space, which stands for the one that the library puts in front."""
         return self.piece.encode([t[1:] for t in texts], num_threads=1)
 
 
+def byte_encoder(tokenizer, path: str, back: dict[str, int]) -> Callable[[list[str]], list[list[int]]]:
+    """Function from texts to their ids, strings of special tokens read as plain text.
+
+    Where ids are in order of merging, ranks say the same as merges and a rank encoder is several times as fast.
+    """
+    import json
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    ordered = sorted(model["vocab"], key=model["vocab"].get)
+    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    plain = [t for t in ordered if t not in special]
+    if [model["vocab"][t] for t in plain] == list(range(len(plain))) and plain[256:] == merged and sorted(plain[:256]) == sorted(back):
+        ranks = {bytes(back[c] for c in t): i for i, t in enumerate(plain)}
+        encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: list(map(encoding.encode_ordinary, texts))
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    tokenizer.encode_special_tokens = True
+    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def byte_alphabet() -> dict[int, str]:
     """Characters that stand for bytes in byte-level vocabularies: printable bytes stand for themselves, the others
     for the code points from 256 on, in order."""

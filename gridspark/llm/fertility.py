@@ -30,8 +30,9 @@ STEP, BROADCAST = 256, 10_000
 MEASURES = {"byte_chars": "characters per byte-level token", "piece_chars": "characters per piece",
             "fallback": "share of pieces that are single bytes", "entropy": "entropy of the pieces over that of as many different ones"}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "script")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_SYMBOLS = re.compile(r"[#*$%&|<>]")
+_SYMBOLS = [c.encode() for c in "#*$%&|<>"]
+_WIDE = re.compile(r"[^\x00-\x7F]+")
+_NOT_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha())
 # Scripts by ranges of code points.
 SCRIPTS = {"latin": "A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿ", "greek": "Ͱ-Ͽἀ-῿",
            "cyrillic": "Ѐ-ԯ", "armenian": "Ա-֏", "hebrew": "֐-׿", "arabic": "؀-ۿݐ-ݿ",
@@ -67,15 +68,19 @@ def repeated_words(codes, texts, window: int = WINDOW):
 
 def script(text: str, patterns) -> str:
     """Script of most letters of ``text``, or ``none``; of several with as many, the first."""
-    if text.isascii():
-        return "latin" if patterns["latin"].search(text) else "none"
-    counts = {name: sum(map(len, p.findall(text))) for name, p in patterns.items()}
+    counts = {"latin": len(text.encode("ascii", "ignore").translate(None, _NOT_LETTERS))}
+    if not text.isascii():
+        wide = "".join(_WIDE.findall(text))
+        for name, p in patterns.items():
+            counts[name] = counts.get(name, 0) + sum(map(len, p.findall(wide)))
     best = max(counts, key=counts.get)
     return best if counts[best] else "none"
 
 
 def measurer(byte_path: str, piece_path: str):
     """Function from texts to the columns of :func:`measures`."""
+    from itertools import chain
+
     import numpy as np
     import pandas as pd
 
@@ -83,11 +88,11 @@ def measurer(byte_path: str, piece_path: str):
     patterns = {name: re.compile(f"[{r}]+") for name, r in SCRIPTS.items()}
 
     def weigh(chunks):
-        return [(len(a), np.array(b, np.uint16 if len(v.piece_bytes) <= 1 << 16 else np.uint32).tobytes())
-                for a, b in zip(v.byte_ids(chunks), v.piece_ids(chunks), strict=True)]
+        ids = v.piece_ids(chunks)
+        values = np.fromiter(map(len, v.byte_ids(chunks)), np.int64, len(chunks))
+        return values[:, None], np.fromiter(map(len, ids), np.int64, len(chunks)), np.fromiter(chain.from_iterable(ids), np.uint32), []
 
-    known = Remembered(weigh)
-    kind = np.uint16 if len(v.piece_bytes) <= 1 << 16 else np.uint32
+    known = Remembered(weigh, values=1)
 
     def tokens(texts):
         """Byte-level tokens, pieces, fallback pieces and entropy of every text."""
@@ -96,18 +101,10 @@ def measurer(byte_path: str, piece_path: str):
 
         def take(part):
             split = [SAFE.split(s) for _, s in part]
-            place: dict[str, int] = {}
-            codes = np.array([place.setdefault(c, len(place)) for chunks in split for c in chunks])
-            found = known(list(place))
-            n_a = np.array([f[0] for f in found])
-            flat = np.frombuffer(b"".join(f[1] for f in found), kind).astype(np.int64)
-            size = np.array([len(f[1]) // np.dtype(kind).itemsize for f in found])
-            begin = np.cumsum(size) - size
+            codes = known.numbers([c for chunks in split for c in chunks])
             owner = np.repeat(np.array([i for i, _ in part]), [len(c) for c in split])
-            out[0] += np.bincount(owner, n_a[codes], len(texts))
-            each = size[codes]
-            at = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each - begin[codes], each)
-            ids, owner = flat[at], np.repeat(owner, each)
+            out[0] += np.bincount(owner, known.values.all[codes, 0], len(texts))
+            ids, owner = known.spread(codes, owner)
             out[1] += np.bincount(owner, minlength=len(texts))
             out[2] += np.bincount(owner, v.fallback[ids], len(texts))
             pairs, n = np.unique(owner * len(v.piece_bytes) + ids, return_counts=True)
@@ -135,15 +132,17 @@ def measurer(byte_path: str, piece_path: str):
 
     def measure(texts):
         texts = [t or "" for t in texts]
-        words = [_WORD.findall(t) for t in texts]
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        # Bytes split at the same six characters of white space, each of one byte.
+        words = [r.split() for r in raw]
         n_words = np.array([len(w) for w in words])
-        chars = [sum(map(len, w)) for w in words]
-        symbols = [len(_SYMBOLS.findall(t)) for t in texts]
+        chars = [len(t) - len(r) + sum(map(len, w)) for t, r, w in zip(texts, raw, words, strict=True)]
+        symbols = [sum(map(r.count, _SYMBOLS)) for r in raw]
         dup = []
         for t in texts:
             lines = t.split("\n")
             told = pd.Series(lines, dtype=object).duplicated() if len(lines) != len(set(lines)) else ()
-            dup.append(sum(bool(_WORD.search(x)) for x, again in zip(lines, told, strict=True) if again) if len(told) else 0)
+            dup.append(sum(bool(x.encode("utf-8", "surrogatepass").split()) for x, again in zip(lines, told, strict=True) if again) if len(told) else 0)
         flat = [w for ws in words for w in ws]
         codes = pd.factorize(np.array(flat, dtype=object))[0].astype(np.int64) if flat else np.zeros(0, np.int64)
         repeats = np.zeros(len(texts), np.int64)

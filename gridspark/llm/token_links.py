@@ -106,9 +106,9 @@ def merged(runs: list[list[bytes]]):
 
 
 def linker(byte_path: str, piece_path: str):
-    """Function from a batch of distinct chunks to their records: (whole, n_a, n_b, n_groups, keys, groups).
+    """What :class:`Remembered` asks of distinct chunks: whole, n_a, n_b, n_groups; one pair a link, b id first; groups.
 
-    ``whole`` tells whether both vocabularies give the chunk's bytes back; ``keys`` holds one pair a link, b id first.
+    ``whole`` is 1 where both vocabularies give the chunk's bytes back; others have no links and groups.
     """
     import numpy as np
 
@@ -127,8 +127,9 @@ def linker(byte_path: str, piece_path: str):
         whole = [b"".join(map(v.byte_bytes.__getitem__, a)) == r == b"".join(map(v.piece_bytes.__getitem__, b))
                  for a, b, r in zip(ids_a, ids_b, raw, strict=True)]
         good = [k for k, w in enumerate(whole) if w]
+        values, sizes, named = np.zeros((len(chunks), 4), np.int64), np.zeros(len(chunks), np.int64), [""] * len(chunks)
         if not good:
-            return [(False, 0, 0, 0, b"", "")] * len(chunks)
+            return values, sizes, np.zeros(0, np.int64), named
         n_a, n_b = (np.array([len(ids[k]) for k in good]) for ids in (ids_a, ids_b))
         a, b = (np.fromiter((i for k in good for i in ids[k]), np.int64) for ids in (ids_a, ids_b))
         end_a, end_b = np.cumsum(sizes_a[a]), np.cumsum(sizes_b[b])
@@ -138,18 +139,15 @@ def linker(byte_path: str, piece_path: str):
         ends = end_a[np.cumsum(n_a) - 1]
         upto_link, upto_group = np.searchsorted(cuts, ends, "right"), np.searchsorted(shared, ends, "right")
         group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
-        named = np.concatenate([names[offsets[0 + np.isin(end_a, shared)] + a], names[offsets[2 + np.isin(end_b, shared)] + b]])
-        named = named[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")].tolist()
-        upto_name = np.cumsum(n_a + n_b).tolist()
-        out, k, l, g, m = [], 0, 0, 0, 0
-        for w in whole:
-            if not w:
-                out.append((False, 0, 0, 0, b"", ""))
-                continue
-            l2, g2, m2 = int(upto_link[k]), int(upto_group[k]), upto_name[k]
-            out.append((True, int(n_a[k]), int(n_b[k]), g2 - g, keys[l:l2].tobytes(), "".join(named[m:m2])))
-            k, l, g, m = k + 1, l2, g2, m2
-        return out
+        signs = np.concatenate([names[offsets[0 + np.isin(end_a, shared)] + a], names[offsets[2 + np.isin(end_b, shared)] + b]])
+        signs = signs[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")].tolist()
+        start = 0
+        for k, end in zip(good, np.cumsum(n_a + n_b).tolist(), strict=True):
+            named[k] = "".join(signs[start:end])
+            start = end
+        values[good] = np.stack([np.ones(len(good), np.int64), n_a, n_b, np.diff(upto_group, prepend=0)], axis=1)
+        sizes[good] = np.diff(upto_link, prepend=0)
+        return values, sizes, keys, named
 
     return link
 
@@ -158,7 +156,7 @@ def aligner(byte_path: str, piece_path: str, parts: int):
     """Function from texts to (digests: n_a, n_b, n_groups, n_links, groups_sha256 of each text; runs by part)."""
     import numpy as np
 
-    known = Remembered(linker(byte_path, piece_path))
+    known = Remembered(linker(byte_path, piece_path), values=4)
 
     def align(texts: list[str | None]):
         totals = np.zeros((len(texts), 4), np.int64)
@@ -167,28 +165,23 @@ def aligner(byte_path: str, piece_path: str, parts: int):
         def take(part: list[tuple[int, str]]) -> None:
             """Segments (text number, characters) of any texts, in order."""
             split = [SAFE.split(s) for _, s in part]
-            place: dict[str, int] = {}
-            codes = np.array([place.setdefault(c, len(place)) for chunks in split for c in chunks])
-            found = known(list(place))
-            whole, n_a, n_b, groups = (np.array([f[k] for f in found]) for k in range(4))
-            flat = np.frombuffer(b"".join(f[4] for f in found), "<u4").astype(np.int64)
-            links = np.array([len(f[4]) // 4 for f in found])
-            begin = np.cumsum(links) - links
+            codes = known.numbers([c for chunks in split for c in chunks])
             counts = np.array([len(chunks) for chunks in split])
             numbers = np.array([i for i, _ in part])
             owner = np.repeat(numbers, counts)
-            np.logical_or.at(broken, owner[~whole[codes]], True)
-            firsts = np.cumsum(counts) - counts
-            values = np.stack([n_a[codes], n_b[codes], groups[codes], links[codes]], axis=1)
-            np.add.at(totals, numbers, np.add.reduceat(values, firsts, axis=0))
-            for (i, _), chunks in zip(part, split, strict=True):
+            values = known.values.all[codes]
+            broken[owner[values[:, 0] == 0]] = True
+            ends = np.cumsum(counts)
+            values = np.column_stack([values[:, 1:], known.size.all[codes]])
+            np.add.at(totals, numbers, np.add.reduceat(values, ends - counts, axis=0))
+            named = [known.names[c] for c in codes.tolist()]
+            for i, start, end in zip(numbers.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
                 # Every chunk ends with the mark between groups; the last one of a text is left out.
-                hashes[i].update((";" * started[i] + "".join([found[place[c]][5] for c in chunks])[:-1]).encode())
+                hashes[i].update((";" * started[i] + "".join(named[start:end])[:-1]).encode())
                 started[i] = True
-            size = links[codes]
-            at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - begin[codes], size)
-            packed, times = np.unique(flat[at] << 32 | np.repeat(owner, size), return_counts=True)
-            records.append((packed, times))
+            keys, owner = known.spread(codes, owner)
+            packed = np.sort(keys << 32 | owner)
+            records.append(summed(packed, np.ones(len(packed), np.int64)))
 
         part, size = [], 0
         for i, text in enumerate(texts):
