@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 from gridspark.llm.token_counts import SAFE
@@ -22,6 +23,19 @@ def segments(text: str, limit: int = SEGMENT) -> Iterator[str]:
         yield text[start:]
 
 
+# White space other than the space, as Python sees it: in ASCII, each beside a space; and beyond.
+_BESIDE = [pair for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f" for pair in (c + " ", " " + c)] + ["  "]
+_WIDE_SPACE = re.compile(r"[^\S\x00-\x7f]")
+
+
+def chunks(text: str) -> list[str]:
+    """``text``, which begins with a space, split at its safe places."""
+    if any(pair in text for pair in _BESIDE) or text[-1] == " " or not (text.isascii() or _WIDE_SPACE.search(text) is None):
+        return SAFE.split(text)
+    # Every space but the first stands between two other characters.
+    return [" " + c for c in text[1:].split(" ")]
+
+
 class Growing:
     """Rows appended to one array whose room doubles."""
 
@@ -35,7 +49,7 @@ class Growing:
 
         end = self.rows + len(more)
         if end > len(self.held):
-            room = np.zeros((max(end, 2 * len(self.held)), *self.held.shape[1:]), self.held.dtype)
+            room = np.empty((max(end, 2 * len(self.held)), *self.held.shape[1:]), self.held.dtype)
             room[:self.rows] = self.held[:self.rows]
             self.held = room
         self.held[self.rows:end] = more
@@ -67,17 +81,19 @@ class Remembered:
 
     def numbers(self, chunks: list[str]):
         import numpy as np
+        import pandas as pd
 
-        found = list(map(self.place.get, chunks))
-        new = list(dict.fromkeys(c for c, k in zip(chunks, found, strict=True) if k is None))
+        codes, distinct = pd.factorize(np.array(chunks, dtype=object))
+        found = list(map(self.place.get, distinct))
+        new = [c for c, k in zip(distinct, found, strict=True) if k is None]
         if new:
             if len(self.place) + len(new) > self.limit and self.place:
                 self.forget()
-                new = list(dict.fromkeys(chunks))
+                new = list(distinct)
             for start in range(0, len(new), AT_ONCE):
                 self.learn(new[start:start + AT_ONCE])
-            found = list(map(self.place.__getitem__, chunks))
-        return np.array(found, np.int64)
+            found = list(map(self.place.__getitem__, distinct))
+        return np.array(found, np.int64)[codes]
 
     def learn(self, new: list[str]) -> None:
         import numpy as np
@@ -130,13 +146,13 @@ class Vocabularies:
         self.piece_bytes = [bytes([int(self.piece.id_to_piece(i)[3:-1], 16)]) if self.fallback[i]
                             else self.piece.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)]
 
-    def piece_ids(self, texts: list[str]) -> list[list[int]]:
-        """Ids of texts that begin with a space, which stands for the one that the library puts in front."""
-        return self.piece.encode([t[1:] for t in texts], num_threads=1)
+    def piece_ids(self, texts: list[str]):
+        """Ids of texts that begin with a space, which stands for the one that the library puts in front, and numbers."""
+        return flattened(self.piece.encode([t[1:] for t in texts], num_threads=1))
 
 
-def byte_encoder(tokenizer, path: str, back: dict[str, int]) -> Callable[[list[str]], list[list[int]]]:
-    """Function from texts to their ids, strings of special tokens read as plain text.
+def byte_encoder(tokenizer, path: str, back: dict[str, int]) -> Callable:
+    """Function from texts to the ids of all, one after another, and their numbers; special tokens' strings are plain text.
 
     Where ids are in order of merging, ranks say the same as merges and a rank encoder is several times as fast.
     """
@@ -154,11 +170,40 @@ def byte_encoder(tokenizer, path: str, back: dict[str, int]) -> Callable[[list[s
     if [model["vocab"][t] for t in plain] == list(range(len(plain))) and plain[256:] == merged and sorted(plain[:256]) == sorted(back):
         ranks = {bytes(back[c] for c in t): i for i, t in enumerate(plain)}
         encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: list(map(encoding.encode_ordinary, texts))
+        return joined_encoder(encoding, [len(t) for t in plain])
     tokenizer.no_truncation()
     tokenizer.no_padding()
     tokenizer.encode_special_tokens = True
-    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    return lambda texts: flattened([e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
+
+def flattened(ids: list[list[int]]):
+    from itertools import chain
+
+    import numpy as np
+
+    return np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
+
+
+def joined_encoder(encoding, lengths: list[int]):
+    """Encoder of many texts at once: those whose ends are safe places are joined and their ids dealt out by bytes."""
+    import numpy as np
+
+    lengths = np.array(lengths)
+
+    def encode(texts: list[str]):
+        safe = [len(t) > 1 and t[0] == " " and not (t[1].isspace() or t[-1].isspace()) for t in texts]
+        joined = [t for t, ok in zip(texts, safe, strict=True) if ok]
+        ids = encoding.encode_to_numpy("".join(joined)).astype(np.int64) if joined else np.zeros(0, np.int64)
+        ends = np.cumsum(np.fromiter((len(t.encode()) for t in joined), np.int64, len(joined)))
+        sizes = np.diff(np.searchsorted(np.cumsum(lengths[ids]), ends, "right"), prepend=0)
+        if len(joined) == len(texts):
+            return ids, sizes
+        split = iter(np.split(ids, np.cumsum(sizes)[:-1]) if joined else ())
+        parts = [next(split) if ok else np.array(encoding.encode_ordinary(t), np.int64) for t, ok in zip(texts, safe, strict=True)]
+        return np.concatenate(parts), np.array([len(x) for x in parts])
+
+    return encode
 
 
 def byte_alphabet() -> dict[int, str]:

@@ -13,9 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.chunks import Remembered, Vocabularies, segments
+from gridspark.llm.chunks import Remembered, Vocabularies, chunks, segments
 from gridspark.llm.common import map_texts
-from gridspark.llm.token_counts import SAFE
 from gridspark.session import cut_lineage
 
 WINDOW = 5
@@ -46,6 +45,7 @@ def repeated_words(codes, texts, window: int = WINDOW):
     ``codes`` numbers the words, equal words alike, and ``texts`` their texts, in order; windows are compared exactly.
     """
     import numpy as np
+    import pandas as pd
 
     n = len(codes) - window + 1
     owners = int(texts[-1]) + 1 if len(texts) else 0
@@ -53,9 +53,10 @@ def repeated_words(codes, texts, window: int = WINDOW):
         return np.zeros(owners, np.int64)
     same = np.zeros(len(codes), np.int64)
     # Numbers of windows of one word more, window by window, with the text in the first.
-    grams = np.unique(texts * (int(codes.max()) + 1) + codes, return_inverse=True)[1]
+    words = int(codes.max()) + 1
+    grams = pd.factorize(texts * words + codes)[0]
     for k in range(1, window):
-        grams = np.unique(grams[:len(codes) - k] * (int(codes.max()) + 1) + codes[k:], return_inverse=True)[1]
+        grams = pd.factorize(grams[:len(codes) - k] * words + codes[k:])[0]
     inside = texts[:n] == texts[window - 1:]
     often = inside & (np.bincount(grams[inside], minlength=int(grams.max()) + 1)[grams] > 1)
     starts = np.flatnonzero(often)
@@ -79,18 +80,15 @@ def script(text: str, patterns) -> str:
 
 def measurer(byte_path: str, piece_path: str):
     """Function from texts to the columns of :func:`measures`."""
-    from itertools import chain
-
     import numpy as np
     import pandas as pd
 
     v = Vocabularies(byte_path, piece_path)
     patterns = {name: re.compile(f"[{r}]+") for name, r in SCRIPTS.items()}
 
-    def weigh(chunks):
-        ids = v.piece_ids(chunks)
-        values = np.fromiter(map(len, v.byte_ids(chunks)), np.int64, len(chunks))
-        return values[:, None], np.fromiter(map(len, ids), np.int64, len(chunks)), np.fromiter(chain.from_iterable(ids), np.uint32), []
+    def weigh(texts):
+        ids, sizes = v.piece_ids(texts)
+        return v.byte_ids(texts)[1][:, None], sizes, ids, []
 
     known = Remembered(weigh, values=1)
 
@@ -100,8 +98,8 @@ def measurer(byte_path: str, piece_path: str):
         histogram: dict[int, list] = {}
 
         def take(part):
-            split = [SAFE.split(s) for _, s in part]
-            codes = known.numbers([c for chunks in split for c in chunks])
+            split = [chunks(s) for _, s in part]
+            codes = known.numbers([c for s in split for c in s])
             owner = np.repeat(np.array([i for i, _ in part]), [len(c) for c in split])
             out[0] += np.bincount(owner, known.values.all[codes, 0], len(texts))
             ids, owner = known.spread(codes, owner)

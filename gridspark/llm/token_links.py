@@ -15,9 +15,8 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.chunks import Remembered, Vocabularies, segments
+from gridspark.llm.chunks import Remembered, Vocabularies, chunks, segments
 from gridspark.llm.common import slices
-from gridspark.llm.token_counts import SAFE
 from gridspark.session import cut_lineage
 
 # Parts of the second vocabulary, by the id's remainder; packed bytes merged in one task, about; records of a frame.
@@ -105,6 +104,21 @@ def merged(runs: list[list[bytes]]):
     return summed(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
 
+def whole(ids, counts, texts, sizes, raw):
+    """Whether the tokens of each chunk, so many one after another, give the bytes in ``raw``."""
+    import numpy as np
+
+    given = np.array([len(r) for r in raw])
+    ends = np.cumsum(counts)
+    total = np.concatenate([[0], np.cumsum(sizes[ids])])
+    good = total[ends] - total[ends - counts] == given
+    joined = b"".join([texts[i] for i in ids[np.repeat(good, counts)].tolist()])
+    if joined != b"".join([r for r, ok in zip(raw, good.tolist(), strict=True) if ok]):
+        tokens = ids.tolist()
+        good &= [b"".join([texts[i] for i in tokens[e - n:e]]) == r for e, n, r in zip(ends.tolist(), counts.tolist(), raw, strict=True)]
+    return good
+
+
 def linker(byte_path: str, piece_path: str):
     """What :class:`Remembered` asks of distinct chunks: whole, n_a, n_b, n_groups; one pair a link, b id first; groups.
 
@@ -121,20 +135,19 @@ def linker(byte_path: str, piece_path: str):
     names = np.array(inside_a + last_a + inside_b + last_b, dtype=object)
     offsets = np.cumsum([0, len(sizes_a), len(sizes_a), len(sizes_b)])
 
-    def link(chunks: list[str]) -> list[tuple]:
-        ids_a, ids_b = v.byte_ids(chunks), v.piece_ids(chunks)
-        raw = [c.encode("utf-8", "surrogatepass") for c in chunks]
-        whole = [b"".join(map(v.byte_bytes.__getitem__, a)) == r == b"".join(map(v.piece_bytes.__getitem__, b))
-                 for a, b, r in zip(ids_a, ids_b, raw, strict=True)]
-        good = [k for k, w in enumerate(whole) if w]
-        values, sizes, named = np.zeros((len(chunks), 4), np.int64), np.zeros(len(chunks), np.int64), [""] * len(chunks)
-        if not good:
+    def link(texts: list[str]):
+        (a, n_a), (b, n_b) = v.byte_ids(texts), v.piece_ids(texts)
+        raw = [c.encode("utf-8", "surrogatepass") for c in texts]
+        good = whole(a, n_a, v.byte_bytes, sizes_a, raw) & whole(b, n_b, v.piece_bytes, sizes_b, raw)
+        values, sizes, named = np.zeros((len(texts), 4), np.int64), np.zeros(len(texts), np.int64), [""] * len(texts)
+        if not good.any():
             return values, sizes, np.zeros(0, np.int64), named
-        n_a, n_b = (np.array([len(ids[k]) for k in good]) for ids in (ids_a, ids_b))
-        a, b = (np.fromiter((i for k in good for i in ids[k]), np.int64) for ids in (ids_a, ids_b))
+        a, b, n_a, n_b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)], n_a[good], n_b[good]
         end_a, end_b = np.cumsum(sizes_a[a]), np.cumsum(sizes_b[b])
         # Between two neighbouring ends lies one token of either side: a link.
-        cuts, shared = np.union1d(end_a, end_b), np.intersect1d(end_a, end_b)
+        ends = np.sort(np.concatenate([end_a, end_b]), kind="stable")
+        twice = ends[1:] == ends[:-1]
+        cuts, shared = np.concatenate([ends[:1], ends[1:][~twice]]), ends[1:][twice]
         keys = (b[np.searchsorted(end_b, cuts)] << 16 | a[np.searchsorted(end_a, cuts)]).astype("<u4")
         ends = end_a[np.cumsum(n_a) - 1]
         upto_link, upto_group = np.searchsorted(cuts, ends, "right"), np.searchsorted(shared, ends, "right")
@@ -142,10 +155,10 @@ def linker(byte_path: str, piece_path: str):
         signs = np.concatenate([names[offsets[0 + np.isin(end_a, shared)] + a], names[offsets[2 + np.isin(end_b, shared)] + b]])
         signs = signs[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")].tolist()
         start = 0
-        for k, end in zip(good, np.cumsum(n_a + n_b).tolist(), strict=True):
+        for k, end in zip(np.flatnonzero(good).tolist(), np.cumsum(n_a + n_b).tolist(), strict=True):
             named[k] = "".join(signs[start:end])
             start = end
-        values[good] = np.stack([np.ones(len(good), np.int64), n_a, n_b, np.diff(upto_group, prepend=0)], axis=1)
+        values[good] = np.stack([np.ones(len(n_a), np.int64), n_a, n_b, np.diff(upto_group, prepend=0)], axis=1)
         sizes[good] = np.diff(upto_link, prepend=0)
         return values, sizes, keys, named
 
@@ -164,9 +177,9 @@ def aligner(byte_path: str, piece_path: str, parts: int):
 
         def take(part: list[tuple[int, str]]) -> None:
             """Segments (text number, characters) of any texts, in order."""
-            split = [SAFE.split(s) for _, s in part]
-            codes = known.numbers([c for chunks in split for c in chunks])
-            counts = np.array([len(chunks) for chunks in split])
+            split = [chunks(s) for _, s in part]
+            codes = known.numbers([c for s in split for c in s])
+            counts = np.array([len(s) for s in split])
             numbers = np.array([i for i, _ in part])
             owner = np.repeat(numbers, counts)
             values = known.values.all[codes]
