@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions.scores import probability, standardize
+from gridspark.models import ranking
 from gridspark.models.folds import FoldPlan, block_sizes
 from gridspark.models.logistic import ALL_CELLS, Model, Scale, fit_logistic_many, score_inner_folds
 from gridspark.operators import calibration
@@ -90,11 +91,14 @@ def random_search_c(rows: DataFrame, plan: FoldPlan, features: Sequence[str], sc
                     seed: int = 42, auc_bins: int | None = None) -> dict[int, float]:
     """Best C per outer fold by mean inner AUC (first one among equals).
 
-    All folds and candidates are fitted in the same passes.
+    All folds and candidates are fitted in the same passes.  Areas are compared through bounds and exact
+    where bounds do not decide; ``auc_bins`` compares areas of scores on a grid instead.
     """
     candidates = candidate_penalties(n_iter, seed=seed)
     models = [Model(o, i, c) for o in range(plan.n_outer) for c in candidates for i in range(plan.n_inner(o))]
     fit_logistic_many(rows, models, features, scales)
+    if auc_bins is None:
+        return ranking.best_penalties(rows, models, candidates, features, scales)
     usable = [m for m in models if m.fitted]
     area = dict(zip(map(id, usable), inner_auc(rows, usable, features, scales, auc_bins)))
     best = {}
@@ -110,6 +114,15 @@ def _score(model: Model, features: Sequence[str], scales: Sequence[Scale]) -> Co
     return probability(z, [float(w) for w in model.weights[1:]], float(model.weights[0]))
 
 
+def _own_fold(models: Sequence[Model], features: Sequence[str], scales: dict[int, list[Scale]]) -> Column:
+    """Score of a cell by the model of its own outer fold."""
+    p = None
+    for m in models:
+        hit, score = F.col("fold") == m.outer, _score(m, features, scales[m.outer])
+        p = F.when(hit, score) if p is None else p.when(hit, score)
+    return p
+
+
 def _by_fold(df: DataFrame, key: str = "outer") -> dict[int, dict]:
     return {r[key]: r.asDict() for r in df.collect()}  # one row per fold
 
@@ -127,12 +140,8 @@ class NestedResult:
 
     def out_of_fold(self, cells: DataFrame) -> DataFrame:
         """``fold`` and ``p`` of every cell from the model that did not see its block."""
-        p = None
-        for m in self.models:
-            hit, score = F.col("fold") == m.outer, _score(m, self.features, self.scales[m.outer])
-            p = F.when(hit, score) if p is None else p.when(hit, score)
         doubles = {f: F.col(f).cast("double") for f in self.features}
-        scored = self.plan.attach(cells).withColumns(doubles).withColumn("p", p)
+        scored = self.plan.attach(cells).withColumns(doubles).withColumn("p", _own_fold(self.models, self.features, self.scales))
         return scored.select(*cells.columns, "fold", "p")
 
 
@@ -161,30 +170,25 @@ def nested_spatial_cv(cells: DataFrame, features: Sequence[str], n_outer: int =
     if not all(m.fitted for m in models):
         raise ValueError("a training part holds a single class")
 
-    per_model = F.explode(F.array(*[
-        F.struct(F.lit(m.outer).alias("outer"), _score(m, features, scales[m.outer]).alias("p")) for m in models]))
-    scored = rows.select("fold", "y", "w", per_model.alias("m")).select("fold", "y", "w", "m.outer", "m.p")
-    held = scored.where(F.col("fold") == F.col("outer"))
+    held = rows.select("fold", "y", "w", _own_fold(models, features, scales).alias("p"))
     if threshold_mode == "per_fold_f1":
-        training = scored.where(F.col("fold") != F.col("outer"))
-        curve = calibration.pr_curve(training, ["outer"], weight="w")
-        cut = {o: r["threshold"] for o, r in _by_fold(calibration.best_f1_threshold(curve, ["outer"])).items()}
+        cut = ranking.best_f1_thresholds(rows, models, features, scales)
     else:
         cut = {m.outer: 0.5 for m in models}
-    threshold = F.create_map(*[x for o, t in cut.items() for x in (F.lit(o), F.lit(float(t)))])[F.col("outer")]
-    ranking = _by_fold(calibration.ranking_scores(held, ["outer"], weight="w"))
-    error = _by_fold(calibration.brier(held, ["outer"], weight="w"))
-    hard = _by_fold(calibration.f1_precision_recall(held, ["outer"], threshold, weight="w"))
+    threshold = F.create_map(*[x for o, t in cut.items() for x in (F.lit(o), F.lit(float(t)))])[F.col("fold")]
+    ranked = _by_fold(calibration.ranking_scores(held, ["fold"], weight="w"), "fold")
+    error = _by_fold(calibration.brier(held, ["fold"], weight="w"), "fold")
+    hard = _by_fold(calibration.f1_precision_recall(held, ["fold"], threshold, weight="w"), "fold")
 
     total = plan.n_cells()
     table = []
     for m in models:
         o, e = m.outer, error[m.outer]
-        prevalence, ap = e["prevalence"], ranking[o]["average_precision"]
+        prevalence, ap = e["prevalence"], ranked[o]["average_precision"]
         row = {
             "fold": o, "n_train": total - plan.cells_in(o), "n_val": plan.cells_in(o), "n_val_blocks": plan.blocks_in(o),
             "tuned_C": m.c, "threshold": cut[o], "val_prevalence": prevalence, "intercept": float(m.weights[0]),
-            "val_roc_auc": ranking[o]["roc_auc"], "val_pr_auc": ap,
+            "val_roc_auc": ranked[o]["roc_auc"], "val_pr_auc": ap,
             "val_pr_auc_skill_ratio": ap / prevalence if ap is not None and 0 < prevalence < 1 else None,
             "val_brier": e["brier"], "val_brier_skill_score": e["brier_skill_score"],
             "val_f1": hard[o]["f1"], "val_precision": hard[o]["precision"], "val_recall": hard[o]["recall"],

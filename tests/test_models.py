@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridspark.models import scoring, validation
+from gridspark.models import ranking, scoring, validation
 from gridspark.models.folds import FoldPlan, block_sizes, deal, group_kfold
 from gridspark.models.logistic import ALL_CELLS, Model, Scale, fit_logistic, fit_logistic_many, score_inner_folds
 from gridspark.operators.grid import Grid
@@ -214,3 +214,59 @@ def test_run_summary_and_application(spark, cells):
     assert p == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-12)
     gap = spark.createDataFrame([(0, 0, None, 300.0)], "row int, col int, awc double, rain double")
     assert scoring.predict_proba(gap, result.scaler, result.coefficients, ["awc", "rain"]).first().p is None
+
+
+def exact_choice(rows, plan, features, scales, n_iter):
+    """Candidates by areas of all models."""
+    candidates = validation.candidate_penalties(n_iter)
+    models = [Model(o, i, c) for o in range(plan.n_outer) for c in candidates for i in range(plan.n_inner(o))]
+    fit_logistic_many(rows, models, features, scales)
+    area = dict(zip(map(id, models), validation.inner_auc(rows, models, features, scales)))
+    mean = {(o, c): np.mean([area[id(m)] for m in models if (m.outer, m.c) == (o, c)]) for o in range(plan.n_outer) for c in candidates}
+    return {o: candidates[int(np.argmax(np.round([mean[o, c] for c in candidates], 12)))] for o in range(plan.n_outer)}, models, area
+
+
+@pytest.mark.parametrize("features,coarse,fine", [(["awc", "rain"], 256, 4096), (["awc", "rain"], 4, 16), (["awc"], 8, 32)])
+def test_bounded_areas_choose_as_exact_ones(cells, monkeypatch, features, coarse, fine):
+    monkeypatch.setattr(ranking, "COARSE", coarse)
+    monkeypatch.setattr(ranking, "FINE", fine)
+    plan, rows, scales = prepared(cells, features)
+    want, models, area = exact_choice(rows, plan, features, scales, 6)
+    assert validation.random_search_c(rows, plan, features, scales, n_iter=6) == want
+    counted = ranking.histograms(rows, models, features, scales, coarse)
+    for m, c in zip(models, counted):
+        low, high = c.area()
+        assert low <= area[id(m)] <= high
+    assert ranking.exact_areas(rows, models, features, scales, counted) == [area[id(m)] for m in models]
+
+
+def test_bounds_move_few_rows(cells):
+    """The histogram of a model is one row from each task, whatever the cells."""
+    plan, rows, scales = prepared(cells, ["awc", "rain"])
+    models = [Model(o, i, 1.0) for o in range(3) for i in range(2)]
+    fit_logistic_many(rows, models, ["awc", "rain"], scales)
+    counted = ranking.histograms(rows, models, ["awc", "rain"], scales, 16)
+    assert sum(int(c.n0.sum() + c.n1.sum()) for c in counted) == 2 * 1200
+    inside = ranking.scores_within(rows, models, ["awc", "rain"], scales, [np.arange(16) == 3] * 6)
+    assert inside.agg(F.sum(F.col("n0") + F.col("n1"))).first()[0] == sum(int(c.n0[3] + c.n1[3]) for c in counted)
+
+
+@pytest.mark.parametrize("bins", [1, 7, 4096])
+def test_thresholds_equal_those_of_the_whole_curve(cells, bins):
+    from gridspark.operators import calibration
+
+    features = ["awc", "rain"]
+    plan, rows, scales = prepared(cells, features)
+    models = [Model(o, -1, 0.3) for o in range(3)]
+    fit_logistic_many(rows, models, features, scales)
+    got = ranking.best_f1_thresholds(rows, models, features, scales, bins)
+    for m in models:
+        scored = rows.where(F.col("fold") != m.outer).select("y", "w", validation._score(m, features, scales[m.outer]).alias("p"))
+        want = calibration.best_f1_threshold(calibration.pr_curve(scored, [], weight="w"), []).first()["threshold"]
+        assert got[m.outer] == pytest.approx(want, rel=1e-12)
+
+
+def test_models_without_an_area(cells):
+    plan, rows, scales = prepared(cells.withColumn("y", F.lit(1)), ["awc"])
+    best = validation.random_search_c(rows, plan, ["awc"], scales, n_iter=2)
+    assert best == dict.fromkeys(range(3), validation.candidate_penalties(2)[0])
