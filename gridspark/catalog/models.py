@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gridspark.catalog import soil_sql as q
-from gridspark.catalog.fixtures import SOIL_GRID, Tables, sql
+from gridspark.catalog.fixtures import CLIMATE_GRID, SOIL_GRID, Tables, sql
+from gridspark.catalog.grids import COARSE
 from gridspark.catalog.registry import query, rounded
 from gridspark.catalog.soil import MAP_SQL, PROFILE, _maps_cte, awc_of
 from gridspark.catalog.soil_sql import r
@@ -15,7 +18,8 @@ from gridspark.models.folds import FoldPlan, block_sizes, group_kfold
 from gridspark.models.logistic import ALL_CELLS, Model, fit_logistic, fit_logistic_many
 from gridspark.operators import binned, calibration, class_stats, scaling
 from gridspark.plans import dsi
-from gridspark.session import cut_lineage
+from gridspark.plans.store import ModelStore, apply_years
+from gridspark.session import cut_lineage, shared_folder
 from gridspark.sources.writers import encode_int16
 
 # Full search: 10 outer and 5 inner folds, 20 candidates.  Blocks of 4 x 4 cells give ten folds on the smallest tables.
@@ -257,6 +261,23 @@ def _(t: Tables):
     return rounded(scoring.predict_proba(cells, scaler, coefficients, FEATURES).select("row", "col", "p"), 6, "p")
 
 
+KEY = {"ptf": "stated", "depth": "2m", "date": "1995-07-01"}
+
+
+def _store(t: Tables) -> ModelStore:
+    return ModelStore(t.spark, f"{shared_folder(t.spark)}/models-{uuid.uuid4().hex}")
+
+
+@query("M8_store_and_apply", sql("soil", f"SELECT row, col, {r('p')} AS p FROM probs", **SCALED, probs=_PROBS))
+def _(t: Tables):
+    """Stored as two versions, the newer one resolved by its run key and applied in another plan."""
+    cells, scaler, coefficients = _stated(t)
+    store = _store(t)
+    store.save(KEY, scaler, coefficients.withColumn("coefficient", F.lit(0.0)))
+    store.save(KEY, scaler, coefficients)
+    return rounded(store.apply(KEY, cells).select("row", "col", "p"), 6, "p")
+
+
 @query("J9_parameters_on_cells", sql("soil disco", f"""
 SELECT key AS label, count(*) AS n, {r('avg(p)')} AS mean_p, sum(y)::BIGINT AS n_disco FROM yearly GROUP BY key""", **SCALED, probs=_PROBS, yearly=_YEARS))
 def _(t: Tables):
@@ -285,6 +306,54 @@ def _(t: Tables):
     return rounded(out, 6, "mean_disco", "mean_nondisco", "median_disco", "median_nondisco", "auc", "cohens_d")
 
 
+@query("M10_isolated_scenarios", sql("soil disco", """
+SELECT s.label, CASE WHEN s.reason IS NOT NULL THEN 'failed' WHEN n IS NULL THEN 'empty' ELSE 'done' END AS status,
+       CASE WHEN s.reason IS NOT NULL THEN s.reason WHEN n IS NULL THEN 'no complete cell' END AS reason,
+       n1 AS n_disco, n0 AS n_nondisco, round(u/(n0*n1), 6) + 0.0 AS auc
+FROM (VALUES ('1994', NULL), ('1995', NULL), ('1800', NULL), ('lost', 'no table'), ('bare', 'no column disco')) s(label, reason)
+LEFT JOIN (SELECT key::VARCHAR AS label, count(*) AS n, count(*) FILTER (y = 1) AS n1, count(*) FILTER (y = 0) AS n0 FROM yearly GROUP BY key) USING (label)
+LEFT JOIN (SELECT key::VARCHAR AS label, sum(c1*(n0 - fp + c0/2)) AS u FROM run GROUP BY key) USING (label)""",
+    **SCALED, probs=_PROBS, yearly=_YEARS9, run=_YRUN))
+def _(t: Tables):
+    """Five scenarios of a stored model, two of them broken and one without cells: results of the others, states of all."""
+    cells, scaler, coefficients = _stated(t)
+    store = _store(t)
+    store.save(KEY, scaler, coefficients)
+    of = lambda year: cells.join(t.disco.where(F.col("year") == year).select("row", "col", F.col("value").alias("disco")), ["row", "col"])
+    result, status = apply_years(store, KEY, {"1994": of(1994), "1995": of(1995), "1800": of(1800), "lost": None, "bare": cells}, FEATURES)
+    out = status.join(result.select("label", "n_disco", "n_nondisco", "auc"), "label", "left")
+    return rounded(out, 6, "auc")
+
+
+_WIDE = """SELECT (floor(row/2.5E0))::INT AS row, (floor(col/2.5E0))::INT AS col, round(max(sand)) AS awc FROM soil GROUP BY 1, 2"""
+_AVERAGED = """
+SELECT ty AS row, tx AS col, sum(w*value)/sum(w) AS disco FROM (
+  SELECT value, tx, ty, (least((col+1)/2.5E0, tx+1) - greatest(col/2.5E0, tx)) * (least((row+1)/2.5E0, ty+1) - greatest(row/2.5E0, ty)) AS w
+  FROM (SELECT *, unnest(range(floor(col/2.5E0)::INT, ceil((col+1)/2.5E0)::INT))::INT AS tx FROM
+         (SELECT *, unnest(range(floor(row/2.5E0)::INT, ceil((row+1)/2.5E0)::INT))::INT AS ty FROM disco WHERE value IS NOT NULL)))
+GROUP BY ty, tx"""
+_BETWEEN = """
+SELECT row, col, sum(w*value)/sum(w) AS heat FROM (
+  SELECT t.row, t.col, s.value, CASE WHEN s.row = t.qr THEN 1 - t.fy ELSE t.fy END * CASE WHEN s.col = t.qc THEN 1 - t.fx ELSE t.fx END AS w
+  FROM (SELECT row, col, floor(x)::INT AS qc, floor(y)::INT AS qr, x - floor(x) AS fx, y - floor(y) AS fy
+        FROM (SELECT row, col, (col + .5E0)*62.5E0/250 - .5E0 AS x, (row + .5E0)*62.5E0/250 - .5E0 AS y FROM wide)) t
+  JOIN (SELECT row, col, avg(tasmax) AS value FROM climate_daily GROUP BY row, col) s
+    ON s.row BETWEEN t.qr AND t.qr + 1 AND s.col BETWEEN t.qc AND t.qc + 1)
+GROUP BY row, col"""
+
+
+@query("E3_cells_from_grids", sql("soil disco climate_daily", f"""
+SELECT row, col, awc, {r('heat')} AS heat, CASE WHEN round(disco, 6) >= 4000 THEN 1 ELSE 0 END AS y
+FROM wide JOIN averaged USING (row, col) JOIN heated USING (row, col) WHERE heat IS NOT NULL""", wide=_WIDE, averaged=_AVERAGED, heated=_BETWEEN))
+def _(t: Tables):
+    """Water on a 62.5 m grid, discoloration averaged from 25 m and heat interpolated from 250 m."""
+    at = lambda c: F.floor(F.col(c) / 2.5).cast("int").alias(c)
+    awc = t.soil.groupBy(at("row"), at("col")).agg(F.round(F.max("sand")).alias("value"))
+    heat = t.climate.groupBy("row", "col").agg(F.avg("tasmax").alias("value"))
+    cells = dsi.cells_from_grids(awc, COARSE, (t.disco.select("row", "col", "value"), SOIL_GRID), {"heat": (heat, CLIMATE_GRID)}, CONFIG)
+    return rounded(cells.select("row", "col", "awc", "heat", "y"), 6, "heat")
+
+
 @query("M10_apply_to_years")
 def _(t: Tables):
     cells, scaler, coefficients = _stated(t)

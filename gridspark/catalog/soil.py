@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gridspark.catalog import soil_sql as q
 from gridspark.catalog.fixtures import CELL_UNITS, Tables, sql
 from gridspark.catalog.registry import log6, query, rounded
 from gridspark.functions.names import parse_depth_range, parse_run_key
+from gridspark.models import forest
 from gridspark.operators import depth, ensemble, order_statistics, run_keys, soil
 from gridspark.plans import soil_to_awc
+from gridspark.session import shared_folder
 from gridspark.sources import readers, writers
 
 ID = ["row", "col", "layer"]
@@ -157,6 +161,41 @@ def _(t: Tables):
     return rounded(out, 9, "awc_vol", "layer_awc_mm")
 
 
+# Two stages of two splits: what a forest of full trees on the four corners must say, whatever the order of its splits.
+_CORNERS = "CASE WHEN sand <= 40 THEN 0.21E0 ELSE 0.13E0 END + CASE WHEN clay <= 25 THEN 0.05E0 ELSE 0.16E0 END"
+
+
+def _stored_forests(t: Tables, samples, name: str, **settings):
+    """Forests fitted, stored and loaded again."""
+    folder = f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+    forest.store_forests(forest.fit_point_forests(samples, **settings), folder)
+    return forest.load_forests(folder)
+
+
+@query("P12_stated_forest", _sql(
+    f"""SELECT row, col, layer, {q.r('fc')} AS fc, {q.r('wp')} AS wp, {q.r('least(greatest(fc - wp, 0E0), .8E0)')} AS awc_vol,
+        {q.r('least(greatest(fc - wp, 0E0), .8E0) * (1 - coalesce(gravel, 0)/100) * thick_mm')} AS layer_awc_mm
+        FROM (SELECT *, {_CORNERS} AS fc, ({_CORNERS}) * 0.4E0 AS wp FROM profile)"""))
+def _(t: Tables):
+    """Two trees that are known in advance: the samples take four values, 20 on either side of each split."""
+    side = lambda c, at: F.when(F.col(c) <= at, at - 20.0).otherwise(at + 20.0).alias(c)
+    corners = t.soil.select(side("sand", 40.0), side("clay", 25.0)).distinct()
+    fc = F.when(F.col("sand") <= 40, 0.21).otherwise(0.13) + F.when(F.col("clay") <= 25, 0.05).otherwise(0.16)
+    samples = corners.withColumns({"fc": fc, "wp": fc * 0.4})
+    forests = _stored_forests(t, samples, "stated", features=("sand", "clay"), n_trees=2, max_depth=2, bootstrap=False,
+                              featureSubsetStrategy="all")
+    out = forest.awc_from_forests(t.profile, forests, ("sand", "clay"))
+    return rounded(out.select(*ID, "fc", "wp", "awc_vol", "layer_awc_mm"), 6, "fc", "wp", "awc_vol", "layer_awc_mm")
+
+
+@query("P12_fitted_forest")
+def _(t: Tables):
+    """Forests learned from all profiles, with the water contents of another function as measured ones."""
+    measured = soil.ptf_toth(t.profile).select("sand", "clay", "soc", "trd", "fc", "wp")
+    out = forest.awc_from_forests(t.profile, _stored_forests(t, measured, "fitted", n_trees=10))
+    return rounded(out.select(*ID, "fc", "wp", "awc_vol", "layer_awc_mm"), 6, "fc", "wp", "awc_vol", "layer_awc_mm")
+
+
 @query("P13_mvg_theta", _sql(
     f"SELECT row, col, layer, {q.r(q.theta(330))} AS theta FROM fitted", fitted=q.SCHOCH))
 def _(t: Tables):

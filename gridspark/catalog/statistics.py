@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gridspark.catalog import soil_sql as q
@@ -10,6 +12,8 @@ from gridspark.catalog.registry import query, rounded
 from gridspark.catalog.soil import MAP_SQL, PROFILE, _maps_cte, awc_of
 from gridspark.catalog.soil_sql import r
 from gridspark.operators import binned, class_stats, order_statistics, run_keys
+from gridspark.session import shared_folder
+from gridspark.sources import readers, writers
 from gridspark.sources.writers import encode_int16
 
 PTFS = ("toth", "saxton", "weynants")
@@ -253,6 +257,27 @@ def _(t: Tables):
     return rounded(binned.pixel_totals_by_date(cells_of(t)), 6, "pct_discolored")
 
 
+@query("A23_pixel_totals_rollup", _sql(
+    f"""SELECT depth, date, grouping(depth, date)::INT AS level, count(*) FILTER (cls = 0) AS not_discolored, count(*) FILTER (cls = 1) AS discolored,
+        count(*) AS total, {r('100E0*count(*) FILTER (cls = 1)/count(*)')} AS pct_discolored FROM cells GROUP BY ROLLUP (depth, date)"""))
+def _(t: Tables):
+    return rounded(binned.pixel_totals_rollup(cells_of(t)), 6, "pct_discolored")
+
+
+@query("S9_summary_csv", _sql(
+    f"""SELECT dataset, depth, date, n0::BIGINT AS n0, n1::BIGINT AS n1, {_even('md0')} AS median0, {_even('md1')} AS median1,
+        {_even('1 - 2*u/(n0*n1)')} AS r_rb, {_even('u/(n0*n1)')} AS cles FROM ranksum
+        JOIN (SELECT dataset, depth, date, quantile_cont(awc_mm, .5) FILTER (cls = 0) AS md0, quantile_cont(awc_mm, .5) FILTER (cls = 1) AS md1
+              FROM cells GROUP BY dataset, depth, date) USING (dataset, depth, date)""", ranked=_RANKED, ranksum=_RANKSUM))
+def _(t: Tables):
+    """The summary as a file has it: written, listed and read again, in the order of its columns and rows."""
+    stats = class_stats.two_class_stats(cells_of(t), with_p=False)
+    columns = [*KEYS, "n0", "n1", "median0", "median1", "r_rb", "cles"]
+    path = f"{shared_folder(t.spark)}/summary-{uuid.uuid4().hex}"
+    writers.write_summary_csv(stats, path, columns, "r_rb")
+    return readers.read_summary_csv(t.spark, path, stats.select(*columns).schema)
+
+
 @query("W4_sort_summary", _sql(
     "SELECT dataset, depth, date, round_even(1 - 2*u/(n0*n1), 4) + 0.0 AS r_rb FROM ranksum ORDER BY abs(1 - 2*u/(n0*n1)) DESC",
     ranked=_RANKED, ranksum=_RANKSUM))

@@ -17,35 +17,43 @@ from pyspark.sql import functions as F
 
 from gridspark.models.logistic import Model, Scale, _design, _groups, _probabilities
 
-# Bins of the first look at all models, and of the closer look at those that are still in question.
-COARSE, FINE = 256, 4096
+# Bins of the first look at all models, of the closer look at those still in question, and of thresholds.
+COARSE, FINE, EDGES = 1024, 1 << 16, 4096
+# Filled bins of all models that a task may hold in the closer look: outer folds are looked at in turn beyond that.
+HELD = 1 << 23
+# Bins with both classes that are listed for a model; with more of them every bin is looked into.
+LISTED = 1 << 14
 
 
 @dataclass
-class Counts:
-    """Cells of both classes of one model by score bin."""
+class Bounds:
+    """What the counts by score bin say about a model's ROC area."""
 
-    n0: np.ndarray
-    n1: np.ndarray
-
-    @property
-    def mixed(self) -> np.ndarray:
-        return (self.n0 > 0) & (self.n1 > 0)
-
-    @property
-    def pairs(self) -> float:
-        return float(self.n0.sum()) * float(self.n1.sum())
-
-    def wins(self) -> float:
-        """Pairs of different bins that are in the right order."""
-        return float((self.n1 * (np.cumsum(self.n0) - self.n0)).sum())
+    pairs: float  # cells of class 0 times cells of class 1
+    wins: float  # pairs of different bins in the right order
+    within: float  # pairs of one bin
+    bins: int
+    mixed: np.ndarray | None  # bins with both classes; None for every bin
 
     def area(self) -> tuple[float, float]:
-        """Least and greatest ROC AUC that the counts allow; NaN for a single class."""
+        """Least and greatest area that the counts allow; NaN for a single class."""
         if not self.pairs:
             return float("nan"), float("nan")
-        within = float((self.n0 * self.n1).sum())
-        return self.wins() / self.pairs, (self.wins() + within) / self.pairs
+        return self.wins / self.pairs, (self.wins + self.within) / self.pairs
+
+
+def _pack(at: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> bytes:
+    return np.concatenate([at, n0, n1]).astype("<i8").tobytes()
+
+
+def _merge(packed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bins in order and their counts, summed over packed ones."""
+    at, n0, n1 = np.concatenate([np.frombuffer(bytes(b), "<i8").reshape(3, -1) for b in packed], axis=1)
+    bins, where = np.unique(at, return_inverse=True)
+    out = np.zeros((2, len(bins)), "int64")
+    np.add.at(out[0], where, n0)
+    np.add.at(out[1], where, n1)
+    return bins, out[0], out[1]
 
 
 def score_ranges(models: Sequence[Model], scales: Mapping[int, Sequence[Scale]]) -> np.ndarray:
@@ -86,10 +94,11 @@ def _parts(batch: pd.DataFrame, groups, models, features, scales, training: bool
 
 
 def histograms(rows: DataFrame, models: Sequence[Model], features: Sequence[str], scales: Mapping[int, Sequence[Scale]],
-               bins: int = COARSE, training: bool = False) -> list[Counts]:
-    """Counts by score bin of each model over its inner validation cells, or with ``training`` over its training cells.
+               bins: int, training: bool = False) -> DataFrame:
+    """(model, counts): filled score bins of each model over its inner validation cells, or with ``training`` over its
+    training cells, packed with the cells of both classes.
 
-    One job; each task emits at most one row per model, and one row per model reaches the driver.
+    Each task emits at most one row per model, of at most as many numbers as there are bins.
     """
     groups, features = _groups(models), list(features)
     held = [(m.inner, m.weights) for m in models]
@@ -97,47 +106,67 @@ def histograms(rows: DataFrame, models: Sequence[Model], features: Sequence[str]
     ranges = score_ranges(models, scales)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, np.ndarray] = {}
+        total: dict[int, list[bytes]] = {}
         for batch in batches:
             for i, p, n0, n1 in _parts(batch, groups, held, features, scales, training):
-                at = _bin(p, ranges[i], bins)
-                mine = total.setdefault(i, np.zeros((2, bins), "int64"))
-                mine[0] += np.bincount(at, n0, bins).astype("int64")
-                mine[1] += np.bincount(at, n1, bins).astype("int64")
-        yield pd.DataFrame({"model": np.array(list(total), "int32"), "counts": [t.tobytes() for t in total.values()]})
+                parts = total.setdefault(i, [])
+                parts.append(_pack(_bin(p, ranges[i], bins), n0, n1))
+                if len(parts) > 8:
+                    total[i] = [_pack(*_merge(parts))]
+        yield pd.DataFrame({"model": np.array(list(total), "int32"), "counts": [_pack(*_merge(t)) for t in total.values()]})
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(b, "int64") for b in frame["counts"])
-        return pd.DataFrame({"model": frame["model"].iloc[:1], "counts": [total.tobytes()]})
+        return pd.DataFrame({"model": frame["model"].iloc[:1], "counts": [_pack(*_merge(frame["counts"]))]})
 
     schema = "model int, counts binary"
     packed = rows.mapInPandas(count, schema).withColumn("part", F.spark_partition_id() % 64)
     some = packed.groupBy("model", "part").applyInPandas(add, schema)  # no group grows with the tasks alone
-    out = [Counts(*np.zeros((2, bins), "int64")) for _ in models]
-    for r in some.groupBy("model").applyInPandas(add, schema).collect():
-        out[r["model"]] = Counts(*np.frombuffer(bytes(r["counts"]), "int64").reshape(2, bins))
+    return some.groupBy("model").applyInPandas(add, schema)
+
+
+def bounds(rows: DataFrame, models: Sequence[Model], features: Sequence[str], scales, bins: int = COARSE) -> list[Bounds]:
+    """Bounds of each model's area on its inner validation cells; a few numbers and LISTED bins of each reach the driver."""
+    def conclude(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for model, counts in zip(batch["model"], batch["counts"]):
+                at, n0, n1 = _merge([counts])
+                mixed = at[(n0 > 0) & (n1 > 0)]
+                n0, n1 = n0.astype(float), n1.astype(float)
+                out.append((model, n0.sum() * n1.sum(), (n1 * (np.cumsum(n0) - n0)).sum(), (n0 * n1).sum(),
+                            mixed.astype("<i8").tobytes() if len(mixed) <= LISTED else None))
+            yield pd.DataFrame(out, columns=["model", "pairs", "wins", "within", "mixed"])
+
+    counted = histograms(rows, models, features, scales, bins)
+    out = [Bounds(0.0, 0.0, 0.0, bins, np.zeros(0, "int64")) for _ in models]
+    for r in counted.mapInPandas(conclude, "model int, pairs double, wins double, within double, mixed binary").collect():
+        mixed = None if r["mixed"] is None else np.frombuffer(bytes(r["mixed"]), "<i8")
+        out[r["model"]] = Bounds(r["pairs"], r["wins"], r["within"], bins, mixed)
     return out
 
 
 def scores_within(rows: DataFrame, models: Sequence[Model], features: Sequence[str], scales: Mapping[int, Sequence[Scale]],
-                  wanted: Sequence[np.ndarray], training: bool = False) -> DataFrame:
+                  bins: int, wanted: Sequence[np.ndarray | None], training: bool = False) -> DataFrame:
     """(model, bin, p, n0, n1, n0_before, n1_before) of the distinct scores in the wanted bins, counted within the bin."""
     groups, features = _groups(models), list(features)
     held = [(m.inner, m.weights) for m in models]
     scales = {o: list(scales[o]) for o in groups}
-    ranges, wanted = score_ranges(models, scales), [np.asarray(x) for x in wanted]
+    ranges, wanted = score_ranges(models, scales), [None if x is None else np.asarray(x) for x in wanted]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            found = []
             for i, p, n0, n1 in _parts(batch, groups, held, features, scales, training):
-                at = _bin(p, ranges[i], len(wanted[i]))
-                keep = wanted[i][at]
-                if not keep.any():
+                at, want = _bin(p, ranges[i], bins), wanted[i]
+                if want is None:
+                    keep = np.arange(len(at))
+                elif len(want):
+                    keep = np.flatnonzero(want[np.minimum(np.searchsorted(want, at), len(want) - 1)] == at)
+                else:
                     continue
-                values, first, where = np.unique(p[keep], return_index=True, return_inverse=True)
-                yield pd.DataFrame({
-                    "model": np.full(len(values), i, "int32"), "bin": at[keep][first].astype("int32"), "p": values,
-                    "n0": np.bincount(where, n0[keep]).astype("int64"), "n1": np.bincount(where, n1[keep]).astype("int64")})
+                found.append((np.full(len(keep), i, "int32"), at[keep].astype("int32"), p[keep], n0[keep].astype("int64"), n1[keep].astype("int64")))
+            if found:
+                yield pd.DataFrame(dict(zip(("model", "bin", "p", "n0", "n1"), map(np.concatenate, zip(*found)))))
 
     found = rows.mapInPandas(score, "model int, bin int, p double, n0 bigint, n1 bigint")
     merged = found.groupBy("model", "bin", "p").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -146,15 +175,15 @@ def scores_within(rows: DataFrame, models: Sequence[Model], features: Sequence[s
 
 
 def exact_areas(rows: DataFrame, models: Sequence[Model], features: Sequence[str], scales,
-                counts: Sequence[Counts]) -> list[float]:
+                counted: Sequence[Bounds]) -> list[float]:
     """ROC AUC of each model on its inner validation cells; only scores in bins with both classes travel."""
-    wins = [c.wins() for c in counts]
-    if any(c.mixed.any() for c in counts):
-        scored = scores_within(rows, models, features, scales, [c.mixed for c in counts])
+    wins = [c.wins for c in counted]
+    if any(c.within for c in counted):
+        scored = scores_within(rows, models, features, scales, counted[0].bins, [c.mixed for c in counted])
         inside = scored.groupBy("model").agg(F.sum(F.col("n1") * (F.col("n0_before") + F.col("n0") / 2.0)).alias("wins"))
         for r in inside.collect():  # one row per model
             wins[r["model"]] += r["wins"]
-    return [w / c.pairs if c.pairs else float("nan") for w, c in zip(wins, counts)]
+    return [w / c.pairs if c.pairs else float("nan") for w, c in zip(wins, counted)]
 
 
 def best_penalties(rows: DataFrame, models: Sequence[Model], candidates: Sequence[float], features: Sequence[str], scales) -> dict[int, float]:
@@ -185,21 +214,36 @@ def best_penalties(rows: DataFrame, models: Sequence[Model], candidates: Sequenc
         alone = {o for o in outers if sum(k[0] == o for k in left) == 1}
         return [m for k, g in left.items() if k[0] not in alone for m in g]
 
-    counted: list[Counts] = []
-    asked: list[Model] = []
-    for bins in (COARSE, FINE):
-        asked = open_models(left)
-        if not asked:
-            break
-        counted = histograms(rows, asked, features, scales, bins)
-        area = {id(m): c.area() for m, c in zip(asked, counted)}
-        kept = narrowed({k: g for k, g in left.items() if id(g[0]) in area}, area)
-        left = {k: g for k, g in left.items() if id(g[0]) not in area} | kept
-    still = {id(m) for m in open_models(left)}
-    if still:
-        pairs = [(m, c) for m, c in zip(asked, counted) if id(m) in still]
-        exact = exact_areas(rows, [m for m, _ in pairs], features, scales, [c for _, c in pairs])
-        area = {id(m): a for (m, _), a in zip(pairs, exact)}
+    def looked_at(asked, bins):
+        counted = bounds(rows, asked, features, scales, bins)
+        return counted, {id(m): c.area() for m, c in zip(asked, counted)}
+
+    area: dict[int, float] = {}
+    asked = open_models(left)
+    if asked:
+        left = narrowed(left, looked_at([m for g in left.values() for m in g], COARSE)[1])
+    parts: list[list[int]] = []
+    held = 0
+    for o in outers:
+        n = sum(m.outer == o for m in open_models(left)) * FINE
+        if not parts or held + n > HELD:
+            parts.append([])
+            held = 0
+        parts[-1].append(o)
+        held += n
+    for folds in parts:
+        now = [m for m in open_models(left) if m.outer in folds]
+        if not now:
+            continue
+        counted, found = looked_at(now, FINE)
+        asked_folds = {m.outer for m in now}
+        kept = narrowed({k: g for k, g in left.items() if k[0] in asked_folds}, found)
+        left = {k: g for k, g in left.items() if k[0] not in asked_folds} | kept
+        still = {id(m) for m in open_models(kept)}
+        pairs = [(m, c) for m, c in zip(now, counted) if id(m) in still]
+        if pairs:
+            exact = exact_areas(rows, [m for m, _ in pairs], features, scales, [c for _, c in pairs])
+            area |= {id(m): a for (m, _), a in zip(pairs, exact)}
     for o in outers:
         mine = [c for c in candidates if (o, c) in left]
         if len(mine) > 1:
@@ -211,24 +255,27 @@ def best_penalties(rows: DataFrame, models: Sequence[Model], candidates: Sequenc
 
 
 def best_f1_thresholds(rows: DataFrame, models: Sequence[Model], features: Sequence[str], scales,
-                       bins: int = FINE) -> dict[int, float]:
+                       bins: int = EDGES) -> dict[int, float]:
     """Score with the highest F1 on each outer model's training cells, the lowest of equals.
 
     A bin whose bound on F1 lies below what some bin's lowest score reaches is not looked into.
     """
-    counted = histograms(rows, models, features, scales, bins, training=True)
+    dense = np.zeros((len(models), 2, bins))
+    for r in histograms(rows, models, features, scales, bins, training=True).collect():
+        at, n0, n1 = _merge([r["counts"]])
+        dense[r["model"], :, at] = np.stack([n0, n1], axis=1)
     wanted, above = [], []
-    for c in counted:
-        tp, fp = (np.cumsum(n[::-1])[::-1].astype(float) for n in (c.n1, c.n0))
-        positives = float(c.n1.sum())
+    for n0, n1 in dense:
+        tp, fp = (np.cumsum(n[::-1])[::-1] for n in (n1, n0))
+        positives = float(n1.sum())
         # A bin's lowest score is a threshold with all its cells above; within it, at most all its positives are.
         reached = _f1(tp, fp, positives)
-        bound = _f1(tp, fp - c.n0, positives)
-        filled = (c.n0 > 0) | (c.n1 > 0)
-        wanted.append(filled & (bound >= reached[filled].max(initial=0.0)))
+        bound = _f1(tp, fp - n0, positives)
+        filled = (n0 > 0) | (n1 > 0)
+        wanted.append(np.flatnonzero(filled & (bound >= reached[filled].max(initial=0.0))))
         above.append((tp, fp, positives))
-    scored = scores_within(rows, models, features, scales, wanted, training=True)
-    offsets = pd.DataFrame([(i, int(b), above[i][0][b], above[i][1][b], above[i][2]) for i, w in enumerate(wanted) for b in np.flatnonzero(w)],
+    scored = scores_within(rows, models, features, scales, bins, wanted, training=True)
+    offsets = pd.DataFrame([(i, int(b), above[i][0][b], above[i][1][b], above[i][2]) for i, w in enumerate(wanted) for b in w],
                            columns=["model", "bin", "tp_bin", "fp_bin", "positives"])
     offsets = rows.sparkSession.createDataFrame(offsets, "model int, bin int, tp_bin double, fp_bin double, positives double")
     joined = scored.join(F.broadcast(offsets), ["model", "bin"])  # at most the bins of all models

@@ -230,6 +230,17 @@ def pixel_totals_by_date(cells: DataFrame, depth: str | None = None) -> DataFram
         (100.0 * F.count_if(F.col("cls") == 1) / F.count(F.lit(1))).alias("pct_discolored"))
 
 
+def pixel_totals_rollup(cells: DataFrame) -> DataFrame:
+    """:func:`pixel_totals_by_date` for every depth and date, every depth, and all cells, in one pass.
+
+    ``level`` tells them apart: 0 for a depth and date, 1 for a depth (date is NULL), 3 for all (both are NULL).
+    """
+    ones = F.count_if(F.col("cls") == 1)
+    return cells.rollup("depth", "date").agg(
+        F.grouping_id().cast("int").alias("level"), F.count_if(F.col("cls") == 0).alias("not_discolored"),
+        ones.alias("discolored"), F.count(F.lit(1)).alias("total"), (100.0 * ones / F.count(F.lit(1))).alias("pct_discolored"))
+
+
 def density_histogram(scored: DataFrame, keys: Sequence[str], p: str = "p", cls: str = "cls",
                       n_bins: int = 50) -> DataFrame:
     """Density per class on ``n_bins`` equal bins of [0, 1]; empty bins absent."""

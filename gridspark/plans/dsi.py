@@ -15,10 +15,11 @@ from gridspark.models.folds import FoldPlan, block_sizes
 from gridspark.models.logistic import ALL_CELLS
 from gridspark.models.validation import NestedResult, fit_final, nested_spatial_cv, prepare_rows
 from gridspark.operators import calibration, scaling
-from gridspark.operators.grid import Grid, align_layers, block_id, valid_cells
+from gridspark.operators.grid import Grid, align_layers, block_id, resample_average, resample_bilinear, valid_cells
 from gridspark.operators.run_keys import union_columns
 from gridspark.session import cut_lineage
 
+# Metric names of the fold table, and the defaults of a run below.
 PERFORMANCE = ("val_roc_auc", "val_pr_auc", "val_pr_auc_skill_ratio", "val_brier", "val_brier_skill_score",
                "val_f1", "val_precision", "val_recall", "val_prevalence", "tuned_C", "intercept")
 
@@ -71,6 +72,21 @@ def model_cells(awc: DataFrame, disco: DataFrame, extras: Mapping[str, DataFrame
         "row", "col", "awc", *extras, binarize(F.col("disco"), config.disco_threshold).alias("y"), "block_id")
 
 
+def cells_from_grids(awc: DataFrame, grid: Grid, disco: tuple[DataFrame, Grid], extras: Mapping[str, tuple[DataFrame, Grid]],
+                     config: DsiConfig) -> DataFrame:
+    """:func:`model_cells` for layers on grids of their own, all brought to the grid of ``awc``.
+
+    Discoloration is averaged over what each cell covers and only then compared with its threshold; other layers are
+    interpolated between four points.  A layer on the same grid passes untouched.
+    """
+    seen, own = disco
+    seen = seen if own == grid else resample_average(seen, own, grid)
+    layers = {}
+    for name, (layer, own) in extras.items():
+        layers[name] = layer if own == grid else resample_bilinear(layer, own, awc.select("row", "col"), grid)
+    return model_cells(awc, seen, layers, grid, config)
+
+
 def run_dsi(awc: DataFrame, disco: DataFrame, extras: Mapping[str, DataFrame] | None, grid: Grid,
             config: DsiConfig = DsiConfig()) -> DsiResult:
     """Validate and fit one susceptibility model.  Runs jobs."""

@@ -55,3 +55,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             return df.persist(StorageLevel.MEMORY_AND_DISK)
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that the driver and all executors share: that of checkpoints, else the warehouse."""
+    return (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+            or spark.conf.get("spark.sql.warehouse.dir"))

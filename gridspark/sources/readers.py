@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridspark.functions.numeric import dbl
 from gridspark.functions.ka5 import CODE_OF
@@ -89,3 +90,8 @@ def load_lookup(spark: SparkSession, path: str) -> DataFrame:
     table = spark.read.csv(path, header=True, schema=LOOKUP_SCHEMA)
     codes = F.create_map(*[F.lit(x) for pair in CODE_OF.items() for x in pair])
     return table.withColumn("ka5", codes[F.col("texture")].cast("smallint")).dropna(subset=["ka5"])
+
+
+def read_summary_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A written summary with the types of ``schema``; columns in another order than its own are an error."""
+    return spark.read.csv(path, header=True, schema=schema, enforceSchema=False)

@@ -230,10 +230,11 @@ def exact_choice(rows, plan, features, scales, n_iter):
 def test_bounded_areas_choose_as_exact_ones(cells, monkeypatch, features, coarse, fine):
     monkeypatch.setattr(ranking, "COARSE", coarse)
     monkeypatch.setattr(ranking, "FINE", fine)
+    monkeypatch.setattr(ranking, "HELD", 20 * fine)
     plan, rows, scales = prepared(cells, features)
     want, models, area = exact_choice(rows, plan, features, scales, 6)
     assert validation.random_search_c(rows, plan, features, scales, n_iter=6) == want
-    counted = ranking.histograms(rows, models, features, scales, coarse)
+    counted = ranking.bounds(rows, models, features, scales, coarse)
     for m, c in zip(models, counted):
         low, high = c.area()
         assert low <= area[id(m)] <= high
@@ -245,10 +246,19 @@ def test_bounds_move_few_rows(cells):
     plan, rows, scales = prepared(cells, ["awc", "rain"])
     models = [Model(o, i, 1.0) for o in range(3) for i in range(2)]
     fit_logistic_many(rows, models, ["awc", "rain"], scales)
-    counted = ranking.histograms(rows, models, ["awc", "rain"], scales, 16)
-    assert sum(int(c.n0.sum() + c.n1.sum()) for c in counted) == 2 * 1200
-    inside = ranking.scores_within(rows, models, ["awc", "rain"], scales, [np.arange(16) == 3] * 6)
-    assert inside.agg(F.sum(F.col("n0") + F.col("n1"))).first()[0] == sum(int(c.n0[3] + c.n1[3]) for c in counted)
+    counted = {r["model"]: ranking._merge([r["counts"]]) for r in ranking.histograms(rows, models, ["awc", "rain"], scales, 16).collect()}
+    assert sum(int(n0.sum() + n1.sum()) for _, n0, n1 in counted.values()) == 2 * 1200
+    inside = ranking.scores_within(rows, models, ["awc", "rain"], scales, 16, [np.array([3])] * 6)
+    assert inside.agg(F.sum(F.col("n0") + F.col("n1"))).first()[0] == sum(int((n0 + n1)[at == 3].sum()) for at, n0, n1 in counted.values())
+
+
+def test_bins_that_are_too_many_to_list(cells, monkeypatch):
+    plan, rows, scales = prepared(cells, ["awc", "rain"])
+    models = [Model(o, 0, 1.0) for o in range(3)]
+    fit_logistic_many(rows, models, ["awc", "rain"], scales)
+    counted = ranking.bounds(rows, models, ["awc", "rain"], scales, 16)
+    every = [ranking.Bounds(c.pairs, c.wins, c.within, c.bins, None) for c in counted]
+    assert ranking.exact_areas(rows, models, ["awc", "rain"], scales, every) == ranking.exact_areas(rows, models, ["awc", "rain"], scales, counted)
 
 
 @pytest.mark.parametrize("bins", [1, 7, 4096])
