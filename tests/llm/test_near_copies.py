@@ -13,8 +13,8 @@ def grams(text):
     return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
 
 
-def brute(rows):
-    """Component id of every row from the similarities of all pairs."""
+def roots(rows):
+    """A number for every row, alike in a group, from the similarities of all pairs."""
     sets, root = [grams(t) for _, t in rows], list(range(len(rows)))
 
     def find(x):
@@ -26,11 +26,16 @@ def brute(rows):
         for j, b in enumerate(sets[:i]):
             if 5 * len(a & b) >= 4 * len(a | b):
                 root[find(i)] = find(j)
-    least = {}
-    for i, (key, _) in enumerate(rows):
+    return [find(i) for i in range(len(rows))]
+
+
+def brute(rows):
+    """Component id of every row."""
+    root, least = roots(rows), {}
+    for i, (key, _) in zip(root, rows, strict=True):
         if key is not None:
-            least[find(i)] = min(least.get(find(i), key), key)
-    return sorted(((key, least.get(find(i))) for i, (key, _) in enumerate(rows)), key=str)
+            least[i] = min(least.get(i, key), key)
+    return sorted(((key, least.get(i)) for i, (key, _) in zip(root, rows, strict=True)), key=str)
 
 
 def copies(spark):
@@ -52,6 +57,7 @@ def copies(spark):
 def test_near_copies(spark, monkeypatch, paired, common):
     monkeypatch.setattr(near_copies, "PAIRED", paired)
     monkeypatch.setattr(near_copies, "COMMON", common)
+    monkeypatch.setattr(near_copies, "BUCKET", 1000)
     rows = copies(spark)
     got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
