@@ -27,6 +27,7 @@ GRAM = 24
 CHUNK_BYTES = 8 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 _SPAN = 1 << 16
+_GRAMS = 1 << 14  # hashed at once, so that they stay in the cache
 SHORT = 6  # bytes of a hash that travel
 
 
@@ -60,37 +61,47 @@ def sliding(x: np.ndarray, w: int, pick) -> np.ndarray:
     return pick(x[:len(x) - (w - size)], x[w - size:]) if size < w else x
 
 
-def anchors(data: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the k-grams that are least in some window; every one of equal least grams counts."""
-    w, places, hashes = window - k + 1, [], []
-    for start in range(0, max(0, len(data) - window + 1), _SPAN):
-        # Windows that start in this span, and the grams that take part in them or in neighbouring ones.
+def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the k-grams that are least in some window; every one of equal least grams counts.
+
+    Texts lie one after another; windows that cross their borders have no say.
+    """
+    w, places, hashes = window - k + 1, [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    edges = np.zeros(len(data) + 1, np.int8)
+    long = ends - starts >= window
+    np.add.at(edges, starts[long], 1)
+    np.add.at(edges, ends[long] - window + 1, -1)
+    whole = np.cumsum(edges, dtype=np.int8, out=edges)
+    # Each span of grams is looked at together with the windows that reach into it.
+    for start in range(0, len(data) - k + 1 if len(data) >= window else 0, _GRAMS):
         low = max(0, start - w + 1)
-        h = gram_hashes(data[low:start + _SPAN + window - 1 + w - 1], k)
+        h = gram_hashes(data[low:start + _GRAMS + w - 1 + k - 1], k)
         least = sliding(h, w, np.minimum)
+        least = np.where(whole[low:low + len(least)] > 0, least, np.uint64(0))
         padded = np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)])
         chosen = np.nonzero(sliding(padded, w, np.maximum)[:len(h)] == h)[0]
-        chosen = chosen[(chosen + low >= start) & (chosen + low < start + _SPAN)]
+        chosen = chosen[(chosen + low >= start) & (chosen + low < start + _GRAMS)]
         places.append(chosen + low)
         hashes.append(h[chosen])
-    tail = len(data) - window + 1
-    if tail > 0 and (over := tail - 1) // _SPAN == (tail - 1) // _SPAN:
-        # Grams after the last window start that lies in the last span.
-        end = (over // _SPAN + 1) * _SPAN
-        if end < len(data) - k + 1:
-            low = max(0, end - 2 * w)
-            h = gram_hashes(data[low:], k)
-            if len(h) >= w:
-                padded = np.concatenate([np.zeros(w - 1, np.uint64), sliding(h, w, np.minimum), np.zeros(w - 1, np.uint64)])
-                chosen = np.nonzero(sliding(padded, w, np.maximum)[:len(h)] == h)[0]
-                chosen = chosen[chosen + low >= end]
-                places.append(chosen + low)
-                hashes.append(h[chosen])
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(places), np.concatenate(hashes)
 
 
+def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of one row of each kind, and the kind of every row: by 64-bit hashes, verified, else by whole rows."""
+    n, m = rows.shape
+    words = np.zeros((n, -(-m // 8) * 8), np.uint8)
+    words[:, :m] = rows
+    words = words.view(np.uint64)
+    h = np.zeros(n, np.uint64)
+    for j in range(words.shape[1]):
+        h = (h ^ words[:, j]) * _M
+        h ^= h >> np.uint64(32)
+    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    if any((words[first[which[i:i + _SPAN]]] != words[i:i + _SPAN]).any() for i in range(0, n, _SPAN)):
+        _, first, which = np.unique(np.ascontiguousarray(rows).view(f"V{m}").ravel(), return_index=True, return_inverse=True)
+    return first, which
+
+
 def in_order(table: pa.Table) -> tuple[list[int], np.ndarray, list[bytes]]:
     """Order of the rows by (id, body), with both columns in this order."""
     ids, bodies = table.column("id").to_pylist(), table.column("body").to_pylist()
@@ -103,15 +114,15 @@ class Chunk:
 
     def __init__(self, table: pa.Table, window: int, k: int):
         self.order, self.ids, self.bodies = in_order(table)
-        self.ends = np.cumsum([len(b) for b in self.bodies])
-        self.starts = self.ends - [len(b) for b in self.bodies]
+        sizes = np.array([len(b) for b in self.bodies], np.int64)
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
         self.data = np.frombuffer(b"".join(self.bodies), np.uint8)
         self.window, self.k = window, k
-        found = [anchors(self.data[s:e], window, k) for s, e in zip(self.starts, self.ends, strict=True)]
-        self.at = np.concatenate([p + s for (p, _), s in zip(found, self.starts, strict=True)] or [np.zeros(0, np.int64)]).astype(np.int64)
+        self.at, hashes = anchors(self.data, self.starts, self.ends, window, k)
         # One bit less than travels: the lowest one is a mark.
-        self.hash = np.concatenate([h for _, h in found] or [np.zeros(0, np.uint64)]).astype(np.uint64) >> np.uint64(65 - 8 * SHORT)
-        self.row = np.repeat(np.arange(len(found)), [len(p) for p, _ in found])
+        self.hash = hashes >> np.uint64(65 - 8 * SHORT)
+        self.row = np.searchsorted(self.ends, self.at, "right")
 
     def keep(self, hashes: np.ndarray) -> None:
         """Forget anchors whose hash is not among ``hashes``."""
@@ -139,8 +150,7 @@ class Chunk:
             rows[part, 2:] = np.where(inside, self.data[np.clip(at, 0, max(0, len(self.data) - 1))], 0)
         if not len(rows):
             return rows, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        keyed = rows.view(f"V{rows.shape[1]}").ravel()
-        _, first, which = np.unique(keyed, return_index=True, return_inverse=True)
+        first, which = distinct(rows)
         least = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(least, which, self.ids[self.row])
         return rows[first], which, least
@@ -177,26 +187,28 @@ def unpacked(blob: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(blob), kind)
 
 
-def repeated(blobs: list[bytes]) -> np.ndarray:
-    """Hashes that stand in several chunks, or that one chunk marked (lowest bit) as held more than once."""
+def repeated(blobs: list[bytes]) -> list[np.ndarray]:
+    """For each blob those of its hashes that stand in others too, or that it marks (lowest bit) as held more than once."""
     each = longs(b"".join(blobs))
-    bare = each >> np.uint64(1)
-    order = np.sort(bare)
-    return np.unique(np.concatenate([order[1:][order[1:] == order[:-1]], bare[(each & np.uint64(1)) == 1]]))
+    bare, again = each >> np.uint64(1), (each & np.uint64(1)) == 1
+    order = np.argsort(bare)
+    pairs = np.flatnonzero(bare[order[1:]] == bare[order[:-1]])
+    again[order[pairs]] = again[order[pairs + 1]] = True
+    ends = np.cumsum([len(b) // SHORT for b in blobs])
+    return [b[a] for b, a in zip(np.split(bare, ends[:-1]), np.split(again, ends[:-1]), strict=True)]
 
 
 def smallest_by_window(rows: np.ndarray, ids: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For distinct surroundings with their smallest ids: these ids, and a mask of windows (by bytes before the
     anchor) that also occur in surroundings with a smaller one."""
     reach = window - k
-    distinct, which = np.unique(rows.view(f"V{rows.shape[1]}").ravel(), return_inverse=True)
-    least = np.full(len(distinct), np.iinfo(np.int64).max)
+    first, which = distinct(rows)
+    least = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(least, which, ids)
-    flat = distinct.view(np.uint8).reshape(len(distinct), rows.shape[1])
+    flat = rows[first]
     mask = np.zeros(len(flat), np.int64)
-    grams = flat[:, 2 + reach:2 + reach + k]
-    _, group, sizes = np.unique(np.ascontiguousarray(grams).view(f"V{k}").ravel(), return_inverse=True, return_counts=True)
-    some = np.nonzero(sizes[group] > 1)[0]
+    _, group = distinct(flat[:, 2 + reach:2 + reach + k])
+    some = np.nonzero(np.bincount(group)[group] > 1)[0]
     if len(some):
         sub, low = flat[some], least[some]
         right_order, right_common = sort_suffixes(np.ascontiguousarray(sub[:, 2 + reach:]), group[some])
@@ -225,11 +237,17 @@ def removal(chunk: Chunk, which: np.ndarray, least: np.ndarray, mask: np.ndarray
     right = np.minimum(chunk.ends[chunk.row] - chunk.at, window)
     edges = np.zeros(len(chunk.data) + 1, np.int32)
     later = chunk.ids[chunk.row] > least[which]
-    for a in range(reach + 1):
-        go = (left >= a) & (right >= window - a) & (later | ((mask[which] >> np.int64(a)) & 1 == 1))
-        at = chunk.at[go] - a
-        np.add.at(edges, at, 1)
-        np.add.at(edges, at + window, -1)
+    # The windows of an anchor overlap, so one whose windows all go removes a single run.
+    most, fewest = np.minimum(left, reach), np.maximum(0, window - right)
+    go = np.nonzero(later & (most >= fewest))[0]
+    np.add.at(edges, chunk.at[go] - most[go], 1)
+    np.add.at(edges, chunk.at[go] - fewest[go] + window, -1)
+    some = np.nonzero(~later & (mask[which] != 0))[0]
+    at, left, right, bits = chunk.at[some], left[some], right[some], mask[which[some]]
+    for a in range(reach + 1 if len(some) else 0):
+        go = (left >= a) & (right >= window - a) & ((bits >> np.int64(a)) & 1 == 1)
+        np.add.at(edges, at[go] - a, 1)
+        np.add.at(edges, at[go] - a + window, -1)
     return np.cumsum(edges[:-1], out=edges[:-1]) > 0
 
 
@@ -263,13 +281,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         return pa.table(list(zip(*cells, strict=True)) or [[], [], []], schema=sent)
 
     def reply(table: pa.Table) -> pa.Table:
-        again = repeated(table.column("blob").to_pylist())
-        out = []
-        for chunk, blob in zip(table.column("chunk").to_pylist(), table.column("blob").to_pylist(), strict=True):
-            own = longs(blob) >> np.uint64(1)
-            own = own[np.isin(own, again)]
-            if len(own):
-                out.append((chunk, short(own)))
+        own = repeated(table.column("blob").to_pylist())
+        out = [(chunk, short(x)) for chunk, x in zip(table.column("chunk").to_pylist(), own, strict=True) if len(x)]
         return pa.table(list(zip(*out, strict=True)) or [[], []], schema=pa.schema([("chunk", pa.int64()), ("blob", pa.binary())]))
 
     def narrowed(texts: pa.Table, wanted: pa.Table) -> Chunk:
