@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as cp
-from gridspark.llm import near_copies
+from gridspark.llm import near_copies, suffix_dedup
 
 from .test_operators import DOCS, ODD, SF
 
@@ -68,3 +69,31 @@ def test_stage_drops_similar_texts(spark):
     text = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
     docs = spark.createDataFrame([(i, text[i], "en", None, 0) for i in (6, 145, 1, 177)], DOCS)
     assert sorted(r.doc_id for r in cp.near_dedup(spark, docs, SF).collect()) == [1, 6]
+
+
+def test_sketches_never_count_less():
+    """What two sketches share is at least what the sets share, in small and in crowded sets, and all of equal ones."""
+    r = np.random.default_rng(5)
+    for n in (1, 7, 300, 90_000):
+        whole = np.unique(r.integers(-2**63, 2**63, 2 * n))
+        x, y = (np.sort(r.choice(whole, n, replace=False)) for _ in "xy")
+        p, q = (near_copies.unsketched(near_copies.sketch(s)) for s in (x, y))
+        counts = [np.bincount(s, minlength=1 << 16) for s in (p, q)]
+        assert near_copies.most_common(p, q) == np.minimum(*counts).sum() >= len(np.intersect1d(x, y))
+        assert near_copies.most_common(p, p) == n
+
+
+@pytest.mark.parametrize("factor", [suffix_dedup._M, np.uint64(0)])
+def test_distinct_rows(monkeypatch, factor):
+    """Kinds of rows are those of the bytes, also if all hashes collide."""
+    monkeypatch.setattr(suffix_dedup, "_M", factor)
+    rows = np.random.default_rng(6).integers(0, 2, (500, 9)).astype(np.uint8)
+    first, which = suffix_dedup.distinct(rows)
+    assert (rows[first[which]] == rows).all()
+    assert len(first) == len({x.tobytes() for x in rows})
+
+
+def test_repeated_hashes():
+    """A chunk hears of the hashes that others hold too, and of those that it marked itself."""
+    blobs = [suffix_dedup.short(np.array(x, np.uint64)) for x in ([2, 4, 7], [4, 8], [10])]
+    assert [x.tolist() for x in suffix_dedup.repeated(blobs)] == [[2, 3], [2], []]
