@@ -1,7 +1,8 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Document frequencies are counted over all training texts.  The weights are fitted on a bounded sample of labelled
-rows with follow-the-regularised-leader (elastic net) and calibrated by one temperature on rows held back from it.
+rows, each by the counts of its whole text, with follow-the-regularised-leader and elastic-net penalties.  Rows held
+back from the fit choose the l1 penalty and one temperature for the probabilities.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ class Settings:
     bits: int = 14  # n-grams are hashed to 2 ** bits features
     orders: tuple[int, ...] = (1, 2, 3)
     rows_per_language: int = 1000  # bound of the fitting sample: distinct labelled texts per language, smallest hashes first
-    chars_per_row: int = 2000  # rows longer than this enter the fit by windows of this size, one window a row
-    held_back: int = 6  # one row in so many calibrates the temperature
+    rows: int = 20_000  # bound of the whole sample, shared equally by the languages where they are many
+    held_back: int = 6  # one row in so many chooses l1 and the temperature
     epochs: int = 3
     alpha: float = 0.5
     beta: float = 1.0
-    l1: float = 1e-4
+    l1: tuple[float, ...] = (0.0, 0.03, 0.1, 0.3, 1.0)  # candidates
     l2: float = 1e-4
 
 
@@ -37,8 +38,13 @@ class Model:
     idf: np.ndarray
     weights: np.ndarray  # features x languages, with a last row for the bias
     temperature: float
+    l1: float
     settings: Settings
 
+    def zero_share(self) -> float:
+        """Share of zeros among the weights of features, the bias left out."""
+        return float((self.weights[:-1] == 0).mean())
+
 
 def features(text: str, settings: Settings) -> np.ndarray:
     """Hashed n-grams of a text (of code points of its lower case, digits as one), repeats included."""
@@ -98,16 +104,17 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit_ftrl(rows: list[tuple], labels: np.ndarray, n_languages: int, s: Settings) -> np.ndarray:
-    """Follow-the-regularised-leader with a learning rate per coordinate; l1 leaves most weights at zero."""
+def fit_ftrl(rows: list[tuple], labels: np.ndarray, n_languages: int, s: Settings, l1: float) -> np.ndarray:
+    """Follow-the-regularised-leader with a learning rate per coordinate; ``l1`` leaves weights at zero, the bias aside."""
     z = np.zeros(((1 << s.bits) + 1, n_languages))
     n = np.zeros_like(z)
+    bias = 1 << s.bits
 
     def weights(at):
-        za, na = z[at], n[at]
-        return np.where(np.abs(za) <= s.l1, 0.0, -(za - np.sign(za) * s.l1) / ((s.beta + np.sqrt(na)) / s.alpha + s.l2))
+        za, root = z[at], np.sqrt(n[at])
+        free = np.where(at == bias, 0.0, l1)[:, None]
+        return np.sign(za) * np.minimum(free - np.abs(za), 0.0) / ((s.beta + root) / s.alpha + s.l2)
 
-    bias = 1 << s.bits
     order = np.random.default_rng(7)
     for _ in range(s.epochs):
         for i in order.permutation(len(rows)):
@@ -122,11 +129,29 @@ def fit_ftrl(rows: list[tuple], labels: np.ndarray, n_languages: int, s: Setting
     return weights(np.arange(bias + 1))
 
 
+def log_losses(logits: np.ndarray, labels: np.ndarray, temperature: float) -> np.ndarray:
+    return -np.log(np.maximum(softmax(logits / temperature)[np.arange(len(labels)), labels], 1e-12))
+
+
+def fit_penalty(rows: list[tuple], labels: np.ndarray, held: list[tuple], held_labels: np.ndarray, n_languages: int,
+                s: Settings) -> tuple[float, np.ndarray, float]:
+    """(l1, weights, temperature): the largest candidate whose calibrated log loss on the held-back rows lies within one
+    standard error of the least."""
+    found = []
+    for l1 in sorted(s.l1):
+        w = fit_ftrl(rows, labels, n_languages, s, l1).astype(np.float32)
+        logits = np.array([x @ w[at] + w[-1] for at, x in held])
+        t = fit_temperature(logits, held_labels)
+        found.append((l1, w, t, log_losses(logits, held_labels, t)))
+    least = min((f[3] for f in found), key=np.mean)
+    limit = least.mean() + least.std() / np.sqrt(len(least))
+    return next(f[:3] for f in reversed(found) if f[3].mean() <= limit)
+
+
 def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     """Temperature with the smallest log loss, by golden-section search on its logarithm."""
     def loss(t: float) -> float:
-        p = softmax(logits / np.exp(t))
-        return -np.log(np.maximum(p[np.arange(len(labels)), labels], 1e-12)).mean()
+        return log_losses(logits, labels, np.exp(t)).mean()
 
     low, high, g = -4.0, 3.0, (5 ** 0.5 - 1) / 2
     for _ in range(40):
@@ -135,43 +160,78 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def sparse(counts: np.ndarray) -> bytes:
+    """Positions and values of the counts above zero."""
+    at = np.nonzero(counts)[0]
+    return at.astype("<u4").tobytes() + counts[at].astype("<u4").tobytes()
+
+
+def dense(packed: bytes, settings: Settings) -> np.ndarray:
+    at, n = np.frombuffer(packed, "<u4").reshape(2, -1)
+    out = np.zeros(1 << settings.bits)
+    out[at] = n
+    return out
+
+
 def fitting_sample(rows: DataFrame, settings: Settings) -> list:
-    """(lang, k, text): per language the distinct texts with the smallest hashes, each as one window placed by hash.
+    """(lang, k, counts): per language the distinct texts with the smallest hashes, each as sparse counts of the whole text.
 
     A language's distinct texts are estimated first, so that only texts whose hash lies below the share wanted, and a
-    quarter more, leave their task, once each: what is shuffled and fetched depends on the bound, not on the input.
+    quarter more, are counted, once a task: what is shuffled and fetched depends on the bounds (at most 2 ** bits numbers
+    a row), not on the input or on the length of texts.
     """
     rows = rows.where(F.length(F.trim("text")) > 0).withColumn("h", F.xxhash64("text", "lang"))
     share = F.col("h").cast("double") / 2.0 ** 64 + 0.5
     estimates = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.01).alias("n")).collect()
     if not estimates:
         return []
-    shares = F.create_map(*[F.lit(x) for r in estimates for x in (r["lang"], 1.25 * settings.rows_per_language / r["n"])])
-    start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - settings.chars_per_row + 1, F.lit(1))) + 1
-    window = F.substring(F.col("text"), start.cast("int"), F.lit(settings.chars_per_row))
-    found = rows.where(share <= shares[F.col("lang")]).groupBy("lang", "h").agg(F.min(window).alias("text")).collect()
+    wanted = max(1, min(settings.rows_per_language, settings.rows // len(estimates)))
+    shares = F.create_map(*[F.lit(x) for r in estimates for x in (r["lang"], 1.25 * wanted / r["n"])])
+
+    def run(batches):
+        import pyarrow as pa
+
+        seen: set[tuple] = set()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                out = []
+                for lang, h, t in zip(*(part.column(c).to_pylist() for c in ("lang", "h", "text")), strict=True):
+                    if (lang, h) not in seen:
+                        seen.add((lang, h))
+                        out.append((lang, h, sparse(counts_of(t, settings))))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*out, strict=True)], ["lang", "h", "counts"])
+
+    counted = (rows.where(share <= shares[F.col("lang")]).select("lang", "h", "text")
+               .mapInArrow(run, "lang string, h long, counts binary"))
+    found = counted.groupBy("lang", "h").agg(F.min("counts").alias("counts")).collect()
     by_language: dict[str, list] = {}
     for r in sorted(found, key=lambda r: (r["lang"], r["h"])):
-        by_language.setdefault(r["lang"], []).append(r["text"])
-    return [(lang, k, t) for lang, texts in by_language.items() for k, t in enumerate(texts[:settings.rows_per_language], 1)]
+        by_language.setdefault(r["lang"], []).append(bytes(r["counts"]))
+    return [(lang, k, c) for lang, packed in by_language.items() for k, c in enumerate(packed[:wanted], 1)]
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", settings: Settings = Settings()) -> Model | None:
-    """Model from rows with a text and a language; None if there are none."""
+    """Model from rows with a text and a language; None if there are none.
+
+    Rows with a null text or language and blank texts teach nothing; equal texts of one language are fitted once but count
+    as often as they stand in the document frequencies.  Texts are read whole, however long.
+    """
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    df, n = document_frequencies(rows, "text", settings)
     sample = fitting_sample(rows, settings)
     if not sample:
         return None
+    df, n = document_frequencies(rows, "text", settings)
     languages = sorted({lang for lang, _, _ in sample})
     idf = np.log((1 + n) / (1 + df)) + 1
-    vectors = [vector(counts_of(t, settings), idf) for _, _, t in sample]
+    vectors = [vector(dense(c, settings), idf) for _, _, c in sample]
     labels = np.array([languages.index(lang) for lang, _, _ in sample])
     back = np.array([k % settings.held_back == 0 for _, k, _ in sample])
-    w = fit_ftrl([v for v, b in zip(vectors, back, strict=True) if not b], labels[~back], len(languages), settings)
-    held = [i for i in np.nonzero(back)[0]] or list(range(len(sample)))
-    logits = np.array([vectors[i][1] @ w[vectors[i][0]] + w[-1] for i in held])
-    return Model(languages, idf, w.astype(np.float32), fit_temperature(logits, labels[held]), settings)
+    # Too few rows to hold any back: the rows of the fit stand for them.
+    held = back if back.any() else ~back
+    l1, w, temperature = fit_penalty([vectors[i] for i in np.nonzero(~back)[0]], labels[~back],
+                                     [vectors[i] for i in np.nonzero(held)[0]], labels[held], len(languages), settings)
+    return Model(languages, idf, w, temperature, l1, settings)
 
 
 def predictor(model: Model | None):
