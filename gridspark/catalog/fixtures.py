@@ -60,6 +60,21 @@ FROM {lineitem}""",
 SELECT n_nationkey AS member, (n_nationkey % 5 - 2) * 0.001E0 AS w_sand, (n_nationkey % 7 - 3) * 0.0007E0 AS w_clay,
        (n_nationkey % 3 - 1) * 0.02E0 AS w_trd, 0.4E0 + n_nationkey * 0.002E0 AS bias
 FROM {nation}""",
+    "points": """
+SELECT CAST(floor(l_orderkey / 100.0) AS INT) AS row, CAST(l_orderkey % 100 AS INT) AS col, l_linenumber AS layer,
+       max(CASE WHEN l_suppkey % 23 = 0 THEN NULL ELSE 0.1E0 + 0.03E0 * sqrt(l_quantity + 0.37E0) END) AS fc,
+       max(0.02E0 + 0.012E0 * sqrt(l_partkey % 71 + 0.41E0)) AS wp
+FROM {lineitem} WHERE l_linenumber <= 6
+GROUP BY l_orderkey, l_linenumber""",
+    "heads": """
+SELECT n_nationkey AS member, 'ths' AS output, 0.65E0 + n_nationkey * 0.002E0 AS bias, (n_nationkey % 5 - 2) * 0.001E0 - 0.0008E0 AS w_sand,
+       0E0 AS w_silt, (n_nationkey % 7 - 3) * 0.0007E0 + 0.001E0 AS w_clay, (n_nationkey % 3 - 1) * 0.02E0 - 0.15E0 AS w_trd FROM {nation}
+UNION ALL
+SELECT n_nationkey, 'thr', 0.03E0 + n_nationkey * 0.0005E0, 0E0, 0.0001E0, (n_nationkey % 7) * 0.0003E0, 0E0 FROM {nation}
+UNION ALL
+SELECT n_nationkey, 'alpha', -1.6E0 - n_nationkey * 0.002E0, 0.004E0, (n_nationkey % 5 - 2) * 0.001E0, -0.006E0, 0.01E0 FROM {nation}
+UNION ALL
+SELECT n_nationkey, 'n', 0.08E0 + n_nationkey * 0.002E0, 0.001E0, (n_nationkey % 3 - 1) * 0.0002E0, -0.0012E0, 0E0 FROM {nation}""",
 }
 
 
@@ -85,6 +100,12 @@ class Tables:
     polygon_edges = cached_property(lambda self: self.derived("polygon_edges"))
     scored = cached_property(lambda self: self.derived("scored"))
     members = cached_property(lambda self: self.derived("members"))
+    points = cached_property(lambda self: self.derived("points"))
+
+    @cached_property
+    def heads(self) -> DataFrame:
+        """Ensemble members of retention parameters, one row per member and output."""
+        return self.derived("heads").selectExpr("member", "output", "array(w_sand, w_silt, w_clay, w_trd) AS weights", "bias")
 
     @cached_property
     def profile(self) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from gridspark.catalog import soil_sql as q
-from gridspark.catalog.fixtures import CELL_UNITS, Tables, sql
+from gridspark.catalog.fixtures import CELL_UNITS, Tables, plain, sql
 from gridspark.catalog.registry import log6, query, rounded
 from gridspark.functions.names import parse_depth_range, parse_run_key
 from gridspark.models import forest
@@ -331,9 +331,11 @@ def _(t: Tables):
 def _maps_cte(names: dict[str, str]) -> str:
     parts = []
     for name, relation in names.items():
+        # Points predicted elsewhere take missing gravel as none.
+        mm = _MM.replace("gravel", "coalesce(gravel, 0)") if name == "szabo" else _MM
         parts.append(f"SELECT '{name}' AS ptf, '1m' AS depth, row, col, "
-                     f"sum(CASE WHEN upper_cm < 100 THEN {_MM} END) AS awc_mm FROM {relation} GROUP BY row, col")
-        parts.append(f"SELECT '{name}' AS ptf, '2m' AS depth, row, col, sum({_MM}) AS awc_mm FROM {relation} GROUP BY row, col")
+                     f"sum(CASE WHEN upper_cm < 100 THEN {mm} END) AS awc_mm FROM {relation} GROUP BY row, col")
+        parts.append(f"SELECT '{name}' AS ptf, '2m' AS depth, row, col, sum({mm}) AS awc_mm FROM {relation} GROUP BY row, col")
     return "\nUNION ALL\n".join(parts)
 
 
@@ -341,22 +343,36 @@ def _mvg(text: str) -> str:
     return f"SELECT *, {q.theta(330)} - {q.theta(16000)} AS awc_vol FROM ({text})"
 
 
+# Every member scores every layer; means are taken in the members' own space.
+_MEAN = "avg(bias + w_sand*sd + w_silt*si + w_clay*cl + w_trd*trd) FILTER (output = '{}')"
+_ZHANG = f"""
+SELECT p.*, thr, ths, alpha, n FROM profile p JOIN (
+  SELECT row, col, layer, {_MEAN.format('thr')} AS thr, {_MEAN.format('ths')} AS ths,
+         pow(10, {_MEAN.format('alpha')}) AS alpha, pow(10, {_MEAN.format('n')}) AS n
+  FROM (SELECT row, col, layer, trd, 100*sand/total AS sd, 100*silt/total AS si, 100*clay/total AS cl
+        FROM (SELECT *, greatest(sand + silt + clay, 1E0) AS total
+              FROM (SELECT *, least(greatest(100E0 - sand - clay, 0E0), 100E0) AS silt FROM profile)))
+  CROSS JOIN ({plain('heads')}) GROUP BY row, col, layer) USING (row, col, layer)"""
+_SZABO = f"""
+SELECT p.*, CASE WHEN sand + clay + trd + fc - wp IS NOT NULL THEN least(greatest(fc - wp, 0E0), .8E0) END AS awc_vol
+FROM profile p LEFT JOIN ({plain('points')}) USING (row, col, layer)"""
+
 MAP_SQL = {
     "schoch": _mvg(q.SCHOCH), "wosten": _mvg(q.WOSTEN), "weynants": _mvg(q.WEYNANTS), "puhlmann": _mvg(q.PUHLMANN),
     "teepe": _mvg(q.TEEPE), "toth": q.TOTH, "saxton": q.saxton(),
+    "wessolek": _mvg(f"SELECT * FROM ({q.KA5}) LEFT JOIN ({q.LUT}) USING (ka5)"), "zhang": _mvg(_ZHANG), "szabo": _SZABO,
 }
-_SEVEN = {f"m_{n}": text for n, text in MAP_SQL.items()}
+_ALL = {f"m_{n}": text for n, text in MAP_SQL.items()}
 
 
 def awc_of(t: Tables, *names: str):
-    """(ptf, depth, row, col, awc_mm) of the named closed-form functions."""
-    names = names or tuple(MAP_SQL)
-    return depth.awc_maps(soil.awc_volumes(t.profile, names), names)
+    """(ptf, depth, row, col, awc_mm) of the named functions, or of all ten."""
+    return soil_to_awc.all_maps(t.profile, names or tuple(MAP_SQL), members=t.heads, points=t.points)
 
 
 @query("U1_stack_awc_maps", _sql(
     f"SELECT ptf, depth, row, col, {q.r('awc_mm', 5)} AS awc_mm FROM maps",
-    **_SEVEN, maps=_maps_cte({n: f"m_{n}" for n in MAP_SQL})))
+    **_ALL, maps=_maps_cte({n: f"m_{n}" for n in MAP_SQL})))
 def _(t: Tables):
     return rounded(awc_of(t), 5, "awc_mm")
 
@@ -365,7 +381,7 @@ def _(t: Tables):
     f"""SELECT depth, row, col, {q.r('avg(awc_mm)', 5)} AS awc_mean, {q.r('stddev_pop(awc_mm)', 5)} AS awc_sd
         FROM maps GROUP BY depth, row, col
         HAVING count(awc_mm) = (SELECT count(DISTINCT ptf) FROM maps)""",
-    **_SEVEN, maps=_maps_cte({n: f"m_{n}" for n in MAP_SQL})))
+    **_ALL, maps=_maps_cte({n: f"m_{n}" for n in MAP_SQL})))
 def _(t: Tables):
     return rounded(ensemble.ptf_ensemble(awc_of(t)), 5, "awc_mean", "awc_sd")
 
@@ -374,9 +390,9 @@ def _(t: Tables):
     f"""SELECT depth, row, col, {q.r('avg(awc_mm)', 5)} AS awc_mean, {q.r('stddev_pop(awc_mm)', 5)} AS awc_sd
         FROM maps GROUP BY depth, row, col
         HAVING count(awc_mm) = (SELECT count(DISTINCT ptf) FROM maps)""",
-    **_SEVEN, maps=_maps_cte({n: f"m_{n}" for n in MAP_SQL})))
+    **_ALL, maps=_maps_cte({n: f"m_{n}" for n in MAP_SQL})))
 def _(t: Tables):
-    return rounded(soil_to_awc.ensemble_maps(t.profile, tuple(MAP_SQL)), 5, "awc_mean", "awc_sd")
+    return rounded(soil_to_awc.ensemble_maps(t.profile, tuple(MAP_SQL), members=t.heads, points=t.points), 5, "awc_mean", "awc_sd")
 
 
 @query("U4_exclude_names", _sql(

@@ -16,7 +16,7 @@ from gridspark.session import shared_folder
 from gridspark.sources import readers, writers
 from gridspark.sources.writers import encode_int16
 
-PTFS = ("toth", "saxton", "weynants")
+PTFS = tuple(MAP_SQL)
 KEYS = ["dataset", "depth", "date"]
 
 CTES = {
@@ -33,7 +33,7 @@ def _sql(select: str, **more: str) -> str:
 
 
 def cells_of(t: Tables):
-    """Labelled cells of three functions, both depths and all years."""
+    """Labelled cells of all ten functions, both depths and all years."""
     awc = awc_of(t, *PTFS).withColumnRenamed("ptf", "dataset")
     stored = encode_int16(F.col("awc_mm"))
     awc = awc.withColumn("awc_mm", F.when(stored != -9999, stored.cast("double")))

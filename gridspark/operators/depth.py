@@ -103,15 +103,17 @@ def stack_depths(wide: DataFrame, ptf: str, columns: Sequence[str] = ("awc_1m",
     return wide.select(F.lit(ptf).alias("ptf"), *keys, rows).select("ptf", "depth", *keys, "awc_mm")
 
 
-def awc_wide(profile: DataFrame, names: Sequence[str], null_gravel_is_zero: bool = False,
+def awc_wide(profile: DataFrame, names: Sequence[str], null_gravel_is_zero: bool | Sequence[str] = False,
              keys: Sequence[str] = CELL) -> DataFrame:
     """One row per cell with ``<name>@1m`` and ``<name>@2m`` of every function.
 
     ``profile`` carries a ``<name>_awc_vol`` column per function and the layer
     limits.  All functions are summed side by side in a single aggregation.
+    ``null_gravel_is_zero`` may name the functions for which missing gravel counts as none.
     """
-    factor = (1.0 - gravel_share(null_gravel_is_zero)) * F.col("thick_mm")
-    layers = profile.select(*keys, "upper_cm", *[(F.col(f"{n}_awc_vol") * factor).alias(n) for n in names])
+    lenient = names if null_gravel_is_zero is True else null_gravel_is_zero or ()
+    factor = lambda n: (1.0 - gravel_share(n in lenient)) * F.col("thick_mm")
+    layers = profile.select(*keys, "upper_cm", *[(F.col(f"{n}_awc_vol") * factor(n)).alias(n) for n in names])
     sums = []
     for name in names:
         sums.append(F.sum(F.when(F.col("upper_cm") < 100, F.col(name))).alias(f"{name}@1m"))
@@ -119,7 +121,7 @@ def awc_wide(profile: DataFrame, names: Sequence[str], null_gravel_is_zero: bool
     return layers.groupBy(*keys).agg(*sums)
 
 
-def awc_maps(profile: DataFrame, names: Sequence[str], null_gravel_is_zero: bool = False,
+def awc_maps(profile: DataFrame, names: Sequence[str], null_gravel_is_zero: bool | Sequence[str] = False,
              keys: Sequence[str] = CELL) -> DataFrame:
     """(ptf, depth, row, col, awc_mm) of many functions from one scan and one shuffle.
 

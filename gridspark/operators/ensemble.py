@@ -51,6 +51,27 @@ def ensemble_of_columns(wide: DataFrame, names: Sequence[str], depths: Sequence[
     return rows.where(F.col("awc_mean").isNotNull()).select("depth", "row", "col", "awc_mean", "awc_sd")
 
 
+def score_linear_ensemble(df: DataFrame, members: DataFrame, features: Sequence[str], outputs: Sequence[str],
+                          log10_outputs: Sequence[str] = ()) -> DataFrame:
+    """:func:`score_ensemble` for members without hidden units, as plain columns.
+
+    The mean of linear members is the linear function of their mean weights, so one small aggregation of the member table
+    replaces all passes over the rows, whatever the number of members.  An output without a member is NULL throughout.
+    """
+    weights = F.array(*[F.avg(F.col("weights")[i]) for i in range(len(features))])
+    means = members.where(F.col("output").isin(list(outputs))).groupBy("output").agg(
+        F.struct(weights.alias("weights"), F.avg("bias").alias("bias")).alias("mean"))
+    means = means.agg(F.map_from_entries(F.collect_list(F.struct("output", "mean")))).scalar()
+    scored = {}
+    for name in outputs:
+        mean = F.element_at(means, F.lit(name))
+        total = mean["bias"]
+        for i, feature in enumerate(features):
+            total = total + mean["weights"][i] * F.col(feature)
+        scored[name] = F.pow(F.lit(10.0), total) if name in log10_outputs else total
+    return df.withColumns(scored)
+
+
 def score_ensemble(df: DataFrame, members: DataFrame, features: Sequence[str],
                    outputs: Sequence[str], log10_outputs: Sequence[str] = (),
                    block_weights: int = 2_000_000) -> DataFrame:

@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gridspark.operators import depth, ensemble, soil
 
+NETWORK_INPUTS = ("sand", "silt", "clay", "trd")
+POINT_KEYS = ("row", "col", "layer")
+GRAVEL_OPTIONAL = ("szabo",)
+
 
 def water_map(profile: DataFrame, function: Callable[[DataFrame], DataFrame],
               retention: bool = True) -> DataFrame:
@@ -27,19 +32,50 @@ def class_volume(profile: DataFrame, lookup: DataFrame | None = None) -> DataFra
     return volumes.withColumnRenamed("awc_vol", "wessolek_awc_vol").select(*profile.columns, "wessolek_awc_vol")
 
 
-def _volumes(profile: DataFrame, names: Sequence[str], lookup: DataFrame | None) -> DataFrame:
-    volumes = soil.awc_volumes(profile, [n for n in names if n != "wessolek"])
-    return class_volume(volumes, lookup) if "wessolek" in names else volumes
+def network_volume(profile: DataFrame, members: DataFrame) -> DataFrame:
+    """``zhang_awc_vol`` beside the profile: mean retention parameters of linear ensemble members.
+
+    ``members`` has one row per member and output (thr, ths and the logarithms of alpha and n) with the weights of
+    sand, silt, clay (rescaled to 100 percent) and density.
+    """
+    packed = profile.select(F.struct(*profile.columns).alias("__in"), *profile.columns)
+    ready = soil.normalize_texture(soil.derive_silt(packed))
+    fitted = ensemble.score_linear_ensemble(ready, members, NETWORK_INPUTS, soil.RETENTION, log10_outputs=("alpha", "n"))
+    return soil.awc_vol_mvg(fitted).select("__in.*", F.col("awc_vol").alias("zhang_awc_vol"))
+
+
+def point_volume(profile: DataFrame, points: DataFrame) -> DataFrame:
+    """``szabo_awc_vol`` beside the profile, from ``points``: fc and wp predicted elsewhere, one row per cell and layer."""
+    named = points.select(*POINT_KEYS, F.col("fc").alias("__fc"), F.col("wp").alias("__wp"))
+    volumes = soil.awc_from_point_ptf(profile.join(named, list(POINT_KEYS), "left"), "__fc", "__wp")
+    return volumes.select(*[volumes[c] for c in profile.columns], F.col("awc_vol").alias("szabo_awc_vol"))
+
+
+def _volumes(profile: DataFrame, names: Sequence[str], lookup: DataFrame | None, members: DataFrame | None,
+             points: DataFrame | None) -> DataFrame:
+    for name, table in (("zhang", members), ("szabo", points)):
+        if name in names and table is None:
+            raise ValueError(f"{name} needs a table of its own: members for zhang, points for szabo")
+    volumes = soil.awc_volumes(profile, [n for n in names if n not in ("wessolek", "zhang", "szabo")])
+    if "wessolek" in names:
+        volumes = class_volume(volumes, lookup)
+    if "zhang" in names:
+        volumes = network_volume(volumes, members)
+    return point_volume(volumes, points) if "szabo" in names else volumes
 
 
-def all_maps(profile: DataFrame, names: Sequence[str], lookup: DataFrame | None = None) -> DataFrame:
-    """(ptf, depth, row, col, awc_mm) of the named functions, texture class included."""
-    return depth.awc_maps(_volumes(profile, names, lookup), names)
+def all_maps(profile: DataFrame, names: Sequence[str], lookup: DataFrame | None = None, members: DataFrame | None = None,
+             points: DataFrame | None = None) -> DataFrame:
+    """(ptf, depth, row, col, awc_mm) of the named functions: closed forms, ``wessolek`` by texture class, ``zhang`` from
+    ensemble members, ``szabo`` from predicted points, for which missing gravel counts as none."""
+    return depth.awc_maps(_volumes(profile, names, lookup, members, points), names, null_gravel_is_zero=GRAVEL_OPTIONAL)
 
 
-def ensemble_maps(profile: DataFrame, names: Sequence[str], lookup: DataFrame | None = None) -> DataFrame:
+def ensemble_maps(profile: DataFrame, names: Sequence[str], lookup: DataFrame | None = None, members: DataFrame | None = None,
+                  points: DataFrame | None = None) -> DataFrame:
     """Cell-wise mean and deviation over functions, straight from the profiles.
 
-    The only shuffle is the one that sums the layers of a cell.
+    The layers of a cell are summed in one shuffle; predicted points add that of their join.
     """
-    return ensemble.ensemble_of_columns(depth.awc_wide(_volumes(profile, names, lookup), names), names)
+    wide = depth.awc_wide(_volumes(profile, names, lookup, members, points), names, null_gravel_is_zero=GRAVEL_OPTIONAL)
+    return ensemble.ensemble_of_columns(wide, names)

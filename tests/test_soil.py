@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridspark.functions import ka5
 from gridspark.functions.names import parse_depth_range, parse_run_key
 from gridspark.operators import depth, ensemble, soil
+from gridspark.plans import soil_to_awc
 
 SOIL = "row int, col int, layer int, sand double, clay double, soc double, trd double, gravel double"
 
@@ -175,3 +176,39 @@ def test_names(spark):
     assert tuple(bad) == (None,) * 5
     r = df.limit(1).select(*[c.alias(k) for k, c in parse_depth_range(F.lit("15_30")).items()]).first()
     assert tuple(r) == (15, 30, 150)
+
+
+def _members(spark):
+    rows = [(k, out, [0.001 * k, 0.0005, 0.002 - 0.0003 * k, -0.1], 0.6 + 0.01 * k) for k in range(5) for out in ("ths", "alpha")]
+    return spark.createDataFrame(rows, "member int, output string, weights array<double>, bias double")
+
+
+def test_linear_members_as_columns(spark):
+    rows = [(1, 40.0, 30.0, 30.0, 1.3), (2, None, 30.0, 30.0, 1.3), (3, 5.0, 15.0, 80.0, 0.6)]
+    df = spark.createDataFrame(rows, "row int, sand double, silt double, clay double, trd double")
+    names, outputs = ["sand", "silt", "clay", "trd"], ["ths", "alpha"]
+    plain = ensemble.score_ensemble(df, _members(spark), names, outputs, log10_outputs=["alpha"])
+    columns = ensemble.score_linear_ensemble(df, _members(spark), names, outputs, log10_outputs=["alpha"])
+    assert "MapInPandas" not in columns._jdf.queryExecution().executedPlan().toString()
+    for a, b in zip(plain.orderBy("row").collect(), columns.orderBy("row").collect(), strict=True):
+        assert (a.ths is None) == (b.ths is None)
+        if a.ths is not None:
+            assert b.ths == pytest.approx(a.ths) and b.alpha == pytest.approx(a.alpha)
+    assert ensemble.score_linear_ensemble(df, _members(spark).limit(0), names, outputs).where("ths IS NOT NULL").count() == 0
+
+
+def test_predicted_points_beside_other_functions(spark):
+    layers = [(0, 0, k, 30.0, 40.0, 1.0, 1.4, None if k == 1 else 10.0) for k in (1, 2)] + [(0, 1, 1, 30.0, None, 1.0, 1.4, 0.0)]
+    profile = depth.with_layers(spark.createDataFrame(
+        layers, "row int, col int, layer int, sand double, clay double, soc double, trd double, gravel double"))
+    points = spark.createDataFrame([(0, 0, 1, 0.3, 0.1), (0, 0, 2, 0.1, 0.2), (0, 1, 1, 0.3, 0.1)],
+                                   "row int, col int, layer int, fc double, wp double")
+    got = {(r.ptf, r.depth, r.col): r.awc_mm for r in soil_to_awc.all_maps(profile, ["toth", "szabo"], points=points).collect()}
+    # Missing gravel counts as none here, a negative difference as zero water; without clay there is no value.
+    assert got["szabo", "1m", 0] == pytest.approx(0.2 * 50) and got["szabo", "2m", 0] == pytest.approx(0.2 * 50)
+    assert got["szabo", "1m", 1] is None and got["toth", "1m", 1] is None
+    # The other function keeps its own rule: its first layer has no gravel value, so only the second counts.
+    toth = soil.ptf_toth(profile).where("layer = 2").first()
+    assert got["toth", "1m", 0] == pytest.approx(toth.awc_vol * 0.9 * 100)
+    with pytest.raises(ValueError, match="szabo"):
+        soil_to_awc.all_maps(profile, ["szabo"])
