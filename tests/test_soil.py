@@ -1,13 +1,16 @@
 """Pedotransfer functions, texture classes and depth integration against hand values."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from gridspark import session
+from gridspark.catalog.fixtures import Tables
 from gridspark.functions import ka5
 from gridspark.functions.names import parse_depth_range, parse_run_key
-from gridspark.operators import depth, ensemble, soil
+from gridspark.operators import depth, ensemble, run_keys, soil
 from gridspark.plans import soil_to_awc
 
 SOIL = "row int, col int, layer int, sand double, clay double, soc double, trd double, gravel double"
@@ -212,3 +215,43 @@ def test_predicted_points_beside_other_functions(spark):
     assert got["toth", "1m", 0] == pytest.approx(toth.awc_vol * 0.9 * 100)
     with pytest.raises(ValueError, match="szabo"):
         soil_to_awc.all_maps(profile, ["szabo"])
+
+
+def test_shared_step_of_all_functions_moves_little(spark):
+    """The join with points moves the profile's own columns by the cell alone; no value is computed twice for a test of NaN."""
+    names = ["toth", "wosten", "zhang", "szabo"]
+    profile = depth.with_layers(spark.createDataFrame(
+        [(0, 0, 1, 30.0, 40.0, 1.0, 1.4, 10.0)], "row int, col int, layer int, sand double, clay double, soc double, trd double, gravel double"))
+    points = spark.createDataFrame([(0, 0, 1, 0.3, 0.1), (0, 0, 2, 0.9, 0.1)], "row int, col int, layer int, fc double, wp double")
+    heads = spark.createDataFrame([(k, o, [0.001] * 4, 0.5) for k in range(3) for o in ("ths", "thr", "alpha", "n")],
+                                  "member int, output string, weights array<double>, bias double")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        maps = soil_to_awc.all_maps(profile, names, members=heads, points=points)
+        plan = maps._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    dealt = re.findall(r"hashpartitioning\(row([^)]*)\)", plan)
+    assert dealt and not any("layer" in x for x in dealt) and "element_at(" not in plan
+    theta = soil.mvg_theta(spark.range(1).selectExpr("rand() ths", "rand() thr", "rand() alpha", "rand() + 1 n"), 330.0)
+    assert theta._jdf.queryExecution().executedPlan().toString().count("POWER(") == 2
+    assert {(r.ptf, r.depth): r.awc_mm for r in maps.collect()}["szabo", "1m"] == pytest.approx(0.2 * 0.9 * 50)
+
+
+def test_queries_set_the_method_limit(spark):
+    limit = spark.conf.get(session.HUGE_METHOD)
+    try:
+        spark.conf.set(session.HUGE_METHOD, session.SPARK_DEFAULT)
+        Tables(spark, "unused")
+        assert spark.conf.get(session.HUGE_METHOD) == session.JIT_LIMIT
+    finally:
+        spark.conf.set(session.HUGE_METHOD, limit)
+
+
+def test_missing_keys_read_results_once(spark):
+    done = spark.createDataFrame([("a", "1m", 1), ("a", "1m", 1), ("b", "2m", 2)], "dataset string, depth string, date int").repartition(3)
+    missing = run_keys.missing_keys(done, {"dataset": ["c"]})
+    plan = missing._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("functions=[collect_set") >= 1 and "keys=[dataset" in plan.split("collect_set")[-1]
+    assert missing.count() == 3 * 2 * 2 - 2
