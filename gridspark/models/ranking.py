@@ -21,6 +21,8 @@ from gridspark.models.logistic import Model, Scale, _design, _groups, _probabili
 COARSE, FINE, EDGES = 1024, 1 << 16, 4096
 # Filled bins of all models that a task may hold in the closer look: outer folds are looked at in turn beyond that.
 HELD = 1 << 23
+# Segments of a validation part's score axis at most, the fewest it must allow, the rows wanted in one and the most it may hold.
+SEGMENTS, FEWEST, WANTED_ROWS, SEGMENT_ROWS = 1024, 8, 1 << 14, 1 << 21
 # Bins with both classes that are listed for a model; with more of them every bin is looked into.
 LISTED = 1 << 14
 
@@ -186,11 +188,160 @@ def exact_areas(rows: DataFrame, models: Sequence[Model], features: Sequence[str
     return [w / c.pairs if c.pairs else float("nan") for w, c in zip(wins, counted)]
 
 
+@dataclass(frozen=True)
+class Segments:
+    """Segments of the score axis of one model, by which the cells of all models near it are dealt.
+
+    ``strip``: cells farther apart than this on the axis have the same order for every one of the models.
+    """
+
+    axis: np.ndarray
+    low: float
+    width: float
+    count: int
+    strip: float
+    numbers: tuple[int, ...]
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Segment of each row of the design, and whether it lies in the strip below the next segment."""
+        score = x[:, 1:] @ self.axis - self.low
+        at = np.clip(np.floor(score / self.width), 0, self.count - 1).astype(int)
+        return at, (score >= (at + 1) * self.width - self.strip) & (at < self.count - 1)
+
+
+def segments_of(models: Sequence[Model], numbers: Sequence[int], scales: Sequence[Scale], wanted: int = SEGMENTS) -> Segments | None:
+    """Segments that serve the numbered models, all of one validation part; None if their orders differ too much.
+
+    A model's weights are a multiple of the axis and a rest; over the clip limits the rest moves a score by at most
+    ``e``, so a pair more than ``2 e`` apart keeps its order.  A strip of ``4 e`` leaves room for rounding.
+    """
+    sides = np.array([s(np.array([s.lower, s.upper])) for s in scales])
+    size = np.abs(sides[:, 1] - sides[:, 0])
+    axis = models[sorted(numbers, key=lambda i: models[i].c)[len(numbers) // 2]].weights[1:]
+    length = float((np.abs(axis) * size).sum())
+    if not length > 0:
+        return None
+    far = 0.0
+    for i in numbers:
+        w = models[i].weights
+        multiple = float((axis * size) @ (w[1:] * size)) / float(((axis * size) ** 2).sum())
+        if not multiple > 0 or abs(w[0]) + float((np.abs(w[1:]) * np.abs(sides).max(axis=1)).sum()) > 15.0:
+            return None  # against the axis, or so steep that different scores give one probability
+        far = max(far, 0.5 * float((np.abs(w[1:] / multiple - axis) * size).sum()))
+    strip = 4.0 * far + 1e-6 * length
+    count = min(SEGMENTS, int(length // strip))
+    if count < FEWEST:
+        return None
+    count = max(1, min(count, wanted))
+    return Segments(axis, float((axis[:, None] * sides).min(axis=1).sum()), length / count, count, strip, tuple(numbers))
+
+
+def _wins(p: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> float:
+    """Pairs in which a cell of class 1 scores above one of class 0, ties half."""
+    if not (n0.any() and n1.any()):
+        return 0.0
+    order = np.argsort(p)
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(p[order]) != 0]))
+    n0, n1 = np.add.reduceat(n0[order], starts), np.add.reduceat(n1[order], starts)
+    return float((n1 * (np.cumsum(n0) - n0 / 2.0)).sum())
+
+
+def near_areas(rows: DataFrame, models: Sequence[Model], features: Sequence[str], scales: Mapping[int, Sequence[Scale]]) -> dict[int, float]:
+    """Exact ROC areas, by model number, of models that order their validation cells much alike.
+
+    The cells of a validation part are dealt once for all its models, by segments of one model's scores; a segment also gets the
+    strip below it.  All other pairs have the same order for every model and are counted from the numbers per segment.  A
+    part whose models differ more, or with a segment of more than SEGMENT_ROWS rows, is left out.
+    """
+    features, parts = list(features), {}
+    for i, m in enumerate(models):
+        parts.setdefault((m.outer, m.inner), []).append(i)
+    if not parts:
+        return {}
+    inner = max(m.inner for m in models) + 1
+    segments = -(-rows.count() // (inner * WANTED_ROWS))
+    cut = {k: segments_of(models, numbers, scales[k[0]], segments) for k, numbers in parts.items()}
+    cut = {k: s for k, s in cut.items() if s is not None}
+    names, scales = list(cut), {o: list(scales[o]) for o in {k[0] for k in cut}}
+
+    def placed(batch: pd.DataFrame, wanted):
+        fold = batch["fold"].to_numpy()
+        for part in wanted:
+            outer, inner = names[part]
+            held = (fold != outer) & (batch[f"inner_{outer}"].to_numpy() == inner)
+            if held.any():
+                x = _design(batch, held, features, scales[outer])
+                yield part, held, x, *cut[names[part]].place(x)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = {}
+        for batch in batches:
+            y, w = batch["y"].to_numpy(), batch["w"].to_numpy(dtype=float)
+            for part, held, _, at, strip in placed(batch, range(len(names))):
+                one, n = y[held] == 1, cut[names[part]].count
+                kinds = (np.ones(len(at)), w[held] * ~one, w[held] * one, w[held] * ~one * strip, w[held] * one * strip)
+                total[part] = total.get(part, 0.0) + np.array([np.bincount(at, k, n) for k in kinds])
+        for part, sums in total.items():
+            out = pd.DataFrame(sums.T, columns=list("nabcd"))
+            out.insert(0, "at", np.arange(len(out), dtype="int32"))
+            out.insert(0, "part", np.int32(part))
+            yield out[out["n"] > 0]
+
+    if not cut:
+        return {}
+    sums = {k: np.zeros((s.count, 5)) for k, s in cut.items()}
+    counted = rows.mapInPandas(count, "part int, at int, n double, a double, b double, c double, d double")
+    for r in counted.groupBy("part", "at").agg(*[F.sum(c).alias(c) for c in "nabcd"]).collect():  # SEGMENTS rows a part at most
+        sums[names[r["part"]]][r["at"]] = r[2:]
+    wanted = [i for i, k in enumerate(names) if sums[k][:, 0].max() <= SEGMENT_ROWS]
+    weights = [m.weights for m in models]
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            y, w = batch["y"].to_numpy(dtype="int32"), batch["w"].to_numpy()
+            for part, held, x, at, strip in placed(batch, wanted):
+                for own, these, to in ((True, np.ones(len(at), bool), at), (False, strip, at + 1)):
+                    out = pd.DataFrame(x[these, 1:], columns=[f"x{i}" for i in range(len(features))])
+                    out.insert(0, "own", own)
+                    out.insert(0, "at", to[these].astype("int32"))
+                    out.insert(0, "part", np.int32(part))
+                    out["y"], out["w"] = y[held][these], w[held][these]
+                    yield out
+
+    def compared(frame: pd.DataFrame) -> pd.DataFrame:
+        part = int(frame["part"].iloc[0])
+        x = [frame[f"x{i}"].to_numpy() for i in range(len(features))]
+        n1 = frame["w"].to_numpy(dtype=float) * (frame["y"].to_numpy() == 1)
+        n0, below = frame["w"].to_numpy(dtype=float) - n1, ~frame["own"].to_numpy(dtype=bool)
+        numbers, wins = cut[names[part]].numbers, []
+        for i in numbers:
+            # Summed by column: a product of matrices may round like cells differently, which would undo ties.
+            p = _probabilities(sum((v * c for v, c in zip(x, weights[i][1:])), weights[i][0]))[0]
+            wins.append(_wins(p, n0, n1) - _wins(p[below], n0[below], n1[below]))
+        return pd.DataFrame({"model": np.array(numbers, "int32"), "wins": wins})
+
+    near = {}
+    if wanted:
+        columns = "".join(f", x{i} double" for i in range(len(features)))
+        cells = rows.mapInPandas(dealt, f"part int, at int, own boolean{columns}, y int, w bigint")
+        found = cells.groupBy("part", "at").applyInPandas(compared, "model int, wins double")
+        near = {r["model"]: r["wins"] for r in found.groupBy("model").agg(F.sum("wins").alias("wins")).collect()}  # one row a model
+    out = {}
+    for k in (names[i] for i in wanted):
+        _, n0, n1, strip0, _ = sums[k].T
+        below = np.concatenate([[0.0], np.cumsum(n0)[:-1] - strip0[:-1]])  # class 0 below a segment and its strip
+        pairs = n0.sum() * n1.sum()
+        for i in cut[k].numbers:
+            out[i] = (float((n1 * below).sum()) + near.get(i, 0.0)) / pairs if pairs else float("nan")
+    return out
+
+
 def best_penalties(rows: DataFrame, models: Sequence[Model], candidates: Sequence[float], features: Sequence[str], scales) -> dict[int, float]:
     """Candidate with the highest mean area over inner folds, per outer fold; the first of equals.
 
-    Bounds from a coarse and then a fine histogram drop candidates that cannot be best; the areas of the others are
-    exact, so the choice is that of exact areas throughout.  A candidate with an area missing is never chosen, unless
+    Bounds from a coarse histogram drop candidates that cannot be best.  Those left mostly order cells alike, so that all of a
+    part are compared at once (:func:`near_areas`); where they do not, a fine histogram drops more of them and scores in
+    mixed bins decide.  The choice is that of exact areas throughout.  A candidate with an area missing is never chosen, unless
     all are: then the first one is.
     """
     usable = [m for m in models if m.fitted]
@@ -222,21 +373,24 @@ def best_penalties(rows: DataFrame, models: Sequence[Model], candidates: Sequenc
     asked = open_models(left)
     if asked:
         left = narrowed(left, looked_at([m for g in left.values() for m in g], COARSE)[1])
+    asked = open_models(left)
+    area |= {id(asked[i]): a for i, a in near_areas(rows, asked, features, scales).items()}
     parts: list[list[int]] = []
     held = 0
     for o in outers:
-        n = sum(m.outer == o for m in open_models(left)) * FINE
+        n = sum(m.outer == o and id(m) not in area for m in open_models(left)) * FINE
         if not parts or held + n > HELD:
             parts.append([])
             held = 0
         parts[-1].append(o)
         held += n
     for folds in parts:
-        now = [m for m in open_models(left) if m.outer in folds]
+        now = [m for m in open_models(left) if m.outer in folds and id(m) not in area]
         if not now:
             continue
         counted, found = looked_at(now, FINE)
         asked_folds = {m.outer for m in now}
+        found |= {id(m): (area[id(m)],) * 2 for m in open_models(left) if id(m) in area}
         kept = narrowed({k: g for k, g in left.items() if k[0] in asked_folds}, found)
         left = {k: g for k, g in left.items() if k[0] not in asked_folds} | kept
         still = {id(m) for m in open_models(kept)}

@@ -28,9 +28,11 @@ def prepare_rows(cells: DataFrame, features: Sequence[str], plan: FoldPlan, keep
     folds = ["fold", *[f"inner_{o}" for o in range(plan.n_outer)]]
     rows = plan.attach(cells).select(
         *keep, *[F.col(f).cast("double").alias(f) for f in features], F.col("y").cast("int").alias("y"), *folds)
+    # Every pass evaluates up to a thousand models a row: few bytes, much work, so their number of tasks follows the cores.
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
     if len(features) == 1 and not keep:
-        return rows.groupBy(*features, "y", *folds).agg(F.count(F.lit(1)).alias("w"))
-    return rows.withColumn("w", F.lit(1).cast("bigint"))
+        return rows.groupBy(*features, "y", *folds).agg(F.count(F.lit(1)).alias("w")).repartition(tasks)
+    return rows.withColumn("w", F.lit(1).cast("bigint")).repartition(tasks)
 
 
 def training_scales(rows: DataFrame, features: Sequence[str], n_outer: int,

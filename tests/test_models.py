@@ -280,3 +280,46 @@ def test_models_without_an_area(cells):
     plan, rows, scales = prepared(cells.withColumn("y", F.lit(1)), ["awc"])
     best = validation.random_search_c(rows, plan, ["awc"], scales, n_iter=2)
     assert best == dict.fromkeys(range(3), validation.candidate_penalties(2)[0])
+
+
+def test_near_areas_equal_plain_ones(spark):
+    """Areas of models that order cells alike, from segments and strips, against all pairs; a model of another order is left out."""
+    import numpy as np
+    import pandas as pd
+
+    from gridspark.models import ranking
+    from gridspark.models.logistic import Model, Scale, _probabilities
+
+    draw = np.random.RandomState(3)
+    n = 3000
+    frame = pd.DataFrame({"a": np.round(draw.normal(size=n), 2), "b": np.round(draw.normal(size=n), 2), "y": draw.randint(0, 2, n),
+                          "w": draw.randint(1, 4, n), "fold": np.where(draw.rand(n) < 0.2, 0, 1), "inner_0": draw.randint(0, 2, n)})
+    rows = spark.createDataFrame(frame).repartition(3)
+    scales = {0: [Scale(-2.0, 2.0, 0.1, 1.1), Scale(-1.5, 1.5, 0.0, 0.9)]}
+    models = [Model(0, 0, c, np.array([0.1, 0.8, 0.5 + s])) for c, s in ((0.1, 0.0), (1.0, 1e-3), (10.0, 2e-3))]
+    models += [Model(0, 1, c, np.array([0.1, w, 0.5])) for c, w in ((0.1, 0.8), (1.0, -0.8))]
+    kept, ranking.WANTED_ROWS = ranking.WANTED_ROWS, 100
+    try:
+        got = ranking.near_areas(rows, models, ["a", "b"], scales)
+    finally:
+        ranking.WANTED_ROWS = kept
+    assert sorted(got) == [0, 1, 2]
+    held = frame[(frame.fold != 0) & (frame.inner_0 == 0)]
+    x = np.column_stack([np.ones(len(held)), *[s(held[f].to_numpy()) for f, s in zip("ab", scales[0])]])
+    n1 = held.w.to_numpy() * (held.y.to_numpy() == 1)
+    n0 = held.w.to_numpy() - n1
+    for i, area in got.items():
+        w = models[i].weights
+        p = _probabilities(w[0] + x[:, 1] * w[1] + x[:, 2] * w[2])[0]
+        above = (p[:, None] > p[None, :]) + 0.5 * (p[:, None] == p[None, :])
+        assert area == pytest.approx(float(n1 @ above @ n0) / (n0.sum() * n1.sum()), abs=1e-12)
+
+
+def test_prepared_rows_are_spread_over_cores(spark):
+    from gridspark.models.folds import FoldPlan, block_sizes
+    from gridspark.models.validation import prepare_rows
+
+    cells = spark.range(400).selectExpr("double(id % 7) a", "double(id % 5) b", "int(id % 2) y", "id % 40 block_id")
+    rows = prepare_rows(cells, ["a", "b"], FoldPlan.build(block_sizes(cells), 4, 3)).persist()
+    assert rows.count() == 400 and rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    rows.unpersist()
