@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridspark import session
+from gridspark.catalog import statistics
 from gridspark.catalog.fixtures import Tables
 from gridspark.functions import ka5
 from gridspark.functions.names import parse_depth_range, parse_run_key
-from gridspark.operators import depth, ensemble, run_keys, soil
+from gridspark.operators import class_stats, depth, ensemble, run_keys, soil
 from gridspark.plans import soil_to_awc
 
 SOIL = "row int, col int, layer int, sand double, clay double, soc double, trd double, gravel double"
@@ -255,3 +256,35 @@ def test_missing_keys_read_results_once(spark):
     plan = missing._jdf.queryExecution().executedPlan().toString()
     assert plan.count("functions=[collect_set") >= 1 and "keys=[dataset" in plan.split("collect_set")[-1]
     assert missing.count() == 3 * 2 * 2 - 2
+
+
+def test_cells_are_joined_before_their_maps_unfold(spark):
+    """A cell meets its labels as one row, whatever the number of maps; rows are those of the long form."""
+    wide = spark.createDataFrame([(0, 0, 1.0, 2.0, 3.0, None), (0, 1, None, None, 4.0, 5.0), (0, 1, 6.0, 7.0, 8.0, 9.0), (None, 2, 1.0, 1.0, 1.0, 1.0)],
+                                 "row int, col int, `a@1m` double, `a@2m` double, `b@1m` double, `b@2m` double")
+    disco = spark.createDataFrame([(1, 0, 0, 4000.0), (2, 0, 0, 10.0), (1, 0, 1, 10.0), (1, 0, 1, 5000.0), (1, 0, 2, None), (1, None, 2, 1.0)],
+                                  "date int, row int, col int, value double")
+
+    def unfold(df, kept):
+        return depth.unfold_maps(df, ["a", "b"], kept).withColumnRenamed("ptf", "dataset")
+
+    split = class_stats.class_split(wide, disco, unfold=unfold)
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join") and plan.count("Join") == 1
+    long = class_stats.class_split(unfold(wide, ["row", "col"]), disco)
+    assert split.columns == long.columns
+    rows = sorted(map(tuple, split.collect()))
+    assert rows == sorted(map(tuple, long.collect())) and len(rows) == 3 * 2 + 6 * 2
+
+
+def test_queries_join_cells_before_their_maps_unfold(spark, tmp_path):
+    spark.sql("SELECT CAST(id AS BIGINT) o_orderkey, 1000.0D o_totalprice, TIMESTAMP_NTZ'2020-01-01 00:00:00' o_orderdate FROM range(3)").write.parquet(
+        f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT CAST(id AS BIGINT) l_orderkey, id + 5 l_partkey, id + 1 l_suppkey, CAST(1 AS INT) l_linenumber, 10.0D l_quantity, "
+              "0.05D l_discount, 0.05D l_tax FROM range(3)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("SELECT CAST(id AS BIGINT) n_nationkey FROM range(3)").write.parquet(f"{tmp_path}/nation.parquet")
+    cells = statistics.cells_of(Tables(spark, str(tmp_path)))
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join Inner")
+    # All functions and both depths of the cells with a value: order 0 has none.
+    assert {(r.row, r.col) for r in cells.collect()} == {(0, 1), (0, 2)}
