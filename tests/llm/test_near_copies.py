@@ -97,3 +97,18 @@ def test_repeated_hashes():
     """A chunk hears of the hashes that others hold too, and of those that it marked itself."""
     blobs = [suffix_dedup.short(np.array(x, np.uint64)) for x in ([2, 4, 7], [4, 8], [10])]
     assert [x.tolist() for x in suffix_dedup.repeated(blobs)] == [[2, 3], [2], []]
+
+
+def test_sets_take_one_python_pass(spark):
+    """Filter and shingles of the wanted texts share a process; two would add up in an executor's memory."""
+    texts = [f"word{k} " * 3 + "and some more words here" for k in range(40)]
+    docs = spark.createDataFrame([(t, f"{k:032x}") for k, t in enumerate(texts)], "text string, tid string").repartition(3)
+    wanted = docs.where("tid < '00000000000000000000000000000009'").select("tid")
+    for form, make in ((("grams", "array<long>"), None), (("sketch", "binary"), near_copies.sketch)):
+        sets = near_copies.with_sets(docs, wanted, 5, form, make)
+        assert sets._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        got = {r.tid: r[1] for r in sets.collect()}
+        assert sorted(got) == [f"{k:032x}" for k in range(9)]
+        for k in range(9):
+            want = near_copies.shingles(texts[k], 5)
+            assert got[f"{k:032x}"] == (make(want) if make else want.tolist())
