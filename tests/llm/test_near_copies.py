@@ -112,3 +112,42 @@ def test_sets_take_one_python_pass(spark):
         for k in range(9):
             want = near_copies.shingles(texts[k], 5)
             assert got[f"{k:032x}"] == (make(want) if make else want.tolist())
+
+
+def crowd(copies):
+    """A text and copies of it with one to three words changed; most are alike to the text only."""
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, copies):
+        words = list(base)
+        for at in r.sample(range(0, 150, 5), r.choice((1, 3, 3, 3))):
+            words[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(words)))
+    return rows
+
+
+def test_crowd_is_linked_by_its_centre(spark, monkeypatch):
+    """The pairs to verify grow with the texts of a crowd, not with their square."""
+    formed, verified = [], near_copies.verified
+
+    def counted(pairs, *args):
+        formed.append(pairs.count())
+        return verified(pairs, *args)
+
+    monkeypatch.setattr(near_copies, "verified", counted)
+    rows = crowd(300)
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert sum(formed) < 6 * len(rows)
+
+
+@pytest.mark.parametrize("crowded, rounds", [(0, 4), (0, 0)])
+def test_rounds_of_hubs_lose_no_link(spark, monkeypatch, crowded, rounds):
+    """Groups are the same however many rounds of hubs come before the last pairs."""
+    monkeypatch.setattr(near_copies, "PAIRED", 3)
+    monkeypatch.setattr(near_copies, "CROWDED", crowded)
+    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+    rows = crowd(60)[1:] + [(k + 100, text) for k, text in copies(spark) if 1000 <= k < 3000]
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
