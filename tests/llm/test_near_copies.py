@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline as cp
 from gridspark.llm import near_copies, suffix_dedup
+from gridspark.llm.graph import components
 
 from .test_operators import DOCS, ODD, SF
 
@@ -151,3 +152,22 @@ def test_rounds_of_hubs_lose_no_link(spark, monkeypatch, crowded, rounds):
     rows = crowd(60)[1:] + [(k + 100, text) for k, text in copies(spark) if k and 1000 <= k < 3000]
     got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_small_steps_keep_to_few_tasks(spark):
+    """However many partitions a shuffle has, a small graph is contracted in few tasks, which cost disk whatever they move."""
+    tracker, keep = spark.sparkContext.statusTracker(), {"spark.sql.shuffle.partitions": "120", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keep}
+    edges = spark.createDataFrame([(f"{k:03d}", f"{k + 1:03d}") for k in range(20)], "a string, b string")
+    try:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("few-tasks", "components")
+        got = components(edges).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(r.node, r.root) for r in got} == {(f"{k:03d}", "000") for k in range(21)}
+    stages = {s for j in tracker.getJobIdsForGroup("few-tasks") for s in tracker.getJobInfo(j).stageIds}
+    assert sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i) < 4000
