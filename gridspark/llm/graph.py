@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.session import cut_lineage, gathered
+from gridspark.session import cut_lineage, drop_stored, gathered
 
 # Edges of one partition, about.
 EDGES = 5000
@@ -42,6 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
         state = (found["n"], found["h"])
         if not found["n"]:
             break
-        now, n = gathered(now, found["n"], EDGES), found["n"]
-        now = cut_lineage(star(star(now, True, n), False, n))
+        before, n = now, found["n"]
+        now = cut_lineage(star(star(gathered(before, n, EDGES), True, n), False, n))
+        drop_stored(before)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

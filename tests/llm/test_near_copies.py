@@ -1,4 +1,6 @@
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -6,6 +8,7 @@ import pytest
 import corpus_pipeline as cp
 from gridspark.llm import near_copies, suffix_dedup
 from gridspark.llm.graph import components
+from gridspark.session import FREE_SHUFFLES
 
 from .test_operators import DOCS, ODD, SF
 
@@ -171,3 +174,27 @@ def test_small_steps_keep_to_few_tasks(spark):
     assert {(r.node, r.root) for r in got} == {(f"{k:03d}", "000") for k in range(21)}
     stages = {s for j in tracker.getJobIdsForGroup("few-tasks") for s in tracker.getJobInfo(j).stageIds}
     assert sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i) < 4000
+
+
+def test_steps_leave_nothing_on_disk(spark):
+    """Shuffles go with the action that wrote them and stored steps with their last reader, without the driver's garbage collection."""
+    context, jvm = spark.sparkContext, spark.sparkContext._jvm
+    folder = Path(context.getCheckpointDir().removeprefix("file:"))
+    disk = jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+    docs = spark.createDataFrame(crowd(300), "doc_id long, text string").select("text", near_copies.TID("text").alias("tid"))
+    # Frames that earlier tests have left may be collected meanwhile: only what is new counts.
+    written, stored, setting = shuffled(), set(folder.iterdir()), spark.conf.get(FREE_SHUFFLES)
+    found = near_copies.groups(docs)
+    until = time.time() + 20  # files go in the background
+    while shuffled() - written and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - written
+    # Pairs verified first and last, the groups between, and those that the result reads.
+    assert len(set(folder.iterdir()) - stored) <= 4
+    assert spark.conf.get(FREE_SHUFFLES) == setting
+    assert found.count() == 300 and found.select("root").distinct().count() == 1
