@@ -176,24 +176,28 @@ def test_small_steps_keep_to_few_tasks(spark):
     assert sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i) < 4000
 
 
-def test_steps_leave_nothing_on_disk(spark):
-    """Shuffles go with the action that wrote them and stored steps with their last reader, without the driver's garbage collection."""
-    context, jvm = spark.sparkContext, spark.sparkContext._jvm
-    folder = Path(context.getCheckpointDir().removeprefix("file:"))
-    disk = jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+def shuffled(spark):
+    """Names of the shuffle files on this machine."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+
+def left_over(spark, before):
+    """Shuffle files that stay beside those of ``before``; they go in the background, which takes a moment."""
+    until = time.time() + 20
+    while shuffled(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    return shuffled(spark) - before
 
-    def shuffled():
-        files = disk.getAllFiles()
-        return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
 
+def test_steps_leave_nothing_on_disk(spark):
+    """Shuffles go with the action that wrote them and stored steps with their last reader, without the driver's garbage collection."""
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
     docs = spark.createDataFrame(crowd(300), "doc_id long, text string").select("text", near_copies.TID("text").alias("tid"))
     # Frames that earlier tests have left may be collected meanwhile: only what is new counts.
-    written, stored, setting = shuffled(), set(folder.iterdir()), spark.conf.get(FREE_SHUFFLES)
+    written, stored, setting = shuffled(spark), set(folder.iterdir()), spark.conf.get(FREE_SHUFFLES)
     found = near_copies.groups(docs)
-    until = time.time() + 20  # files go in the background
-    while shuffled() - written and time.time() < until:
-        time.sleep(0.2)
-    assert not shuffled() - written
+    assert not left_over(spark, written)
     # Pairs verified first and last, the groups between, and those that the result reads.
     assert len(set(folder.iterdir()) - stored) <= 4
     assert spark.conf.get(FREE_SHUFFLES) == setting

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ import corpus_pipeline as cp
 from gridspark.llm import decontaminate, pieces, queries
 
 from . import brute
-from .test_near_copies import roots
+from .test_near_copies import left_over, roots, shuffled
 from .test_operators import DOCS
 
 SF = "/root/testdata/sf0.001"
@@ -106,3 +107,26 @@ def test_empty(spark):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_run_keeps_the_last_stage_only(spark, monkeypatch):
+    """What a stage shuffled, and the rows that it read, leave the disk when its own rows are written."""
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    others, seen = set(folder.glob("corpus-*/*")), []
+
+    def stage(number):
+        def some(spark, docs, sf_dir):
+            assert sf_dir == SF
+            seen.append([p.name for p in set(folder.glob("corpus-*/*")) - others])
+            return docs.where(F.col("doc_id") % 7 != number).repartition(3, "doc_id")
+
+        return some
+
+    monkeypatch.setattr(cp, "STAGES", [(str(k), stage(k)) for k in range(4)])
+    written = shuffled(spark)
+    got = cp.run(spark, SF)
+    assert seen == [[], ["0"], ["1"], ["2"]]
+    assert [p.name for p in set(folder.glob("corpus-*/*")) - others] == ["3"]
+    assert not left_over(spark, written)
+    want = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 7 > 3")
+    assert sorted(got.collect()) == sorted(want.collect()) != []
